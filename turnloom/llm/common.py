@@ -116,3 +116,9 @@ def sums_by_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values[offsets[i]:offsets[i+1]] for each i, 0 for empty ranges."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

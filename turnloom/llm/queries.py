@@ -6,16 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import minhash
-from turnloom.llm.common import table
+from turnloom.llm import decontam, langid, licences, lmscore, minhash, mixing, secrets
+from turnloom.llm.common import crc_bucket, small_batches, table
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", (crc_bucket(5) == 0).alias("held_out"), "text")
+    return langid.predictions(rows, langid.fit(docs, crc_bucket(5) != 0), "held_out")
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(table(spark, sf_dir, "documents"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _tuned(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash": op1,
+    k: _tuned(f)
+    for k, f in {
+        "op1_minhash": op1,
+        "op2_mixing": op2,
+        "op4_secrets": op4,
+        "op5_langid": op5,
+        "op6_lmscore": op6,
+        "op9_licences": op9,
+        "op10_decontam": op10,
+    }.items()
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE_SQL,
+    "op9_licences": licences.ORACLE_SQL,
+}
