@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import decontam, langid, licences, lmscore, minhash, mixing, secrets
+from turnloom.llm import ann, decontam, langid, licences, lmscore, minhash, mixing, secrets, toxicity
 from turnloom.llm.common import crc_bucket, small_batches, table
 
 
@@ -32,6 +32,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", (crc_bucket(4) == 2).alias("held_out"), "text")
+    return toxicity.score(rows, toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket(4) != 2), "held_out")
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op4_secrets": op4,
         "op5_langid": op5,
         "op6_lmscore": op6,
+        "op7_toxicity": op7,
+        "op8_ann": op8,
         "op9_licences": op9,
         "op10_decontam": op10,
     }.items()
