@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import ann, decontam, langid, licences, lmscore, minhash, mixing, secrets, toxicity
+from turnloom.llm import ann, decontam, langid, licences, lmscore, minhash, mixing, secrets, suffix, toxicity
 from turnloom.llm.common import crc_bucket, small_batches, table
 
 
@@ -18,6 +18,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for k, f in {
         "op1_minhash": op1,
         "op2_mixing": op2,
+        "op3_suffix": op3,
         "op4_secrets": op4,
         "op5_langid": op5,
         "op6_lmscore": op6,
