@@ -33,8 +33,8 @@ PERCENT = 75
 #: Members of a bucket that one residual block holds.
 BLOCK = 512
 #: Bins that must agree before a residual pair is confirmed on full sets: a pair at the
-#: threshold agrees in 96 of 128 on average with deviation 4.9, so 64 is 6.5 deviations off.
-LEAST_BINS = 64
+#: threshold agrees in 96 of 128 on average with deviation 4.9, so 72 is 4.9 deviations off.
+LEAST_BINS = 72
 
 _MUL = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WIDTH)], np.uint64)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
@@ -108,16 +108,19 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
 
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    if min(len(p), len(q)) * 100 < PERCENT * max(len(p), len(q)):
+        return False
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    both = int((q[at] == p).sum())
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = np.zeros(len(b), bool)
         for i, (x, y) in enumerate(zip(b["sa"], b["sb"])):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if min(len(p), len(q)) * 100 < PERCENT * max(len(p), len(q)):
-                continue
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            both = int((q[at] == p).sum())
-            keep[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+            keep[i] = linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -157,22 +160,59 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return at.join(least, "cur").select("id", "comp")
 
 
-def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, left ids, left comps, left bins, right ...) of two blocks of one bucket to pairs that may be linked."""
+def _block_pairs(row: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) for two blocks of one bucket: member i of the left and those of the right that
+    may be linked with it, lie in another component and share no earlier band."""
+    sides = []
+    for s in ("p", "q"):
+        m = row[s]
+        ints = {k: np.array([x[k] for x in m], np.int64) for k in ("id", "comp", "n")}
+        sides.append((ints, np.array([x["bands"] for x in m], np.int64), np.frombuffer(b"".join(x["bins"] for x in m), np.uint8).reshape(-1, BINS)))
+    (left, bands, bins), (right, bands2, bins2) = sides
+    band = np.flatnonzero(bands[0] == row["h"])[0]
+    for i in range(len(bins)):
+        ok = (left["comp"][i] != right["comp"]) & (100 * np.minimum(left["n"][i], right["n"]) >= PERCENT * np.maximum(left["n"][i], right["n"]))
+        j = np.nonzero(ok)[0]
+        j = j[(bins2[j] == bins[i]).sum(axis=1) >= LEAST_BINS]
+        if len(j):
+            yield i, j[(bands2[j] == bands[i]).argmax(axis=1) == band]
+
+
+def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, id) of the members that have such a partner."""
     for b in batches:
         for row in b.to_pylist():
-            la, lb = np.array(row["la"], np.int64), np.array(row["lb"], np.int64)
-            ca, cb = np.array(row["ca"], np.int64), np.array(row["cb"], np.int64)
-            na, nb = np.array(row["na"], np.int64), np.array(row["nb"], np.int64)
-            ba, bb = (np.frombuffer(b"".join(row[k]), np.uint8).reshape(-1, BINS) for k in ("ba", "bb"))
-            out_a, out_b = [], []
-            for i in range(len(la)):
-                ok = (ca[i] != cb) & (100 * np.minimum(na[i], nb) >= PERCENT * np.maximum(na[i], nb))
-                j = np.nonzero(ok)[0]
-                j = j[(bb[j] == ba[i]).sum(axis=1) >= LEAST_BINS]
-                out_a.append(np.minimum(la[i], lb[j]))
-                out_b.append(np.maximum(la[i], lb[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            ids = set()
+            for i, j in _block_pairs(row):
+                ids.update(row["q"][k]["id"] for k in j.tolist())
+                if len(j):
+                    ids.add(row["p"][i]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["h"]] * len(ids), pa.int64()), pa.array(sorted(ids), pa.int64())], ["h", "id"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in b.to_pylist():
+            p, q = ([np.frombuffer(x["shingles"], np.uint64) for x in row[s]] for s in ("p", "q"))
+            out = [
+                (min(x, y), max(x, y))
+                for i, js in _block_pairs(row)
+                for j in js.tolist()
+                if linked(p[i], q[j])
+                for x, y in ((row["p"][i]["id"], row["q"][j]["id"]),)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
+def _met(rows: DataFrame, block: int, *more: str) -> DataFrame:
+    """Rows (h, p, q): each two blocks of at most about `block` members of a bucket, if they hold several components."""
+    sizes = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("h", "size")
+    dealt = rows.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block)).cast("int"))
+    held = F.collect_list(F.struct("id", "comp", "n", "bands", "bins", *more))
+    blocks = materialise(dealt.groupBy("h", "block").agg(held.alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
+    one = blocks.select("h", F.col("block").alias("i"), F.col("m").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = blocks.select("h", F.col("block").alias("j"), F.col("m").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    return one.join(two, "h").where("i <= j and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("h", "p", "q")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,20 +244,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # What the stars left open: buckets of three or more classes in several components.
     open_ = members.where("c > 2").select("h", "id").join(nodes, "id", "left").select("h", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = materialise(open_, "open")
-    mixed = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("h", "size")
-    left = open_.join(mixed, "h").join(reps.select("id", "bins", "n"), "id")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = left.groupBy("h", "block", "blocks").agg(
-        F.collect_list(F.struct("id", "comp", "n", "bins")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    blocks = materialise(blocks, "blocks")
-    one = blocks.select("h", F.col("block").alias("i"), F.col("m").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    two = blocks.select("h", F.col("block").alias("j"), F.col("m").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = one.join(two, "h").where("i <= j and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
-    cols = [F.col(f"{s}.{c}").alias(f"{x}{y}") for s, y in (("p", "a"), ("q", "b")) for c, x in (("id", "l"), ("comp", "c"), ("n", "n"), ("bins", "b"))]
-    more = met.select(*cols).mapInArrow(_near_blocks, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    links2 = materialise(confirmed(more, sets), "links2")
+    mixed = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    open_ = materialise(open_.join(mixed, "h").join(reps.select("id", "bands", "bins", "n"), "id"), "open")
+    some = materialise(_met(open_, BLOCK).mapInArrow(_open_members, "h long, id long").distinct(), "some")
+    full = open_.join(some, ["h", "id"]).join(sets, "id")
+    links2 = materialise(_met(full, BLOCK // 4, "shingles").mapInArrow(_block_links, "a long, b long").distinct(), "links2")
     if not links2.isEmpty():
         every = links.union(links2)
         nodes = materialise(components(every.select(F.col("a").alias("id")).union(every.select("b")).distinct(), every), "comps2")
