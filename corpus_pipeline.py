@@ -1,17 +1,67 @@
-"""Corpus pipeline: STAGES applied one after another to documents."""
+"""Corpus pipeline: STAGES applied one after another to documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnloom.llm import decontam, langid, minhash, mixing, secrets
+from turnloom.llm.common import materialise, small_batches, table
+
+#: Posterior below which the language of a text counts as unknown.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters and those that no language explains best go."""
+    small_batches(spark)
+    return langid.accepted(docs, langid.fit(docs, F.lit(True)), LEAST_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    small_batches(spark)
+    return minhash.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark items do not contaminate."""
+    small_batches(spark)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced."""
+    small_batches(spark)
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the words it takes of each."""
+    small_batches(spark)
+    return mixing.mixed(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret scan", hide_secrets),
+    ("mixing sources", mix_sources),
+]
 
-#: Language models and hashed shares have no SQL form; tests use brute force.
+#: Language models and seeded hashes have no SQL form; the tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{k}")
     return docs

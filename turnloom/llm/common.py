@@ -122,3 +122,38 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Bits of the map that maybe_in() sends to the executors.
+MAP_BITS = 25
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of df whose key may be in the only column of wanted.  A map of 2^MAP_BITS
+    hashed keys decides: of fixed size, it errs to yes only, and lets more through the fuller
+    it is.  It spares a following join the shuffle of long texts that find no partner.
+    With `others` the remaining rows, which are certainly not in it; null keys are among them."""
+    spark = df.sparkSession
+    h = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("key map")), F.lit(1 << MAP_BITS))
+    own = wanted.columns[0]
+    bit = F.expr("shiftleft(1L, cast(h & 31 as int))")
+    bits = wanted.select(h(own).alias("h")).groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    if len(bits):
+        words[bits["w"].to_numpy()] = bits["b"].to_numpy().astype(np.uint32)
+    held = spark.sparkContext.broadcast(words)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b["__tl_h"].fill_null(0).to_numpy(zero_copy_only=False)
+            there = ((held.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1) & b["__tl_h"].is_valid().to_numpy(zero_copy_only=False)
+            yield b.select(names).filter(pa.array(there != others))
+
+    return df.withColumn("__tl_h", F.when(F.col(key).isNotNull(), h(key))).mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in the only column of unwanted; rows with a null key stay."""
+    keys = unwanted.toDF(key).distinct()
+    return maybe_in(df, key, unwanted, others=True).union(maybe_in(df, key, unwanted).join(keys, key, "left_anti").select(*df.columns))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import LOWER, WordHash, id_text, materialise, mix64, signed
+from turnloom.llm.common import LOWER, WordHash, id_text, materialise, maybe_in, mix64, signed, without
 
 WIDTH = 5
 BINS = 128
@@ -257,3 +257,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sigs.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("digest")).alias("digest"))
     out = out.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the least doc_id; rows that
+    repeat a doc_id count as copies, and of them one stays.  Documents without words all stay."""
+    found = materialise(near_duplicates(docs), "groups")
+    out = without(docs, "doc_id", found.where("not kept").select("doc_id"))
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "again")
+    if again.isEmpty():
+        return out
+    once = maybe_in(out, "doc_id", again).join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return without(out, "doc_id", again).union(once)

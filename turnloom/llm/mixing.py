@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.llm.common import materialise
 
@@ -38,49 +39,82 @@ def targets(sizes: list[tuple[str | None, int]]) -> list[float]:
         full |= over
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len((t.as_py() or b"").split()) for t in b["text"]]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n, pa.int64()), b["h"]], ["doc_id", "source", "size", "h"])
+def _hash():
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text"), h.alias("h"))
-    return src.mapInArrow(_sizes, "doc_id long, source string, size long, h long")
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, the columns of `keep`, size (words) and h (hash of doc_id) of every row."""
+    names = ["doc_id", "source", *keep]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len((t.as_py() or b"").split()) for t in b["text"].cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(n, pa.int64()), b["__tl_h"]], [*names, "__tl_size", "__tl_h"])
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes of it) of every row of docs(doc_id, text, source, ...).
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(f"`{c}`") for c in keep if c != "text"], "text"]
+    src = docs.select(*cols, _hash().alias("__tl_h"))
+    fields = {f.name: f for f in src.schema.fields}
+    return src.mapInArrow(run, T.StructType([*(fields[c] for c in names), T.StructField("__tl_size", T.LongType()), T.StructField("__tl_h", T.LongType())]))
 
-    A null text has size 0.  A null source is a source of its own, the last.  Rows that
-    repeat a doc_id share its hash, so they are taken or left together.  The same rows
-    give the same mix, however they are partitioned.
-    """
-    spark = docs.sparkSession
-    rows = materialise(sized(docs), "sizes")
+
+def thresholds(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(s, source_size, target, full, threshold) for each source of sized rows, and whether the table
+    is small: documents of s are taken `full` times, and once more if their hash is under the threshold."""
+    spark = rows.sparkSession
+    rows = rows.select("source", F.col("__tl_size").alias("size"), F.col("__tl_h").alias("h"))
     found = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]  # a row for each source
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     plan = [(s, n, t, int(t // n) if n else 0) for (s, n), t in zip(found, targets(found) if found else [])]
     plan = [(s, n, t, f, t - f * n) for s, n, t, f in plan]
     held = spark.createDataFrame(plan, "source string, source_size long, target double, full long, rest double")
     small = len(plan) <= BROADCAST_SOURCES
-    given = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     # Of each source: bits known of the threshold, words below it.
     edge = held.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("under"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = rows.withColumnRenamed("source", "s").join(given(edge), F.expr("s <=> source") & (F.shiftright("h", shift + BITS) == F.col("prefix")))
+        inside = rows.withColumnRenamed("source", "s").join(_given(edge, small), F.expr("s <=> source") & (F.shiftright("h", shift + BITS) == F.col("prefix")))
         sums = inside.groupBy("source", "rest", "under", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("size"))
         order = Window.partitionBy("source").orderBy("prefix")
         sums = sums.withColumn("upto", F.col("under") + F.sum("size").over(order)).where("upto > rest")
         edge = sums.groupBy("source").agg(F.min_by(F.struct("rest", "prefix", (F.col("upto") - F.col("size")).alias("under")), "prefix").alias("x")).select("source", "x.*")
         edge = materialise(edge, f"edge{level}")
     last = edge.select(F.col("source").alias("edge_source"), F.col("prefix").alias("threshold"))
-    known = held.join(given(last), F.expr("source <=> edge_source"), "left").select(F.col("source").alias("s"), "source_size", "target", "full", "threshold")
-    out = rows.join(given(known), F.expr("source <=> s"))
-    taken = F.col("size") * (F.col("full") + F.when(F.col("threshold").isNull() | (F.col("h") < F.col("threshold")), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    known = held.join(_given(last, small), F.expr("source <=> edge_source"), "left")
+    return known.select(F.col("source").alias("__tl_s"), "source_size", "target", "full", "threshold"), small
+
+
+def _given(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _taken(rows: DataFrame, known: DataFrame, small: bool, *keep: str) -> DataFrame:
+    out = rows.join(_given(known, small), F.expr("source <=> __tl_s"))
+    taken = F.col("__tl_size") * (F.col("full") + F.when(F.col("threshold").isNull() | (F.col("__tl_h") < F.col("threshold")), 1).otherwise(0))
+    cols = (F.col("__tl_size").alias("size"), "source_size", "target", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *cols)
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes of it) of every row of docs(doc_id, text, source, ...).
+
+    A null text has size 0.  A null source is a source of its own, the last.  Rows that
+    repeat a doc_id share its hash, so they are taken or left together.  The same rows
+    give the same mix, however they are partitioned.
+    """
+    rows = materialise(sized(docs), "sizes")
+    return _taken(rows, *thresholds(rows), "doc_id")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, all columns (except any that are called like the new
+    ones), with size, source_size, target and taken; texts are not shuffled."""
+    own = ("size", "source_size", "target", "taken", "full", "threshold")
+    keep = [c for c in docs.columns if c not in own]
+    known, small = thresholds(materialise(sized(docs), "sizes"))
+    rows = sized(docs.select(*[F.col(f"`{c}`") for c in keep]), *[c for c in keep if c not in ("doc_id", "source")])
+    return _taken(rows, known, small, *keep).where("taken > 0")
 
 
 ORACLE_SQL = r"""

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import buffers, materialise, mix64, signed
+from turnloom.llm.common import buffers, materialise, maybe_in, mix64, signed
 
 SPAN = 100
 KEY = 24
@@ -48,7 +48,6 @@ PIECE = 1 << 18
 SHARD_RUNS = 50_000
 #: Positions of a batch of a shard.
 BATCH = 1 << 17
-MAP_BITS = 25
 _B = 0x9E3779B97F4A7C15
 
 
@@ -236,24 +235,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["doc"], b["tie"], pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc", "tie", "gone", "spans", "sha"])
 
 
-def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts whose doc may be in wanted(doc): a bit map of 2^MAP_BITS hashed ids decides, which errs to yes."""
-    spark = texts.sparkSession
-    h = lambda c: F.pmod(F.xxhash64(c, F.lit("doc map")), F.lit(1 << MAP_BITS))
-    bits = wanted.select(h("doc").alias("h")).groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("b")).toArrow()
-    words = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    if len(bits):
-        words[bits["w"].to_numpy()] = bits["b"].to_numpy().astype(np.uint32)
-    held = spark.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b["h"].to_numpy(zero_copy_only=False)
-            yield b.select(["doc", "tie", "text"]).filter(pa.array((held.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1))
-
-    return texts.select("doc", "tie", "text", h("doc").alias("h")).mapInArrow(run, "doc long, tie int, text binary")
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs(doc_id, text, ...).
 
@@ -272,12 +253,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     open_ = runs_.where("kind = 0")
     n = open_.count()
     lists = open_.groupBy("doc", "tie").agg(F.collect_list(F.struct("p", "n", "key")).alias("runs"))
-    around = _picked(texts, open_.select("doc").distinct()).join(lists, ["doc", "tie"]).mapInArrow(_cut, _CUT)
+    around = maybe_in(texts, "doc", open_.select("doc")).join(lists, ["doc", "tie"]).mapInArrow(_cut, _CUT)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / SHARD_RUNS))
     around = around.repartition(shards, "key").sortWithinPartitions("doc", "p", "tie")
     stretches = materialise(around.mapInArrow(_indexed, "doc long, tie int, s int, e int").union(settled), "stretches")
     spans = stretches.groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    left = _picked(texts, stretches.select("doc").distinct()).join(spans, ["doc", "tie"]).mapInArrow(_kept, "doc long, tie int, gone long, spans long, sha string")
+    left = maybe_in(texts, "doc", stretches.select("doc")).join(spans, ["doc", "tie"]).mapInArrow(_kept, "doc long, tie int, gone long, spans long, sha string")
     left = left.dropDuplicates(["doc", "tie"])
     base = texts.select("doc", "tie", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     out = base.join(left, ["doc", "tie"], "left")
