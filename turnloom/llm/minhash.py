@@ -230,14 +230,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
     )
     reps = materialise(reps, "reps")
-    buckets = reps.select("id", F.explode("bands").alias("h"))
+    # Dealt by bucket once, for the stars and for the members that meet them.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = reps.select("id", F.explode("bands").alias("h")).repartition(parts, "h")
     stars = buckets.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id")).alias("lo"), F.max(F.struct(F.xxhash64("id"), "id")).alias("hi"))
     stars = stars.where("c > 1").select("h", "c", F.col("lo.id").alias("lo"), F.col("hi.id").alias("hi"))
     members = materialise(buckets.join(stars, "h"), "members")
     pairs = members.select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    same = texts.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
+    same = maybe_in(texts, "doc_id", wanted).join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
     sets = materialise(same.mapInArrow(_set_rows, "id long, shingles binary").dropDuplicates(["id"]), "sets")
     links = materialise(confirmed(pairs, sets), "links")
     nodes = materialise(components(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), links), "comps")
