@@ -1,0 +1,53 @@
+"""Deterministic pseudo-random order by hash, without a single-task sort.
+
+Rows are dealt to buckets by the first digits of their hash; a rank is the number of
+rows in earlier buckets (a table of BUCKETS rows at most) plus the rank in the bucket.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Hex digits of a bucket, and how many buckets there are.
+DIGITS = 3
+BUCKETS = 16**DIGITS
+
+
+def hashed(seed: int, key: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")).cast("binary"))
+
+
+def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
+    return df.withColumn("__h", hashed(seed, F.col(key))).withColumn("__b", F.substring("__h", 1, DIGITS))
+
+
+def ranked(df: DataFrame, key: str, seed: int, name: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """df with the rank (from 1) of each row in the hash order of `key`, and a one-row table of their number, `n`."""
+    rows = _bucketed(df, key, seed)
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("__c"))
+    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__b", F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__b").orderBy("__h", key)
+    out = rows.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(before), "__b")
+    return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__before"), sizes.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n"))
+
+
+def successors(df: DataFrame, key: str, values: list[str], seed: int) -> DataFrame:
+    """df with next_<value>: that of the next row in the hash order of `key`, the first's after the
+    last: one cycle through all rows, so no row gets its own.  Fewer than two rows raise."""
+    rows = _bucketed(df, key, seed)
+    row = F.struct(*values)
+    inside = Window.partitionBy("__b").orderBy("__h", key)
+    heads = rows.groupBy("__b").agg(F.min_by(row, F.struct("__h", key)).alias("__first"), F.count("*").alias("__c"))
+    every = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("__b", F.coalesce(F.lead("__first").over(Window.orderBy("__b")), F.first("__first").over(every)).alias("__wrap"), F.sum("__c").over(every).alias("__n"))
+    out = rows.withColumn("__next", F.lead(row).over(inside)).join(F.broadcast(heads), "__b")
+    chosen = F.when(F.col("__n") < 2, F.raise_error(F.lit("needs at least 2 records"))).otherwise(F.coalesce("__next", "__wrap"))
+    out = out.withColumn("__next", chosen)
+    return out.select(*df.columns, *[F.col("__next")[v].alias(f"next_{v}") for v in values])
+
+
+def first_n(df: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:
+    """n rows by hash order, all if n is None or no less than their number."""
+    return df if n is None else df.orderBy(hashed(seed, F.col(key)), key).limit(n)
