@@ -92,9 +92,8 @@ def rouge(name: str, pairs: str) -> str:
 {name}_l as (
   select id, a, b, 0 as i, list_transform(range(len(b) + 1), lambda x: 0::bigint) as row from {name}_t
   union all
-  select id, a, b, i + 1, list_reduce(list_transform(range(2, len(b) + 2), lambda j: [j]), lambda acc, j: list_append(acc,
-      case when a[i + 1] = b[j[1] - 1] then row[j[1] - 1] + 1 else greatest(row[j[1]], acc[len(acc)]) end), [0::bigint])
-  from {name}_l where i < len(a)),
+  select id, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(spots, lambda k: k < j), lambda k: row[k] + 1)), 0)))
+  from (select *, list_filter(range(1, len(b) + 1), lambda k: b[k] = a[i + 1]) as spots from {name}_l where i < len(a))),
 {name} as (select t.id, {prf("o1.hit", "o1.nb", "o1.na", "r1")}, {prf("o2.hit", "o2.nb", "o2.na", "r2")}, l.row[len(l.row)] as lcs,
   {prf("l.row[len(l.row)]", "len(t.b)", "len(t.a)", "rl")}
   from {name}_t t left join {name}_o1 o1 on o1.id = t.id left join {name}_o2 o2 on o2.id = t.id join {name}_l l on l.id = t.id and l.i = len(l.a))"""
