@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text a kernel handles at once.
-PIECE = 1 << 20
+#: Bytes of text a kernel handles at once: its arrays fit a core's cache.
+PIECE = 1 << 17
 
 #: Maps A-Z to a-z and leaves every other byte alone.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -118,7 +118,7 @@ def sums_by_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

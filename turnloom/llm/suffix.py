@@ -7,21 +7,25 @@ Suffixes are sparse.  The string of SPAN bytes at a position is filed under its
 of its KEY-byte strings the one with the least hash (the leftmost of equals).  Equal
 strings have equal anchors, so only suffixes filed under one anchor need comparing, and
 consecutive positions mostly share an anchor: a row of the first pass is a run of some
-forty positions.
+thirty positions.
 
 1. Each batch of documents finds its runs.  Runs whose whole surroundings repeat inside
    the batch are settled there (the later ones go); one of each is passed on, so a
    passage that a third of all documents share leaves a batch once.
-2. Runs whose anchor occurs once in the corpus are dropped (a shuffle by anchor hash).
-3. The others' surroundings are cut from the texts and dealt to shards by anchor, in
-   document order.  A shard reads them in batches.  Each batch gets a suffix array
-   (its positions sorted by the fingerprint of their first SPAN bytes), is merge-scanned
-   against the levels there are, and what is new in it becomes a level; levels of equal
-   size are merged, so a shard holds logarithmically many, each twice the next.
+2. Runs meet by anchor hash, a shuffle of fixed-length rows.  Of runs with equal
+   surroundings the later ones go.  A first one is done with if all runs of its anchor
+   have its surroundings, as most inside long copies and outside any do.
+3. What is left lies at the edges of copies.  Its surroundings are cut from the texts
+   and dealt to shards by anchor, in document order.  A shard reads them in batches.
+   Each batch gets a suffix array (its positions sorted by the fingerprint of their first
+   SPAN bytes), is merge-scanned against the levels there are, and what is new in it
+   becomes a level; levels of equal size are merged, so a shard holds logarithmically
+   many, each twice the next.
 4. Removed stretches meet their documents.
 
-Fingerprints have 64 bits and are compared inside a shard only; a shard is sized to
-some two million positions, so a wrong match is expected once in ten million shards.
+Fingerprints have 64 bits and are compared inside a shard only (sized to a million
+positions: a wrong match is expected once in ten million shards), those of surroundings
+only under one anchor hash of 40 more bits.
 The texts that steps 3 and 4 need are picked with a fixed-size bit map of document ids
 before the shuffle and by exact joins after it.
 """
@@ -34,19 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import buffers, materialise, maybe_in, mix64, signed
 
 SPAN = 100
-KEY = 24
+KEY = 40
 STARTS = SPAN - KEY + 1
 #: Positions handled at once.
-PIECE = 1 << 18
-#: Runs of a shard (about): forty positions each.
-SHARD_RUNS = 50_000
-#: Positions of a batch of a shard.
+PIECE = 1 << 17
+#: Runs of a shard (about): thirty positions each.
+SHARD_RUNS = 30_000
+#: Positions of a batch of a shard (about).
 BATCH = 1 << 17
 _B = 0x9E3779B97F4A7C15
 
@@ -101,7 +105,10 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ..
         yield text[first], first + s - offsets[text[first]], last - first + 1, key, whole
 
 
-_RUN = "kind int, doc long, tie int, p int, n int, key long"
+#: place: first position * 256 + positions * 2 + (1 if settled); few wide fields keep shuffled rows short.
+_RUN = "key long, whole long, doc long, tie int, place long"
+#: Bits of the anchor hash that runs are dealt by: anchors that share them are compared in vain, no more.
+KEY_BITS = 40
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +128,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(p), bool)  # a repeated row of the table, no other occurrence
         again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (p[1:] == p[:-1])
         keep = ~again
-        kind = same.astype(np.int32)
-        # A repeated row of the first occurrence must not make it a later one; `same` holds for others only.
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind[keep]), pa.array(doc[keep]), pa.array(tie[keep]), pa.array(p[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(signed(key[keep]))],
-            [x.split()[0] for x in _RUN.split(", ")],
-        )
+        # Settled runs need no partner: they are spread by place.
+        key = np.where(same, mix64(key + p.astype(np.uint64) + doc.astype(np.uint64)), key) >> np.uint64(64 - KEY_BITS)
+        place = (p << 8) | (n << 1) | same
+        cols = (signed(key), signed(whole), doc, tie, place)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], [x.split()[0] for x in _RUN.split(", ")])
 
 
 class LogIndex:
@@ -172,7 +178,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The surroundings of the runs of each document."""
     for b in batches:
         for row in range(len(b)):
-            text = memoryview(b["text"][row].as_buffer())
+            text = b["text"][row].as_py()
             r = b["runs"][row].values.flatten()
             p, n, key = (x.to_numpy() for x in r)
             around = [text[i : i + m + SPAN - 1] for i, m in zip(p.tolist(), n.tolist())]
@@ -188,7 +194,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = LogIndex()
     before = None
     for b in batches:
-        step = max(1, BATCH // 160)
+        step = BATCH // STARTS
         for at in range(0, len(b), step):
             part = b.slice(at, step)
             doc, tie, p = (part[c].to_numpy(zero_copy_only=False) for c in ("doc", "tie", "p"))
@@ -246,9 +252,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     none = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc"), F.hash("text").alias("tie"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     first = texts.where(F.octet_length("text") >= SPAN).mapInArrow(_first_pass, _RUN)
-    first = first.withColumn("dealt", F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("doc", "p")))
-    counted = first.withColumn("c", F.expr("sum(1 - kind) over (partition by dealt)")).where("kind = 1 or c > 1").select("kind", "doc", "tie", "p", "n", "key")
-    runs_ = materialise(counted, "runs")
+    # Of runs with equal surroundings the first stays; it needs a closer look if its anchor has others.
+    by_key = Window.partitionBy("key").orderBy("whole", "doc", "tie", "place")
+    first = first.withColumn("prev", F.lag(F.struct("whole", "doc", "tie", "place")).over(by_key))
+    first = first.withColumn("copy", F.coalesce(F.expr("prev.whole = whole"), F.lit(False)))
+    first = first.withColumn("forms", F.sum(F.when(F.col("copy"), 0).otherwise(1)).over(Window.partitionBy("key")))
+    kind = F.expr("case when place & 1 = 1 then 1 when copy and prev.doc = doc and prev.tie = tie and prev.place = place then null when copy then 1 when forms > 1 then 0 end")
+    place = F.col("place")
+    p, n = F.shiftright(place, 8).cast("int").alias("p"), (F.shiftright(place, 1).bitwiseAND(127)).cast("int").alias("n")
+    runs_ = materialise(first.select(kind.alias("kind"), "doc", "tie", p, n, "key").where("kind is not null"), "runs")
     settled = runs_.where("kind = 1").select("doc", "tie", F.col("p").alias("s"), (F.col("p") + F.col("n") + (SPAN - 1)).alias("e"))
     open_ = runs_.where("kind = 0")
     n = open_.count()
