@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import ann, decontam, langid, licences, lmscore, minhash, mixing, secrets, suffix, toxicity
+from turnloom.llm import ann, decontam, langid, licences, lmscore, minhash, mixing, secrets, sql, suffix, toxicity
 from turnloom.llm.common import crc_bucket, small_batches, table
 
 
@@ -79,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_minhash": sql.NEAR_DUPLICATES,
+    "op3_suffix": sql.REPEATS,
+    "op10_decontam": sql.DECONTAMINATION,
     "op2_mixing": mixing.ORACLE_SQL,
     "op9_licences": licences.ORACLE_SQL,
 }
