@@ -30,8 +30,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of a bucket that one residual block holds.
-BLOCK = 512
+#: Members of a bucket that one residual block holds, and their shingles (about).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Bins that must agree before a residual pair is confirmed on full sets: a pair at the
 #: threshold agrees in 96 of 128 on average with deviation 4.9, so 72 is 4.9 deviations off.
 LEAST_BINS = 72
@@ -206,8 +206,9 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(rows: DataFrame, block: int, *more: str) -> DataFrame:
     """Rows (h, p, q): each two blocks of at most about `block` members of a bucket, if they hold several components."""
-    sizes = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("h", "size")
-    dealt = rows.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block)).cast("int"))
+    sizes = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.sum("n").alias("words")).where("x <> y")
+    sizes = sizes.select("h", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("words") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = rows.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     held = F.collect_list(F.struct("id", "comp", "n", "bands", "bins", *more))
     blocks = materialise(dealt.groupBy("h", "block").agg(held.alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
     one = blocks.select("h", F.col("block").alias("i"), F.col("m").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
