@@ -512,3 +512,28 @@ def embed_score(spark, d):
     labels = vecs.select("id").distinct()
     wanted = labels.toDF("gen_id").join(labels.toDF("ref_id"), F.expr("gen_id < ref_id"))
     return embedscore.embed_score(vecs, vecs, wanted).withColumnsRenamed({"gen_id": "label_a", "ref_id": "label_b"})
+
+
+# Sources and sinks: what is written is read again.
+
+
+@query(sql.query("select split, count(*) as n from x group by split", "u", sql.splits("x", "(select note_id from u)")))
+def parquet_roundtrip(spark, d):
+    path = io.scratch(spark, "splits")
+    io.write_splits(split_assign(spark, d), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(sql.query("select count(*) as n, sum(length(clinical_note))::bigint as note_chars, sum(length(conversation))::bigint as conversation_chars from p", "p"))
+def csv_roundtrip(spark, d):
+    path = io.scratch(spark, "pairs")
+    io.write_pairs_csv(pairs(spark, d).select(F.col("clinical_note").alias("data"), "conversation"), path)
+    back = io.read_pairs_csv(spark, path)
+    return back.agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("note_chars"), F.sum(F.length("conversation")).alias("conversation_chars"))
+
+
+@query(sql.query("select arm, count(*) as n_records, round(avg(rouge1), 6) as rouge1 from sc group by arm", "p", _ARM_SQL))
+def arm_json_roundtrip(spark, d):
+    path = io.scratch(spark, "arms")
+    io.write_arms(_scores(spark, d), path, {"decoding": F.struct(F.lit(False).alias("do_sample"))})
+    return io.read_arms(spark, f"{path}/*/*.txt").groupBy("arm").agg(F.count("*").alias("n_records"), F.round(F.avg("rouge1"), 6).alias("rouge1"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +104,18 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
 def read_audio(spark: SparkSession, *paths: str) -> DataFrame:
     """path, content of recordings, for a transcriber in mapInArrow."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (a temporary one only where the session names none); it goes when the driver's JVM ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = held.get() if held.isDefined() else None
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="turnloom-")
+        spark.sparkContext.setCheckpointDir(shared)
+    path = f"{shared}/turnloom-{tag}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
