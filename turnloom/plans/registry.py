@@ -293,7 +293,9 @@ _SETS = sql.splits("x", "(select note_id, text from u)") + ",\ntr as (select not
 
 
 def _sets(spark, d):
-    rows = dataset.split(distinct_notes(spark, d).select("note_id")).join(distinct_notes(spark, d), "note_id")
+    # Only the ids are kept; texts are read again by doc_id.
+    ids = dataset.split(distinct_notes(spark, d).select("note_id", "doc_id")).cache()
+    rows = table(spark, d, "documents").select("doc_id", "text").join(ids, "doc_id")
     return [rows.where(F.col("split") == s).select("note_id", "text") for s in ("train", "test")]
 
 
@@ -394,7 +396,7 @@ def _wide_sql(metrics: list[str]) -> str:
 
 
 def _scores(spark, d):
-    return arms.run(pairs(spark, d), stemmed=False)
+    return arms.run(pairs(spark, d).cache(), stemmed=False)
 
 
 @query(sql.query("select arm, note_id, " + ", ".join(f"round({m}, 6) as {m}" for m in arms.METRICS) + ", starts_with_turn_marker, num_turns, has_doctor_turn, has_patient_turn from sc", "p", _ARM_SQL))
