@@ -8,7 +8,9 @@ class-prior-corrected, non-negative risk
 
 on a bounded sample of training rows.  Features are those of the sample that are over-
 represented in the confirmed texts; small weights are dropped, so long clean texts do not
-add up to anything.  The label 0 is used for nothing but the class prior.
+add up to anything.  Rows labelled 0 give the class prior and, with the confirmed ones, the
+two numbers that turn the classifier's margin into a probability (the labelled rows may
+hold more toxic texts than the corpus does).
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import small_batches
 
-#: Bounds of the fitting sample: confirmed texts, unlabelled texts, bytes of one.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_DOC_BYTES = 3000, 9000, 1 << 15
+#: Bounds of the fitting sample: confirmed texts, unlabelled texts, texts labelled 0, bytes of one.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_NEGATIVE, MAX_DOC_BYTES = 3000, 9000, 3000, 1 << 15
 THRESHOLD = 0.3
 #: A feature must be in more confirmed texts than its share in unlabelled ones lets expect,
 #: by this many and this many deviations besides.
@@ -46,10 +48,28 @@ def features(word: bytes) -> list[bytes]:
 class Model:
     """Sum over distinct features of a text, through a logistic link."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[bytes, float], bias: float, scale: float = 1.0, shift: float = 0.0):
+        self.weights, self.bias, self.scale, self.shift = weights, bias, scale, shift
 
     def scores(self, texts: list[bytes | None], seen: dict[bytes, tuple]) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * self.margins(texts, seen) + self.shift, -40, 40)))
+
+    def calibrated(self, positive: list[bytes], negative: list[bytes], prior: float, rounds: int = 50) -> Model:
+        """The same with scale and shift by logistic regression on labelled texts, weighted to the prior;
+        a slight pull to the identity keeps both finite where the classes lie apart."""
+        g = np.concatenate([self.margins(x, {}) for x in (positive, negative)])
+        y = np.repeat([1.0, 0.0], [len(positive), len(negative)])
+        w = np.repeat([prior / len(positive), (1 - prior) / len(negative)], [len(positive), len(negative)]) * len(g)
+        x = np.column_stack([g, np.ones(len(g))])
+        start = np.array([1.0, 0.0])
+        beta = start.copy()
+        for _ in range(rounds):
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -40, 40)))
+            grad = x.T @ (w * (p - y)) + (beta - start)
+            beta -= np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2), grad)
+        return Model(self.weights, self.bias, max(float(beta[0]), 0.1), float(beta[1]))
+
+    def margins(self, texts: list[bytes | None], seen: dict[bytes, tuple]) -> np.ndarray:
         """seen: what words were found to hold, kept between calls up to a bound."""
         g = np.full(len(texts), self.bias)
         weights = self.weights
@@ -64,21 +84,31 @@ class Model:
                 if f:
                     hit.update(f)
             g[i] += sum(weights[x] for x in sorted(hit))
-        return 1.0 / (1.0 + np.exp(-np.clip(g, -40, 40)))
+        return g
 
 
-def train(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
-    """Full-batch Adam on the risk above with the logistic loss."""
-    sets = [[set(f for w in doc for f in features(w)) for doc in docs] for docs in (positive, unlabelled)]
-    df_p, df_u = (Counter(f for x in s for f in x) for s in sets)
+def _features(text: bytes | None, among: dict | None = None) -> set[bytes]:
+    return {f for w in words(text) for f in features(w) if among is None or f in among}
+
+
+def train(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
+    """Full-batch Adam on the risk above with the logistic loss.  Features of a text are made anew
+    in each pass and kept as numbers of the chosen ones only."""
+    df_p: Counter = Counter()
+    for t in positive:
+        df_p.update(_features(t))
+    df_p = {f: n for f, n in df_p.items() if n > LEAST_MORE}
+    df_u: Counter = Counter()
+    for t in unlabelled:
+        df_u.update(_features(t, df_p))
     ratio = len(positive) / max(1, len(unlabelled))
     names = sorted(f for f, n in df_p.items() if n >= (e := ratio * df_u[f]) + LEAST_DEVIATIONS * e**0.5 + LEAST_MORE)
     place = {f: i for i, f in enumerate(names)}
     n = len(names)
     flat = []
-    for s in sets:
-        cols = [sorted(place[f] for f in x if f in place) for x in s]
-        flat.append((np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.fromiter((j for c in cols for j in c), np.int64), len(cols)))
+    for texts in (positive, unlabelled):
+        cols = [np.array(sorted(place[f] for f in _features(t, place)), np.int32) for t in texts]
+        flat.append((np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64), len(cols)))
     theta = np.zeros(n + 1)
     theta[n] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -122,8 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     unlabelled = _sample(texts, MAX_UNLABELLED, "unlabelled sample").select("text").toArrow()["text"].to_pylist()
     if not positive or not unlabelled:
         return Model({}, -40.0)
+    ids = _sample(marked.where("toxic = 0").select("doc_id"), MAX_NEGATIVE, "negative sample")
+    negative = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text").toArrow()["text"].to_pylist()
     # Copies would pass for evidence.
-    return train([words(t) for t in sorted(set(positive))], [words(t) for t in sorted(set(unlabelled))], prior)
+    model = train(sorted(set(positive)), sorted(set(unlabelled)), prior)
+    return model.calibrated(positive, negative, prior) if negative else model
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
