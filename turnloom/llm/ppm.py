@@ -77,7 +77,8 @@ class Tree:
         self.symbol = np.zeros(256, np.int32)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
-        self.child = np.zeros((base[self.depth], width), np.int32)
+        self.width = width
+        child = np.zeros((base[self.depth], width), np.int32)
         self.count[1] = levels[0][1].sum(axis=0)
         for d, (keys, counts) in enumerate(levels, 1):
             own = np.arange(base[d], base[d + 1])
@@ -89,8 +90,8 @@ class Tree:
                 self.parent[own] = base[d - 1] + np.searchsorted(up, keys & np.uint64((1 << (BITS * (d - 1))) - 1))
                 self.prefix[own] = base[d - 1] + np.searchsorted(up, keys >> np.uint64(BITS))
             oldest = (keys >> np.uint64(BITS * (d - 1))).astype(np.int64) - 1
-            self.child[self.parent[own], self.symbol[oldest]] = own
-        self.flat = self.child.ravel()
+            child[self.parent[own], self.symbol[oldest]] = own
+        self.flat = child.ravel()
         # Of each context: occurrences that some byte follows, and distinct bytes that do.
         self.n = np.zeros((n, self.models))
         self.t = np.zeros((n, self.models))
@@ -99,13 +100,18 @@ class Tree:
         # A node of full depth stands for its longest context, one byte shorter.
         self.as_context = np.where(self.level == self.depth, self.parent, np.arange(n))
 
+    def slim(self) -> None:
+        """Drop what only building a code needs: the rest is sent to the executors."""
+        for name in ("count", "parent", "prefix", "n", "t", "as_context"):
+            delattr(self, name)
+
     def walk(self, data: np.ndarray, starts: np.ndarray, s: int, e: int) -> Iterator[np.ndarray]:
         """For depth 1, 2, ... the nodes at positions s..e-1, 0 where there is none."""
         node = np.ones(e - s, np.int64)
         lo = max(0, s - self.depth)
         local = self.symbol[data[lo:e]]
         for _, sym in shifted(local, starts - lo, s - lo, e - lo, self.depth):
-            node = self.flat[node * self.child.shape[1] + sym]
+            node = self.flat[node * self.width + sym]
             node = node.astype(np.int64)
             yield node
 
@@ -145,6 +151,7 @@ class PlainCode:
         self.weight = event + self.escape
         # A text pays for the context before each byte, not for the one after its last.
         self.start = self.escape[1]
+        tree.slim()
 
     def bits(self, data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
         out = np.zeros((len(offsets) - 1, self.tree.models))
@@ -197,6 +204,7 @@ class ExcludingCode:
         self.enter = (first + self.chain)[self.context]
         self.log_new = np.log(max(256 - t[1], 1.0))
         self.usable = n > 0
+        tree.slim()
 
     def nats(self, data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
         """Code length of each text, 0 for an empty one."""
