@@ -60,6 +60,33 @@ def test_successor_of_one_raises(spark):
         order.successors(ids(spark, 1).withColumn("c", F.col("note_id")), "note_id", ["c"], 42).collect()
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_cycle_on_the_driver(seed):
+    items = list(range(100))
+    got = order.cycle_like_mt19937(items, seed)
+    assert sorted(got) == items and all(a != b for a, b in zip(got, items)) and got == order.cycle_like_mt19937(items, seed)
+
+
+def test_cycle_of_one_raises():
+    with pytest.raises(ValueError, match="at least 2 records"):
+        order.cycle_like_mt19937([1], 0)
+
+
+def test_generator_hook(spark):
+    import pyarrow as pa
+
+    def shout(batches):
+        for b in batches:
+            said = ["Doctor: " + n.upper() for n in b["clinical_note"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["note_id"], pa.array(said), pa.array([len(x.split()) for x in said], pa.int64())], ["note_id", "generated", "gen_tokens"])
+
+    rows = spark.createDataFrame([("n1", "age 5", "Doctor: a")], "note_id string, clinical_note string, conversation string")
+    made = arms.mapped(shout)(rows)
+    assert tuple(made.first()) == ("n1", "Doctor: AGE 5", 3)
+    assert arms.run(rows, {"shout": arms.mapped(shout)}).first().numeric_grounding_recall == 1.0
+    assert arms.throughput(made, "gen_tokens")["tokens_per_second"] > 0
+
+
 def test_ranks_follow_the_hash_order(spark):
     df, n = order.ranked(ids(spark, 300), "note_id", 1)
     got = [r.note_id for r in df.orderBy("rank").collect()]
