@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -62,15 +63,11 @@ def crc_bucket(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 class WordHash(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -112,12 +109,6 @@ def pieces(n: int, size: int = PIECE) -> Iterator[tuple[int, int]]:
         yield s, min(n, s + size)
 
 
-def sums_by_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of values[offsets[i]:offsets[i+1]] for each i, 0 for empty ranges."""
-    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -157,3 +148,15 @@ def without(df: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
     """The rows of df whose key is not in the only column of unwanted; rows with a null key stay."""
     keys = unwanted.toDF(key).distinct()
     return maybe_in(df, key, unwanted, others=True).union(maybe_in(df, key, unwanted).join(keys, key, "left_anti").select(*df.columns))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside (not for what is only planned there)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

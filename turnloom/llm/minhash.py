@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import LOWER, WordHash, id_text, materialise, maybe_in, mix64, signed, without
+from turnloom.llm.common import LOWER, WordHash, batches_of, id_text, materialise, maybe_in, mix64, signed, without
 
 WIDTH = 5
 BINS = 128
@@ -32,6 +32,8 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Members of a bucket that one residual block holds, and their shingles (about).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows of an Arrow batch where rows hold two shingle sets, or two blocks.
+PAIRS_AT_ONCE, BLOCKS_AT_ONCE = 64, 4
 #: Bins that must agree before a residual pair is confirmed on full sets: a pair at the
 #: threshold agrees in 96 of 128 on average with deviation 4.9, so 72 is 4.9 deviations off.
 LEAST_BINS = 72
@@ -181,10 +183,11 @@ def _block_pairs(row: dict) -> Iterator[tuple[int, np.ndarray]]:
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, id) of the members that have such a partner."""
     for b in batches:
-        for row in b.to_pylist():
+        for k in range(len(b)):
+            row = b.slice(k, 1).to_pylist()[0]
             ids = set()
             for i, j in _block_pairs(row):
-                ids.update(row["q"][k]["id"] for k in j.tolist())
+                ids.update(row["q"][x]["id"] for x in j.tolist())
                 if len(j):
                     ids.add(row["p"][i]["id"])
             yield pa.RecordBatch.from_arrays([pa.array([row["h"]] * len(ids), pa.int64()), pa.array(sorted(ids), pa.int64())], ["h", "id"])
@@ -192,7 +195,8 @@ def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row in b.to_pylist():
+        for k in range(len(b)):
+            row = b.slice(k, 1).to_pylist()[0]
             p, q = ([np.frombuffer(x["shingles"], np.uint64) for x in row[s]] for s in ("p", "q"))
             out = [
                 (min(x, y), max(x, y))
@@ -242,16 +246,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
     same = maybe_in(texts, "doc_id", wanted).join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
     sets = materialise(same.mapInArrow(_set_rows, "id long, shingles binary").dropDuplicates(["id"]), "sets")
-    links = materialise(confirmed(pairs, sets), "links")
+    spark = docs.sparkSession
+    with batches_of(spark, PAIRS_AT_ONCE):
+        links = materialise(confirmed(pairs, sets), "links")
     nodes = materialise(components(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), links), "comps")
 
     # What the stars left open: buckets of three or more classes in several components.
     open_ = members.where("c > 2").select("h", "id").join(nodes, "id", "left").select("h", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     open_ = materialise(open_.join(mixed, "h").join(reps.select("id", "bands", "bins", "n"), "id"), "open")
-    some = materialise(_met(open_, BLOCK).mapInArrow(_open_members, "h long, id long").distinct(), "some")
-    full = open_.join(some, ["h", "id"]).join(sets, "id")
-    links2 = materialise(_met(full, BLOCK // 4, "shingles").mapInArrow(_block_links, "a long, b long").distinct(), "links2")
+    with batches_of(spark, BLOCKS_AT_ONCE):
+        some = materialise(_met(open_, BLOCK).mapInArrow(_open_members, "h long, id long").distinct(), "some")
+        full = open_.join(some, ["h", "id"]).join(sets, "id")
+        links2 = materialise(_met(full, BLOCK // 4, "shingles").mapInArrow(_block_links, "a long, b long").distinct(), "links2")
     if not links2.isEmpty():
         every = links.union(links2)
         nodes = materialise(components(every.select(F.col("a").alias("id")).union(every.select("b")).distinct(), every), "comps2")
