@@ -21,8 +21,10 @@ from turnloom.llm.ppm import PlainCode, Tree, below, packed
 
 DEPTH = 5
 #: Bounds of the fitting sample: documents over all languages (20 a language at least) and bytes of one.
-MAX_DOCS = 2400
+MAX_DOCS = 1600
 MAX_DOC_BYTES = 1 << 16
+#: Grams that the sample holds less often, over all languages, are left out of the trees.
+LEAST_COUNT = 2
 
 
 class Model:
@@ -81,7 +83,11 @@ def fit(docs: DataFrame, learn: Column, max_docs: int = MAX_DOCS, max_doc_bytes:
         at += len(k)
     if not len(keys):
         return Model([], None)
-    return Model(langs, PlainCode(Tree([below(keys, counts, d) for d in range(1, DEPTH + 1)])))
+    levels = [below(keys, counts, d) for d in range(1, DEPTH + 1)]
+    levels = [(k[often], c[often]) for k, c in levels for often in (c.sum(axis=1) >= LEAST_COUNT,)]
+    while levels and not len(levels[-1][0]):
+        levels.pop()
+    return Model(langs, PlainCode(Tree(levels))) if levels else Model([], None)
 
 
 def predictions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
