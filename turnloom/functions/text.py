@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The task of the chat messages, and a chat template.
-SYSTEM_PROMPT = "You write the doctor-patient dialogue that a clinical note describes. Use only what the note says."
+# The system and user texts that training and generation share, and a chat template.
+SYSTEM_PROMPT = (
+    "You are a clinical documentation assistant. Given a clinical note, generate a realistic doctor-patient dialogue consistent with the note. "
+    "Output only the dialogue, formatted as alternating `Doctor:`/`Patient:` turns — no other text."
+)
 PROMPT_PREFIX = "Clinical note:\n"
 TEMPLATE = ("<|im_start|>{role}\n", "{content}", "<|im_end|>\n")
 #: Characters shown of a long note.
