@@ -172,6 +172,21 @@ def test_lm_tail_words_meet_their_counts(spark, monkeypatch, tmp_path):
     assert one == sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in lmscore.scores(docs).collect())
 
 
+@pytest.mark.parametrize("share", [lmscore.GRAM_SHARE, 1e-3, 2.0])
+def test_lm_rare_grams_meet_their_counts(spark, monkeypatch, share):
+    """Over 100,000 positions, where grams seen once were lost, and with few or no grams sent to the executors."""
+    monkeypatch.setattr(lmscore, "GRAM_SHARE", share)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcde fghié", [9, 5, 4, 3, 2, 9, 1, 1, 1, 1, 1], k=3000)) for _ in range(60)]
+    texts += ["".join(rng.choices("abcde fzü\x00", k=rng.randint(0, 80))) for _ in range(120)] + ["qj", "q", "zzqja", "", None]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    grams = gram_counts([(r[1] or "").lower().encode() for r in rows if crc(r[0]) % 7 != 2], lmscore.DEPTH)
+    assert sum(k for g, k in grams.items() if len(g) == 1) > 100_000
+    got = {r.doc_id: r.score for r in lmscore.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows[60:]:
+        assert got[i] == pytest.approx(-plain_nats(grams, (t or "").lower().encode(), lmscore.DEPTH, True) / math.log(10))
+
+
 def test_lm_edges(spark):
     assert lmscore.scores(spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(100) if crc(i) % 7 == 2)
