@@ -334,7 +334,7 @@ _VALUES = "v as (select event_id, \"value\" from events where \"value\" is not n
 
 
 def _values(spark, d):
-    """The feature itself is a bootstrap over an evaluation sample of 200 records."""
+    """The first 200 by hash, as the queries' SQL has them; stats.bootstrap itself takes all records it is given."""
     rows = table(spark, d, "events").select("event_id", "value").where("value is not null")
     return order.first_n(rows, "event_id", 200, dataset.SEED)
 
