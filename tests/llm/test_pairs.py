@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SCHEMA, contaminated, make_docs, near_groups
@@ -34,6 +35,21 @@ def test_near_duplicates_of_a_dense_bucket(spark):
     assert got == {i: c for i, (_, c) in near_groups(rows).items()}
 
 
+def test_residual_pairs_of_small_sets_are_compared_in_full():
+    """Sets of 4 and 3 shingles, linked, that agree in 60 bins only and share one band."""
+    s = np.unique(np.random.default_rng(12245).integers(0, 2**64, 4, dtype=np.uint64))
+    a, b = (minhash.signature(x) for x in (s, s[:3]))
+    h = np.intersect1d(minhash.band_hashes(a), minhash.band_hashes(b))
+    assert len(h) == 1 and ((a ^ b) & np.uint64(0xFF) == 0).sum() == 60
+    p, q = (
+        [{"id": k, "comp": k, "n": len(x), "bands": minhash.band_hashes(sig).view(np.int64).tolist(), "bins": sig.astype(np.uint8).tobytes(), "shingles": x.tobytes()}]
+        for k, (x, sig) in enumerate(((s, a), (s[:3], b)))
+    )
+    rows = pa.RecordBatch.from_pylist([{"h": h.view(np.int64)[0].item(), "p": p, "q": q}])
+    assert [x.to_pylist() for x in minhash._open_members([rows])] == [[{"h": h.view(np.int64)[0].item(), "id": k} for k in (0, 1)]]
+    assert [x.to_pylist() for x in minhash._block_links([rows])] == [[{"a": 0, "b": 1}]]
+
+
 def test_near_duplicates_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(empty).count() == 0

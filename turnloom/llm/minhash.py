@@ -6,8 +6,8 @@ one class from the start.  Each bucket of classes then gets two stars (to the
 classes that come first and last in a hashed order), so candidate pairs stay
 linear in bucket size; every candidate is confirmed on full shingle sets.  Buckets
 that still hold several components after that are finished exactly: each of their
-pairs across components is compared, in blocks, on the signatures' bins and then
-on full sets.  Nothing is capped.
+pairs across components is compared, in blocks, on full sets; of large sets only where
+the signatures' bins do not rule a link out.  Nothing is capped.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 """
@@ -34,9 +34,11 @@ PERCENT = 75
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Rows of an Arrow batch where rows hold two shingle sets, or two blocks.
 PAIRS_AT_ONCE, BLOCKS_AT_ONCE = 64, 4
-#: Bins that must agree before a residual pair is confirmed on full sets: a pair at the
-#: threshold agrees in 96 of 128 on average with deviation 4.9, so 72 is 4.9 deviations off.
-LEAST_BINS = 72
+#: Residual pairs go to full sets untested if the smaller set has at most SMALL shingles: bins
+#: that draw on few values do not agree independently.  Of larger sets LEAST_BINS bins must agree:
+#: were bins independent, a pair at the threshold would have fewer with probability 3.4e-10.
+SMALL = 512
+LEAST_BINS = 64
 
 _MUL = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WIDTH)], np.uint64)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
@@ -175,7 +177,7 @@ def _block_pairs(row: dict) -> Iterator[tuple[int, np.ndarray]]:
     for i in range(len(bins)):
         ok = (left["comp"][i] != right["comp"]) & (100 * np.minimum(left["n"][i], right["n"]) >= PERCENT * np.maximum(left["n"][i], right["n"]))
         j = np.nonzero(ok)[0]
-        j = j[(bins2[j] == bins[i]).sum(axis=1) >= LEAST_BINS]
+        j = j[(np.minimum(left["n"][i], right["n"][j]) <= SMALL) | ((bins2[j] == bins[i]).sum(axis=1) >= LEAST_BINS)]
         if len(j):
             yield i, j[(bands2[j] == bands[i]).argmax(axis=1) == band]
 
