@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SCHEMA, contaminated, make_docs, near_groups
-from turnloom.llm import ann, decontam, minhash, suffix
+from turnloom.llm import ann, decontam, minhash, sql, suffix
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -216,3 +217,18 @@ def test_neighbours_edges(spark, monkeypatch):
     cut = sorted(map(tuple, ann.neighbours(df).collect()))
     monkeypatch.setattr(ann, "CELL", 4096)
     assert cut == sorted(map(tuple, ann.neighbours(df).collect()))
+
+
+def test_items_without_id_hit(spark):
+    """As the registered SQL has it: all null ids are one item, and the digest leaves it out."""
+    rows = [(1, "a b c", None, None, 0), (2, "d e", None, None, 0), (3, "a b c d e f g", None, None, 0), (4, "x", None, None, 0)]
+    docs, items = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(None, "b c"), (None, "d e"), (7, "f g")], ITEM_SCHEMA)
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.decontaminate(docs, items).collect()}
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in ("", "7")}
+    assert got == {1: (3, 2, 1, sha[""], True), 2: (2, 2, 1, sha[""], True), 3: (7, 6, 2, sha["7"], True), 4: (1, 0, 0, sha[""], False)}
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar); create table benchmark(item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    con.executemany("insert into benchmark values (?, ?)", [(None, "b c"), (None, "d e"), (7, "f g")])
+    assert got == {r[0]: r[1:] for r in con.execute(sql.DECONTAMINATION).fetchall()}
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [4]

@@ -63,10 +63,10 @@ def fingerprints(ids: np.ndarray) -> np.ndarray:
 class Index:
     """Windows of benchmark items: sorted hashes, and for each the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]]):
+    def __init__(self, items: list[tuple[str | None, bytes | None]]):
         hashes = WordHash()
         marks: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        found: dict[int, dict[int, set[str]]] = {}
+        found: dict[int, dict[int, set[str | None]]] = {}
         for item, text in items:
             ids = hashes.of(words(text))
             if not len(ids):
@@ -116,7 +116,7 @@ def _parts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield s, len(texts)
 
 
-def scan(texts: list[bytes | None], index: Index, hashes: WordHash, before: list | None = None) -> Iterator[tuple[int, list[int], list[str], int]]:
+def scan(texts: list[bytes | None], index: Index, hashes: WordHash, before: list | None = None) -> Iterator[tuple[int, list[int], list[str | None], int]]:
     """(words, spans hit as flat start and end, items, words hit) of each text; before: spans and items of earlier blocks."""
     for s, e in _parts(texts):
         lists = [words(t) for t in texts[s:e]]
@@ -124,7 +124,7 @@ def scan(texts: list[bytes | None], index: Index, hashes: WordHash, before: list
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         ids = np.concatenate([hashes.of(x) for x in lists])
         step = np.zeros(len(ids) + 1, np.int64)
-        items: dict[int, set[str]] = {}
+        items: dict[int, set[str | None]] = {}
         for n, at, h in index.matches(ids):
             doc = np.searchsorted(offsets, at, "right") - 1
             inside = at + n <= offsets[doc + 1]
@@ -144,11 +144,11 @@ def scan(texts: list[bytes | None], index: Index, hashes: WordHash, before: list
         for d in range(len(lists)):
             mask = hit[offsets[d] : offsets[d + 1]] if d in items else np.zeros(0, bool)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-            yield int(sizes[d]), edges.tolist(), sorted(items.get(d, ())), int(mask.sum())
+            yield int(sizes[d]), edges.tolist(), sorted(items.get(d, ()), key=lambda x: (x is None, x or "")), int(mask.sum())
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for i in range(n):
@@ -188,7 +188,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs(doc_id, text, ...).
 
     A null or wordless text has no words and no hits.  Repeated rows are answered one by
-    one; items that repeat an item_id count once.  An empty benchmark hits nothing.
+    one; items that repeat an item_id count once.  Items with a null item_id hit like others,
+    count as one item in n_items and add nothing to the digest.  An empty benchmark hits nothing.
     """
     out = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
     return out.select(
