@@ -232,3 +232,13 @@ def test_items_without_id_hit(spark):
     con.executemany("insert into benchmark values (?, ?)", [(None, "b c"), (None, "d e"), (7, "f g")])
     assert got == {r[0]: r[1:] for r in con.execute(sql.DECONTAMINATION).fetchall()}
     assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [4]
+
+
+def test_queries_in_small_leaves_get_all_neighbours(spark, monkeypatch):
+    """With a width of one leaf, queries among few rows far from a dense cluster went short."""
+    monkeypatch.setattr(ann, "_calibrated", lambda *a: 1)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.01, (600, 6)) + 1, rng.normal(0, 0.01, (5, 6)) - 9, rng.normal(0, 0.01, (5, 6)) * 3 + [9, -9, 9, -9, 9, -9]])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(600, x[600].tolist())] * 30
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 20 for i in range(0, 610, 5)}

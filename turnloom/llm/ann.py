@@ -5,7 +5,8 @@ inner product into the least distance.  The tree is fitted on a bounded sample (
 and sent to the executors; every vector is put into a leaf.  A query visits leaves best
 bin first, by a priority queue over tree nodes.  How many is calibrated: for a bounded
 sample of queries the true neighbours are found by brute force over all rows, and visits
-are widened until RECALL of them lie in visited leaves.
+are widened until RECALL of them lie in visited leaves.  A query whose leaves hold fewer
+than k rows besides its own goes on until they do or no leaf is left.
 
 Leaves are cut into cells of bounded numbers of candidates and queries, so a leaf that
 holds a third of all rows is many tasks.
@@ -176,13 +177,22 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K, recall: float =
             yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(tree.value.leaf(v)), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "leaf", "v"])
 
     index = materialise(rows.mapInArrow(put, "vec_id long, leaf long, v binary"), "index")
-    asked = index.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    asked = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("v"), F.count("*").alias("own"))
     width = _calibrated(index, asked, tree, k, recall)
+    sizes = spark.sparkContext.broadcast({r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()})  # a row for each leaf
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = matrix(b["v"])
-            leaves = [[leaf for leaf, _ in zip(tree.value.visits(row), range(width))] for row in q]
+            leaves = []
+            for row, own in zip(q, b["own"].to_pylist()):
+                leaves.append([])
+                held = 0
+                for leaf in tree.value.visits(row):
+                    if len(leaves[-1]) >= width and held >= k + own:
+                        break
+                    leaves[-1].append(leaf)
+                    held += sizes.value.get(leaf, 0)
             yield pa.RecordBatch.from_arrays([b["query_id"], pa.array(leaves, pa.list_(pa.int64())), b["v"]], ["query_id", "leaves", "v"])
 
     visits = asked.mapInArrow(visit, "query_id long, leaves array<long>, v binary")
