@@ -229,13 +229,74 @@ def test_secret_scan(spark, tmp_path):
     assert "guess:6:17" in next(r.spans for r in got if r.doc_id == 14)
 
 
+def plain_cost(v, ranks):
+    """The least cost over all divisions, each piece tested by its definition."""
+    low = v.lower()
+    plain = low.translate(secrets.LOOKALIKES)
+    char = secrets._charset(v)
+
+    def pieces(i, j):
+        for form, extra in ((low[i:j], 0), (plain[i:j], secrets.STAND_INS)):
+            if form in ranks and j - i > 2:
+                yield math.log10(ranks[form] + 1) + extra + (secrets.CAPITALS if v[i:j] != low[i:j] else 0)
+        yield (j - i) * char
+        for pattern, cost in secrets.DATES:
+            if pattern.fullmatch(v[i:j]):
+                yield cost
+        steps = {secrets.step(a, b) for a, b in zip(low[i:j], low[i + 1 : j])}
+        if j - i > 2 and len(steps) == 1 and None not in steps:
+            yield secrets.LENGTH + (char if steps == {(0, 0)} else secrets.WALK)
+
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        # Two brute-force pieces in a row cost more than one, so pieces may follow freely.
+        best.append(min(best[i] + (secrets.JOIN if i else 0) + c for i in range(j) for c in pieces(i, j)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_over_all_divisions():
+    rng = random.Random(3)
+    ranks = {"pass": 3, "word": 9, "password": 1, "day": 4, "sun": 70, "sunday": 30, "ssa": 12, "los": 5}
+    parts = ["password", "P@ss", "sunday", "SUN", "2019", "20190412", "12/31/1999", "31.12.1999", "aaa", "ddddddd", "qwer", "asdf", "0987", "x", "Q7", "#", "0", "los"]
+    for _ in range(400):
+        v = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))[:40]
+        if rng.random() < 0.3:
+            v = "".join(rng.choices("pasword0@2019qwe", k=rng.randint(1, 40)))
+        want = plain_cost(v, ranks)
+        assert secrets.guess_cost(v, ranks) == pytest.approx(want), v
+        for enough in (3.0, 10.0):
+            got = secrets.guess_cost(v * 4, ranks, enough)
+            full = secrets.guess_cost(v * 4, ranks)
+            assert got == full or enough <= got <= full + 1e-9
+
+
 def test_guess_cost_prefers_structure():
     cost = secrets.guess_cost
     assert cost("") == 0
     weak = [cost(x) for x in ("password1", "qwertyuiop", "aaaaaaaaaaaa", "20231231", "P@ssw0rd2019", "dragondragon")]
     assert max(weak) < secrets.LEAST_COST < cost("xK9#mQ2$vL7p")
     assert cost("password") <= cost("passwordx") <= cost("passwordxQ")
-    assert cost("k" * 3000) < 10
+    assert cost("k" * 3000) < 5
+    assert max(cost("password" + "d" * n) for n in range(101)) < 5
+
+
+STRONG = ["tR5$tt9Q!xv", "n8Fq2LmZ", "Zk3#pW9@rT", "correcthorsebatterystaple", "g7-Kd2_pLq9", "xkqzvbnmwrtp", "9f8e7d6c5b", "Vu&4hJ1!oP"]
+PROSE = [
+    "The secret: something about gardening", "auth: required for all users", "password: disabled", "token = get_token(request)", "auth: https://example.com/login",
+    "secret: ${DB_PASSWORD} is set", "credentials: localhost only", "auth: environment variable", "Passphrase: remember the summer", "key = value", "token: undefined",
+]
+
+
+def test_strong_values_are_found_and_prose_is_left_alone():
+    assert all(secrets.spans(f"pwd: {x} then") == [(5, 5 + len(x), "guess", 5)] for x in STRONG)
+    assert all(secrets.redacted(x) == x for x in PROSE)
+    assert max(map(secrets.guess_cost, ("something", "required", "disabled", "localhost", "environment"))) < secrets.LEAST_COST
+    assert len(secrets.dictionary(None)) == len(secrets.COMMON_WORDS) == len(set(secrets.COMMON_WORDS))
+
+
+def test_many_spans_in_one_text():
+    text = "\n".join(f"auth = Zk3#pW9@rT{i} token=abcdefghijklmn{i}" for i in range(3000))
+    assert collections.Counter(k for _, _, k, _ in secrets.spans(text)) == {"guess": 3000, "assign": 3000}
 
 
 def test_redaction(spark):

@@ -4,14 +4,21 @@ The guess cost of a value is that of its cheapest division into words, dates, re
 keyboard walks and brute-force spans (in decimal digits of guesses, by dynamic
 programming).  A value that follows a credential name and costs LEAST_COST or more is a
 secret even where no fixed pattern holds.  Offsets are code points.
+
+Words are ranked: a short list of frequent passwords and settings, then the words of a
+public byte-pair vocabulary (WORDS_FILE, a parameter), whose order of merges is one of
+frequency.  Without that file the short list is all there is.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,31 +34,53 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, which are the matches of [0-9a-f]+ with 16 characters or more.
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)["']?[\x20\t]*[:=]{1,2}[\x20\t]*(?:["']([^"'\s]+)["']|([^\s"',;]+))""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)["']?[\x20\t]*[:=]{1,2}[\x20\t]*(?:["']([^"'\s]+)["']|((?>[^\s"',;:<>(){}\[\]]+))(?![:<({\[]))""",
     re.ASCII | re.IGNORECASE,
 )
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 
-#: Frequent words of passwords, most frequent first.
+#: Ranked words in the form that tiktoken reads: base64 of a token and its rank on each line.
+WORDS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Letters of a word of that file.
+WORD = re.compile(rb"\x20?([A-Za-z]{3,20})")
+#: Frequent words of passwords and of settings, most frequent first.
 COMMON_WORDS = """password admin welcome login master dragon monkey letmein qwerty iloveyou princess sunshine
 football baseball shadow superman michael jordan hunter secret test guest user root default changeme
 summer winter spring autumn monday friday january july august october december love hello charlie
 daniel jessica ashley thomas andrew joshua soccer hockey killer george batman trustno ninja mustang
 access flower cookie computer internet server system service database example sample temp demo
 company office private public token key pass word apple google orange banana cheese pepper ginger
-tiger lion eagle falcon phoenix silver golden diamond crystal freedom money lucky magic purple""".split()
+tiger lion eagle falcon phoenix silver golden diamond crystal freedom money lucky magic purple
+true false none null required optional enabled disabled localhost environment something anything
+unknown undefined redacted placeholder string value""".split()
 #: Digits and signs that stand for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 #: Rows of the keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (x, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-RANKS = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-_DATE_COST = math.log10(365 * 120)
-_YEAR_COST = math.log10(120)
+_DAY, _MONTH, _YEAR, _GAP = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d", r"[-/._]?"
+_YEAR_COST, _DATE_COST = math.log10(120), math.log10(365 * 120)
+#: Dates; at one place each matches in one way at most.
+DATES = tuple(
+    (re.compile(p), c)
+    for p, c in ((_YEAR, _YEAR_COST), (_YEAR + _GAP + _MONTH + _GAP + _DAY, _DATE_COST), (_DAY + _GAP + _MONTH + _GAP + _YEAR, _DATE_COST), (_MONTH + _GAP + _DAY + _GAP + _YEAR, _DATE_COST))
+)
 #: Each piece after the first costs this much for the ways to order pieces.
-_JOIN = 0.5
+JOIN = 0.5
+#: Costs of a word's capitals, of stand-ins for its letters, of the length of a repeat or walk, and of a walk's start and direction.
+CAPITALS, STAND_INS, LENGTH, WALK = 0.5, 0.6, 1.5, math.log10(47 * 8)
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str | None = WORDS_FILE) -> dict[str, int]:
+    """Rank of each word, from 1; COMMON_WORDS alone if path is None or is not there."""
+    words = dict.fromkeys(COMMON_WORDS)
+    if path and os.path.exists(path):
+        with open(path, "rb") as f:
+            ranked = sorted((int(n), base64.b64decode(token)) for token, n in map(bytes.split, f))
+        words |= dict.fromkeys(m[1].decode().lower() for _, t in ranked if (m := WORD.fullmatch(t)))
+    return {w: i for i, w in enumerate(words, 1)}
 
 
 def _charset(value: str) -> float:
@@ -59,44 +88,58 @@ def _charset(value: str) -> float:
     return math.log10(sum(n for p, n in sizes if re.search(p, value)) or 10)
 
 
-def _near(a: str, b: str) -> bool:
+def step(a: str, b: str) -> tuple[int, int] | None:
+    """From a to b: (0, 0) for the same character, else the way to a neighbour on the keyboard, None if it is no neighbour."""
+    if a == b:
+        return 0, 0
     p, q = _PLACE.get(a), _PLACE.get(b)
-    return bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
+    d = (q[0] - p[0], q[1] - p[1]) if p and q else (9, 9)
+    return d if max(map(abs, d)) <= 1 else None
+
 
+def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float = math.inf) -> float:
+    """Decimal digits of the guesses that the cheapest division of value takes; 0 for an empty one.
 
-def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> float:
-    """Decimal digits of the guesses that the cheapest division of value takes; 0 for an empty one."""
+    Repeats (one character) and walks (one direction) have three characters or more.  If the
+    cost is `enough` or more, some number from `enough` up to the cost may be returned instead.
+    """
+    ranks = dictionary() if ranks is None else ranks
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(LOOKALIKES)
     char = _charset(value)
-    longest = max(map(len, ranks), default=0)
+    longest = max(map(len, ranks), default=0) if len(ranks) < 1000 else 20
     best = [0.0] + [math.inf] * n
-    brute = [math.inf] * (n + 1)  # the cheapest division whose last piece is brute force
-    dates = {(m.start(), m.end()) for i in range(n) if (m := _DATE.match(value, i))}
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j in dates:
-        ends.setdefault(j, []).append((i, _YEAR_COST if j - i == 4 else _DATE_COST))
-    run = walk = 0
+    brute = math.inf  # the cheapest division whose last piece is brute force
+    dates: dict[int, list[tuple[int, float]]] = {}
+    straight, before = math.inf, None  # the cheapest division before a repeat or walk that goes on, and its step
+    join = lambda i: best[i] + (JOIN if i else 0.0)
     for j in range(1, n + 1):
-        join = lambda i: best[i] + (_JOIN if i else 0.0)  # noqa: B023, E731
-        options = ends.get(j, [])
+        if value[j - 1].isdigit():
+            for pattern, cost in DATES:
+                if m := pattern.match(value, j - 1):
+                    dates.setdefault(m.end(), []).append((j - 1, cost))
+        brute = min(join(j - 1), brute) + char
+        least = brute
+        for i, cost in dates.pop(j, ()):
+            least = min(least, join(i) + cost)
         for i in range(max(0, j - longest), j - 2):
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
-                if form in ranks:
-                    options = [*options, (i, math.log10(ranks[form] + 1) + extra + (0.5 if value[i:j] != low[i:j] else 0.0))]
-        run = run + 1 if j > 1 and low[j - 1] == low[j - 2] else 0
-        walk = walk + 1 if j > 1 and _near(low[j - 1], low[j - 2]) else 0
-        for length in range(2, run + 1) if run < 16 else (run,):
-            options = [*options, (j - 1 - length, char + math.log10(length + 1))]
-        for length in range(2, walk + 1) if walk < 16 else (walk,):
-            options = [*options, (j - 1 - length, math.log10(47 * 8 * length))]
-        brute[j] = min(join(j - 1), brute[j - 1]) + char
-        best[j] = min([brute[j], *(join(i) + c for i, c in options)])
+            if best[i] + JOIN < least or not i:
+                for form, extra in ((low[i:j], 0.0), (plain[i:j], STAND_INS)):
+                    if (rank := ranks.get(form)) is not None:
+                        least = min(least, join(i) + math.log10(rank + 1) + extra + (CAPITALS if value[i:j] != low[i:j] else 0.0))
+        now = step(low[j - 2], low[j - 1]) if j > 1 else None
+        straight = min(straight, join(j - 3)) if now is not None and now == before else math.inf
+        before = now
+        least = min(least, straight + LENGTH + (char if now == (0, 0) else WALK))
+        best[j] = least
+        # Whatever piece comes next starts at one of these.
+        if not j % 64 and (floor := min(straight, brute, *best[max(0, j - max(longest, 12)) : j + 1])) >= enough:
+            return floor
     return best[n]
 
 
-def spans(text: str) -> list[tuple[int, int, str, int]]:
+def spans(text: str, ranks: dict[str, int] | None = None) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, start of the value) of every secret, by start, then kind as in KINDS."""
     out: list[tuple[int, int, str, int]] = []
     low = text.lower()
@@ -104,26 +147,28 @@ def spans(text: str) -> list[tuple[int, int, str, int]]:
         out += [(m.start(), m.end(), "assign", m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access", m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    hexes = [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
-    base = out
+    out += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     if ("=" in text or ":" in text) and any(k in low for k in _HINTS):
-        taken = [(v, e) for _, e, _, v in base + hexes]
+        taken = sorted((v, e) for _, e, _, v in out)
+        at, upto = 0, 0  # values that start before a candidate's end, and the last end among them
         for m in CONTEXT.finditer(text):
             g = 1 if m[1] is not None else 2
             s, e = m.span(g)
-            if e - s >= LEAST_LENGTH and not any(a < e and s < b for a, b in taken) and guess_cost(m[g]) >= LEAST_COST:
-                out = [*out, (s, e, "guess", s)]
-    return sorted(out + hexes, key=lambda x: (x[0], KINDS.index(x[2])))
+            while at < len(taken) and taken[at][0] < e:
+                upto, at = max(upto, taken[at][1]), at + 1
+            if e - s >= LEAST_LENGTH and upto <= s and guess_cost(m[g], ranks, LEAST_COST) >= LEAST_COST:
+                out.append((s, e, "guess", s))
+    return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def joined(found: list[tuple[int, int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k, _ in found)
 
 
-def redacted(text: str, mark: str = "<secret>") -> str:
+def redacted(text: str, mark: str = "<secret>", ranks: dict[str, int] | None = None) -> str:
     """text with the value of every secret replaced; overlapping ones as one."""
     out, at = [], 0
-    for s, e in sorted((v, e) for _, e, _, v in spans(text)):
+    for s, e in sorted((v, e) for _, e, _, v in spans(text, ranks)):
         if e <= at:
             continue
         out += [text[at:s], mark] if s > at or not out else []
@@ -131,42 +176,51 @@ def redacted(text: str, mark: str = "<secret>") -> str:
     return "".join([*out, text[at:]])
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n: dict[str, list[int]] = {k: [] for k in KINDS[:3]}
-        sha, every = [], []
-        for t in b["text"]:
-            found = spans(t.as_py() or "")
-            base = [x for x in found if x[2] != "guess"]
-            for k, v in n.items():
-                v.append(sum(x[2] == k for x in base))
-            sha.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            every.append(joined(found))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, pa.int64()) for v in n.values()), pa.array(sha, pa.string()), pa.array(every, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+def scan(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs(doc_id, text, ...).
 
+    A null text is empty: no spans, the digest of the empty list.  A null doc_id stays null.
+    Repeated rows are answered one by one; other columns, whatever their names, are not read.
+    Spans that start at one place come in the order of KINDS.  An empty table gives an empty result.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(dictionary(words_file))
 
-def scan(docs: DataFrame) -> DataFrame:
-    """n_assign, n_access, n_hex, base_sha256 and spans of every row of docs(doc_id, text, ...).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: dict[str, list[int]] = {k: [] for k in KINDS[:3]}
+            sha, every = [], []
+            for t in b["text"]:
+                found = spans(t.as_py() or "", held.value)
+                base = [x for x in found if x[2] != "guess"]
+                for k, v in n.items():
+                    v.append(sum(x[2] == k for x in base))
+                sha.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                every.append(joined(found))
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], *(pa.array(v, pa.int64()) for v in n.values()), pa.array(sha, pa.string()), pa.array(every, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+            )
 
-    A null text is empty: no spans, the digest of the empty list.  Repeated rows are
-    answered one by one.
-    """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_found, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return src.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
 
+def redact(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
+    """docs, every row and column in place, with the secrets of text replaced and n_chars, if there, brought up to date.
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of text replaced and n_chars, if there, brought up to date; texts without secrets stay as they are."""
+    Null texts and texts without secrets stay as they are.  Rows are treated one by one, so null
+    ids and repeated rows need no rule; columns besides text and n_chars are handed on untouched.
+    """
     names = docs.columns
+    held = docs.sparkSession.sparkContext.broadcast(dictionary(words_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             old = b["text"].to_pylist()
-            new = [None if t is None else redacted(t) for t in old]
+            new = [None if t is None else redacted(t, ranks=held.value) for t in old]
             cols = {c: b[c] for c in names} | {"text": pa.array(new, b["text"].type)}
             if "n_chars" in names:
-                held = b["n_chars"].to_pylist()
-                cols["n_chars"] = pa.array([n if x == y else len(y) for n, x, y in zip(held, old, new)], b["n_chars"].type)
+                length = b["n_chars"].to_pylist()
+                cols["n_chars"] = pa.array([n if x == y else len(y) for n, x, y in zip(length, old, new)], b["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)
