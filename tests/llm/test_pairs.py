@@ -36,19 +36,49 @@ def test_near_duplicates_of_a_dense_bucket(spark):
     assert got == {i: c for i, (_, c) in near_groups(rows).items()}
 
 
-def test_residual_pairs_of_small_sets_are_compared_in_full():
-    """Sets of 4 and 3 shingles, linked, that agree in 60 bins only and share one band."""
-    s = np.unique(np.random.default_rng(12245).integers(0, 2**64, 4, dtype=np.uint64))
-    a, b = (minhash.signature(x) for x in (s, s[:3]))
-    h = np.intersect1d(minhash.band_hashes(a), minhash.band_hashes(b))
-    assert len(h) == 1 and ((a ^ b) & np.uint64(0xFF) == 0).sum() == 60
-    p, q = (
-        [{"id": k, "comp": k, "n": len(x), "bands": minhash.band_hashes(sig).view(np.int64).tolist(), "bins": sig.astype(np.uint8).tobytes(), "shingles": x.tobytes()}]
-        for k, (x, sig) in enumerate(((s, a), (s[:3], b)))
-    )
-    rows = pa.RecordBatch.from_pylist([{"h": h.view(np.int64)[0].item(), "p": p, "q": q}])
-    assert [x.to_pylist() for x in minhash._open_members([rows])] == [[{"h": h.view(np.int64)[0].item(), "id": k} for k in (0, 1)]]
-    assert [x.to_pylist() for x in minhash._block_links([rows])] == [[{"a": 0, "b": 1}]]
+def test_across_finds_every_link_between_components(spark):
+    """Random sets of all sizes from shared pools, each its own component or one of few."""
+    rng = np.random.default_rng(1)
+    sets = []
+    for k in range(260):
+        pool = np.random.default_rng(k % 7).integers(0, 2**62, 90)
+        n = int(rng.choice([3, 9, 60, 75, 82, 90]))
+        sets.append(np.unique(np.concatenate([rng.choice(pool, n, replace=False), rng.integers(0, 2**62, int(rng.integers(0, 1 + n // 6)))])))
+    comp = [i if i % 3 else i % 5 for i in range(len(sets))]
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    nodes = spark.createDataFrame(list(enumerate(comp)), "id long, comp long")
+    met = {tuple(r) for r in minhash.across(nodes, rows).collect()}
+    every = {(i, j) for j in range(len(sets)) for i in range(j) if comp[i] != comp[j]}
+    links = {(i, j) for i, j in every if minhash.linked(sets[i].view(np.uint64), sets[j].view(np.uint64))}
+    assert len(links) > 50 and links <= met <= every
+    assert len(met) < len(every) / 3
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    """Sets that share half their shingles, all in one bucket: rows stay linear, pairs none."""
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**62, int(rng.integers(22, 40)))])) for _ in range(3000)]
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    assert minhash.across(rows.selectExpr("id", "id as comp"), rows).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
+    got = {r.id: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert sorted(got) == [*range(61), *range(100, 160), 200, 201]
+    assert len({got[i] for i in range(61)}) == len({got[i] for i in range(100, 160)}) == 1
+    assert len(set(got.values())) == 3
+
+
+def test_rows_that_share_a_doc_id_keep_their_texts(spark):
+    say = lambda p: " ".join(f"{p}{i}" for i in range(40))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " more"), (3, say("b") + " more"), (4, say("c")), (4, say("c")), (4, say("c") + " x"), (5, say("d")), (None, say("d")), (6, "  "), (6, "  ")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 5), (None, None), (6, 6), (6, 6)], key=str)
+    kept = sorted(((r.doc_id, r.text[:2]) for r in minhash.deduplicated(docs).collect()), key=str)
+    assert kept == sorted([(1, "a0"), (1, "b0"), (4, "c0"), (5, "d0"), (None, "d0"), (6, "  "), (6, "  ")], key=str)
 
 
 def test_near_duplicates_edges(spark):

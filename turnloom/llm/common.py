@@ -7,6 +7,8 @@ memory than many short ones.
 
 from __future__ import annotations
 
+import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,27 +32,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session names none."""
+    """The folder of spark.checkpoint.dir.  Only a local session that names none gets one, for tests: on a
+    cluster, executors would write to their own disks, so there it must be set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = held.get() if held.isDefined() else None
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="turnloom-")
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it cuts the
     lineage and survives lost executors.  The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    files, p = _hadoop(spark, path)
+    files.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._turnloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() on which nothing lazy depends any more."""
+    for t in tables:
+        files, p = _hadoop(t.sparkSession, t._turnloom_path)
+        files.delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df starts with."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__tl_"
+    while any(c.startswith(lead) for c in taken):
+        lead = "_" + lead
+    return [lead + n for n in names]
+
+
+def trimmed(run):
+    """run() as a function for mapInArrow whose worker gives memory back to the system when a task ends:
+    workers stay, and else each would keep the most it ever used."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -109,45 +158,45 @@ def pieces(n: int, size: int = PIECE) -> Iterator[tuple[int, int]]:
         yield s, min(n, s + size)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-#: Bits of the map that maybe_in() sends to the executors.
-MAP_BITS = 25
+#: Bits of the map that maybe_in() sends to the executors: 16 a key within these bounds.
+LEAST_MAP_BITS, MAP_BITS = 16, 26
 
 
-def maybe_in(df: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
-    """The rows of df whose key may be in the only column of wanted.  A map of 2^MAP_BITS
-    hashed keys decides: of fixed size, it errs to yes only, and lets more through the fuller
-    it is.  It spares a following join the shuffle of long texts that find no partner.
-    With `others` the remaining rows, which are certainly not in it; null keys are among them."""
+def maybe_in(df: DataFrame, keys: str | list[str], wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of df whose keys may be a row of wanted (columns in the order of keys).  A map of hashed
+    keys decides: it errs to yes only, for a fifteenth of the rows at most while wanted has up to
+    2^MAP_BITS / 16 rows; fuller maps let more through.  It spares a following join the shuffle of
+    long texts that find no partner.  With `others` the remaining rows, which are certainly not in
+    it; rows with a null key are among them."""
     spark = df.sparkSession
-    h = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("key map")), F.lit(1 << MAP_BITS))
-    own = wanted.columns[0]
+    keys = [keys] if isinstance(keys, str) else keys
+    size = min(MAP_BITS, max(LEAST_MAP_BITS, math.ceil(math.log2(16 * max(1, wanted.count())))))
+    h = lambda cs: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cs], F.lit("key map")), F.lit(1 << size))
     bit = F.expr("shiftleft(1L, cast(h & 31 as int))")
-    bits = wanted.select(h(own).alias("h")).groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
-    words = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    bits = wanted.select(h(wanted.columns).alias("h")).groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    words = np.zeros(1 << (size - 5), np.uint32)
     if len(bits):
         words[bits["w"].to_numpy()] = bits["b"].to_numpy().astype(np.uint32)
     held = spark.sparkContext.broadcast(words)
     names = df.columns
+    (mark,) = fresh(df, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b["__tl_h"].fill_null(0).to_numpy(zero_copy_only=False)
-            there = ((held.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1) & b["__tl_h"].is_valid().to_numpy(zero_copy_only=False)
+            x = b[mark].fill_null(0).to_numpy(zero_copy_only=False)
+            there = ((held.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1) & b[mark].is_valid().to_numpy(zero_copy_only=False)
             yield b.select(names).filter(pa.array(there != others))
 
-    return df.withColumn("__tl_h", F.when(F.col(key).isNotNull(), h(key))).mapInArrow(run, df.schema)
+    known = F.lit(True)
+    for c in keys:
+        known &= F.col(f"`{c}`").isNotNull()
+    return df.withColumn(mark, F.when(known, h(keys))).mapInArrow(trimmed(run), df.schema)
 
 
-def without(df: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
-    """The rows of df whose key is not in the only column of unwanted; rows with a null key stay."""
-    keys = unwanted.toDF(key).distinct()
-    return maybe_in(df, key, unwanted, others=True).union(maybe_in(df, key, unwanted).join(keys, key, "left_anti").select(*df.columns))
+def without(df: DataFrame, keys: list[str], unwanted: DataFrame) -> DataFrame:
+    """The rows of df whose keys are not a row of unwanted; rows with a null key stay."""
+    gone = unwanted.toDF(*keys).distinct()
+    return maybe_in(df, keys, unwanted, others=True).union(maybe_in(df, keys, unwanted).join(gone, keys, "left_anti").select(*[f"`{c}`" for c in df.columns]))
 
 
 @contextmanager
@@ -160,3 +209,10 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down.
+    What a query returns is lazy, so the setting stays with the session; a smaller one is left alone."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

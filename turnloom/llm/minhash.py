@@ -2,14 +2,19 @@
 
 Method: one-permutation hashing with optimal densification into 128 bins, 32 bands
 of 4 bins, and star-shaped candidate edges.  Documents with equal shingle sets are
-one class from the start.  Each bucket of classes then gets two stars (to the
-classes that come first and last in a hashed order), so candidate pairs stay
-linear in bucket size; every candidate is confirmed on full shingle sets.  Buckets
-that still hold several components after that are finished exactly: each of their
-pairs across components is compared, in blocks, on full sets; of large sets only where
-the signatures' bins do not rule a link out.  Nothing is capped.
-
-A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6.
+one class from the start.  Each bucket of classes gets two stars (to its least and its
+greatest class), so candidate pairs stay linear in bucket size; every candidate is
+confirmed on full shingle sets.
+
+Buckets that still hold several components after that are finished exactly, and without
+meeting all their pairs: of the classes in them every shingle set is ordered by how many
+of those sets hold a shingle, and two linked sets must share one of the first quarter
+(prefix filtering), at places that leave room for the intersection asked for.  Shingles
+that occur in one component only come first and need no partner.  What two sets of
+different components meet in is confirmed on full sets.  Nothing is capped.
+
+A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, were bins
+independent.
 """
 
 from __future__ import annotations
@@ -19,26 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import LOWER, WordHash, batches_of, id_text, materialise, maybe_in, mix64, signed, without
+from turnloom.llm.common import LOWER, WordHash, batches_of, discard, fresh, materialise, maybe_in, mix64, signed, trimmed, without
 
 WIDTH = 5
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= PERCENT * union, which is 7 * intersection >= 3 * (sum of sizes).
 PERCENT = 75
-#: Members of a bucket that one residual block holds, and their shingles (about).
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-#: Rows of an Arrow batch where rows hold two shingle sets, or two blocks.
-PAIRS_AT_ONCE, BLOCKS_AT_ONCE = 64, 4
-#: Residual pairs go to full sets untested if the smaller set has at most SMALL shingles: bins
-#: that draw on few values do not agree independently.  Of larger sets LEAST_BINS bins must agree:
-#: were bins independent, a pair at the threshold would have fewer with probability 3.4e-10.
-SMALL = 512
-LEAST_BINS = 64
+#: Rows of an Arrow batch where rows hold two shingle sets.
+PAIRS_AT_ONCE = 64
 
 _MUL = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WIDTH)], np.uint64)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
@@ -82,34 +80,30 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
         return mix64((mix64(sig + np.arange(BINS, dtype=np.uint64)).reshape(BANDS, ROWS) * _MUL[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes]]]:
+    """Batches of at most 256 rows with the set and its digest of each text."""
     hashes = WordHash()
     for b in batches:
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
-            yield part["doc_id"].to_pylist(), [shingle_set(hashes.of((t or b"").translate(LOWER).split())) for t in part["text"].to_pylist()]
+            sets = [shingle_set(hashes.of((t or b"").translate(LOWER).split())) for t in part["text"].to_pylist()]
+            yield part, sets, [xxhash.xxh128_digest(s.tobytes()) for s in sets]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        n = [len(s) for s in sets]
-        digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-        sigs = [signature(s) if len(s) else None for s in sets]
+    for part, sets, digests in _sets(batches):
+        bands = [signed(band_hashes(signature(s))) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array(digests, pa.binary()),
-                pa.array([None if s is None else signed(band_hashes(s)) for s in sigs], pa.list_(pa.int64())),
-                pa.array([None if s is None else (s & np.uint64(0xFF)).astype(np.uint8).tobytes() for s in sigs], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "digest", "bands", "bins"],
+            [part["doc_id"], part["tie"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "tie", "n_shingles", "digest", "bands"],
         )
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+    """The sets of the texts whose digest is the one asked for: rows may share a doc_id."""
+    for part, sets, digests in _sets(batches):
+        right = np.array([a == b for a, b in zip(digests, part["digest"].to_pylist())], bool)
+        yield pa.RecordBatch.from_arrays([part["id"], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"]).filter(pa.array(right))
 
 
 def linked(p: np.ndarray, q: np.ndarray) -> bool:
@@ -132,153 +126,156 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those that are linked when their full sets are compared."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_confirm), "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp) for each row id of nodes: comp is the least id of its component.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) for each end of the edges (a, b): the same root throughout a component.
 
     Each round contracts every node into its neighbour that comes first in an order
-    hashed anew, which halves what is left on average whatever the shape; the tables
-    of a round are written to the shared folder.
+    hashed anew, which halves what is left on average whatever the shape.  A round holds
+    only the nodes that still have an edge, so all rounds together are linear.
     """
-    at = nodes.select("id", F.col("id").alias("cur"))
-    edges = edges.where("a <> b").distinct()
-    k = 0
-    while True:
-        edges = materialise(edges, f"edges{k}")
-        if edges.isEmpty():
-            break
-        first = lambda c: F.min_by(F.col(c), F.xxhash64(F.col(c), F.lit(k)))  # noqa: E731, B023
+    maps, k = [], 0
+    edges = materialise(edges.where("a <> b").distinct(), "edges0")
+    while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        near = both.union(both.select("u", "u")).groupBy("u").agg(first("v").alias("w"))
-        near = materialise(near, f"near{k}")
-        at = at.join(near, at.cur == near.u, "left").select("id", F.coalesce("w", "cur").alias("cur"))
-        at = materialise(at, f"at{k}")
+        first = F.min_by("v", F.xxhash64(F.col("v"), F.lit(k)))
+        near = materialise(both.union(both.select("u", "u")).groupBy("u").agg(first.alias("w")), f"near{k}")
+        maps.append(near)
         na, nb = near.toDF("a", "wa"), near.toDF("b", "wb")
-        edges = edges.join(na, "a").join(nb, "b").where("wa <> wb").select(F.least("wa", "wb").alias("a"), F.greatest("wa", "wb").alias("b")).distinct()
         k += 1
-    if k == 0:
-        return at.select("id", F.col("id").alias("comp"))
-    least = at.groupBy("cur").agg(F.min("id").alias("comp"))
-    return at.join(least, "cur").select("id", "comp")
-
-
-def _block_pairs(row: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js) for two blocks of one bucket: member i of the left and those of the right that
-    may be linked with it, lie in another component and share no earlier band."""
-    sides = []
-    for s in ("p", "q"):
-        m = row[s]
-        ints = {k: np.array([x[k] for x in m], np.int64) for k in ("id", "comp", "n")}
-        sides.append((ints, np.array([x["bands"] for x in m], np.int64), np.frombuffer(b"".join(x["bins"] for x in m), np.uint8).reshape(-1, BINS)))
-    (left, bands, bins), (right, bands2, bins2) = sides
-    band = np.flatnonzero(bands[0] == row["h"])[0]
-    for i in range(len(bins)):
-        ok = (left["comp"][i] != right["comp"]) & (100 * np.minimum(left["n"][i], right["n"]) >= PERCENT * np.maximum(left["n"][i], right["n"]))
-        j = np.nonzero(ok)[0]
-        j = j[(np.minimum(left["n"][i], right["n"][j]) <= SMALL) | ((bins2[j] == bins[i]).sum(axis=1) >= LEAST_BINS)]
-        if len(j):
-            yield i, j[(bands2[j] == bands[i]).argmax(axis=1) == band]
-
-
-def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, id) of the members that have such a partner."""
+        after = edges.join(na, "a").join(nb, "b").where("wa <> wb").select(F.least("wa", "wb").alias("a"), F.greatest("wa", "wb").alias("b")).distinct()
+        after = materialise(after, f"edges{k}")
+        discard(edges)
+        edges = after
+    out = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    for near in reversed(maps):
+        later = out.toDF("w", "root")
+        out = near.join(later, "w", "left").select(F.col("u").alias("id"), F.coalesce("root", "w").alias("root"))
+    out = materialise(out, "roots")
+    discard(edges, *maps)
+    return out
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, id, comp, n) for each shingle g of each set."""
     for b in batches:
-        for k in range(len(b)):
-            row = b.slice(k, 1).to_pylist()[0]
-            ids = set()
-            for i, j in _block_pairs(row):
-                ids.update(row["q"][x]["id"] for x in j.tolist())
-                if len(j):
-                    ids.add(row["p"][i]["id"])
-            yield pa.RecordBatch.from_arrays([pa.array([row["h"]] * len(ids), pa.int64()), pa.array(sorted(ids), pa.int64())], ["h", "id"])
+        for at in range(0, len(b), 64):
+            part = b.slice(at, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part["shingles"]]
+            n = np.array([len(s) for s in sets])
+            cols = [pa.array(np.repeat(part[c].to_numpy(), n)) for c in ("id", "comp")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *cols, pa.array(np.repeat(n, n))], ["g", "id", "comp", "n"])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(len(b)):
-            row = b.slice(k, 1).to_pylist()[0]
-            p, q = ([np.frombuffer(x["shingles"], np.uint64) for x in row[s]] for s in ("p", "q"))
-            out = [
-                (min(x, y), max(x, y))
-                for i, js in _block_pairs(row)
-                for j in js.tolist()
-                if linked(p[i], q[j])
-                for x, y in ((row["p"][i]["id"], row["q"][j]["id"]),)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-
-def _met(rows: DataFrame, block: int, *more: str) -> DataFrame:
-    """Rows (h, p, q): each two blocks of at most about `block` members of a bucket, if they hold several components."""
-    sizes = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.sum("n").alias("words")).where("x <> y")
-    sizes = sizes.select("h", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("words") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = rows.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = F.collect_list(F.struct("id", "comp", "n", "bands", "bins", *more))
-    blocks = materialise(dealt.groupBy("h", "block").agg(held.alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
-    one = blocks.select("h", F.col("block").alias("i"), F.col("m").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    two = blocks.select("h", F.col("block").alias("j"), F.col("m").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return one.join(two, "h").where("i <= j and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("h", "p", "q")
+def _length_class(n: Column) -> Column:
+    """Grows with n, by one for each six per cent."""
+    return F.floor(F.log2(n.cast("double")) * 12).cast("int")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
+def across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes(id, comp) in different components, every linked one among them, by their
+    sets (id, shingles): prefix filtering with the order and the bounds on places told at the top.
 
-    A null or blank text has no shingles and is linked with nothing.  Rows that repeat
-    a doc_id are answered row by row; rows with a null doc_id take no part in links and
-    get a null component_id and kept true.  An empty table gives an empty result.
+    Keys of the joins are shingles and lengths.  Those that many sets share make long join
+    partitions, which adaptive execution splits, but no rows: a set asks only lengths at which
+    its shingle occurs in another component with room for the intersection.
     """
-    texts = id_text(docs)
-    sigs = materialise(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary"), "sigs")
-    reps = (
-        sigs.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
-    )
-    reps = materialise(reps, "reps")
-    # Dealt by bucket once, for the stars and for the members that meet them.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = reps.select("id", F.explode("bands").alias("h")).repartition(parts, "h")
-    stars = buckets.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id")).alias("lo"), F.max(F.struct(F.xxhash64("id"), "id")).alias("hi"))
-    stars = stars.where("c > 1").select("h", "c", F.col("lo.id").alias("lo"), F.col("hi.id").alias("hi"))
-    members = materialise(buckets.join(stars, "h"), "members")
+    tokens = materialise(sets.join(nodes, "id").select("id", "comp", "shingles").mapInArrow(trimmed(_shingle_rows), "g long, id long, comp long, n long"), "tokens")
+    shared = tokens.groupBy("g").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g", "df")
+    shared = materialise(shared, "shared")
+    rows = tokens.join(shared, "g").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("l"))  # a text's shingles
+    rows = rows.withColumn("alone", F.col("n") - F.size("l")).withColumn("take", F.expr("cast(n - (3 * n + 3) div 4 + 1 - alone as int)")).where("take > 0")
+    rows = rows.select("id", "comp", "n", "alone", F.posexplode(F.slice("l", F.lit(1), F.col("take"))).alias("pos", "x"))
+    prefix = rows.select(F.col("x.g").alias("g"), _length_class(F.col("n")).alias("lc"), "id", "comp", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"))
+    prefix = materialise(prefix, "prefix")
+    there = prefix.groupBy("g", "lc").agg(*[f(c).alias(f"{c}_{f.__name__}") for c, f in (("comp", F.min), ("comp", F.max), ("n", F.min), ("n", F.max), ("rest", F.max))])
+    there = materialise(there, "there")
+    # The longer set of a pair asks; the shorter has from lo to hi shingles.
+    asking = prefix.withColumn("lo", F.expr("(3 * n + 3) div 4")).withColumn("hi", F.expr("least(n, (7 * rest) div 3 - n)")).where("lo <= hi")
+    asking = asking.drop("lc").withColumn("lc", F.explode(F.sequence(_length_class(F.col("lo")), _length_class(F.col("hi")))))
+    asking = asking.join(there, ["g", "lc"]).where("(comp_min <> comp or comp_max <> comp) and n_min <= hi and n_max >= lo and 7 * rest_max >= 3 * (n + n_min)")
+    asking = materialise(asking.select("g", "lc", "id", "comp", "n", "lo", "hi"), "asking")
+    given = prefix.toDF("g", "lc", "id2", "comp2", "n2", "rest2")
+    met = asking.join(given, ["g", "lc"]).where("n2 between lo and hi and comp2 <> comp and 7 * rest2 >= 3 * (n + n2) and (n2 < n or id2 < id)")
+    pairs = materialise(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "met")
+    discard(tokens, shared, prefix, there, asking)
+    return pairs
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (hash of the text), n_shingles, component_id and root (a number of the component, null
+    where a row takes no part in links) for each row of docs."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
+    sigs = materialise(texts.mapInArrow(trimmed(_signatures), "doc_id long, tie long, n_shingles long, digest binary, bands array<long>"), "sigs")
+    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    bands = classes.select("id", F.explode("bands").alias("h"))
+    stars = bands.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c > 1")
+    stars = materialise(stars, "stars")
+    members = materialise(maybe_in(bands, "h", stars.select("h")).join(stars, "h"), "members")
     pairs = members.select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    same = maybe_in(texts, "doc_id", wanted).join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
-    sets = materialise(same.mapInArrow(_set_rows, "id long, shingles binary").dropDuplicates(["id"]), "sets")
-    spark = docs.sparkSession
+    wanted = classes.select("id", "doc", "digest").join(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "id")
+    wanted = materialise(wanted.select(F.col("doc").alias("doc_id"), "digest", "id"), "wanted")
+    same = maybe_in(texts, "doc_id", wanted.select("doc_id")).select("doc_id", "text").join(wanted, "doc_id").select("id", "digest", "text")
+    sets = materialise(same.mapInArrow(trimmed(_set_rows), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     with batches_of(spark, PAIRS_AT_ONCE):
         links = materialise(confirmed(pairs, sets), "links")
-    nodes = materialise(components(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), links), "comps")
+    roots = components(links)
 
     # What the stars left open: buckets of three or more classes in several components.
-    open_ = members.where("c > 2").select("h", "id").join(nodes, "id", "left").select("h", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    open_ = materialise(open_.join(mixed, "h").join(reps.select("id", "bands", "bins", "n"), "id"), "open")
-    with batches_of(spark, BLOCKS_AT_ONCE):
-        some = materialise(_met(open_, BLOCK).mapInArrow(_open_members, "h long, id long").distinct(), "some")
-        full = open_.join(some, ["h", "id"]).join(sets, "id")
-        links2 = materialise(_met(full, BLOCK // 4, "shingles").mapInArrow(_block_links, "a long, b long").distinct(), "links2")
-    if not links2.isEmpty():
-        every = links.union(links2)
-        nodes = materialise(components(every.select(F.col("a").alias("id")).union(every.select("b")).distinct(), every), "comps2")
-
-    classes = reps.select("digest", "id").join(nodes, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
-    out = sigs.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("digest")).alias("digest"))
-    out = out.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    held = members.where("c > 2").select("h", "id").join(roots, "id", "left").select("h", "id", F.coalesce("root", "id").alias("comp"))
+    held = materialise(held, "held")
+    mixed = held.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    mixed = materialise(mixed, "mixed")
+    nodes = materialise(held.join(mixed, "h").select("id", "comp").distinct(), "nodes")
+    pairs2 = across(nodes, sets)
+    with batches_of(spark, PAIRS_AT_ONCE):
+        links2 = materialise(confirmed(pairs2, sets), "links2")
+    part = links2.join(nodes.toDF("a", "ra"), "a").join(nodes.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = components(part)
+
+    own = classes.select("id", "doc", "digest").join(roots, "id", "left").select("doc", "digest", F.coalesce("root", "id").alias("r"))
+    own = own.join(merged.toDF("r", "root"), "r", "left").select("doc", "digest", F.coalesce("root", "r").alias("root"))
+    own = materialise(own, "own")
+    least = materialise(own.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
+    labels = own.select("digest", "root").join(least, "root").select("digest", "root", "component_id")
+    out = sigs.select("doc_id", "tie", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("digest")).alias("digest"))
+    out = materialise(out.join(labels, "digest", "left").select("doc_id", "tie", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root"), "groups")
+    discard(sigs, classes, stars, members, pairs, wanted, sets, links, roots, held, mixed, nodes, pairs2, links2, merged, own, least)
+    return out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...); other columns are not read.
+
+    A null or blank text has no shingles and is linked with nothing.  Rows that repeat
+    a doc_id are answered row by row, each by its own text; rows with a null doc_id take no part
+    in links and get a null component_id and kept true.  An empty table gives an empty result.
+    """
+    return groups(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the least doc_id; rows that
-    repeat a doc_id count as copies, and of them one stays.  Documents without words all stay."""
-    found = materialise(near_duplicates(docs), "groups")
-    out = without(docs, "doc_id", found.where("not kept").select("doc_id"))
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = materialise(again, "again")
-    if again.isEmpty():
-        return out
-    once = maybe_in(out, "doc_id", again).join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without(out, "doc_id", again).union(once)
+    """docs, all columns, with one row of each near-duplicate group: that of the least doc_id and, of rows
+    that share it, of the least text hash; of equal rows one stays.  Rows without words or without
+    a doc_id all stay.  An empty table stays empty."""
+    found = groups(docs)
+    firsts = found.where("root is not null and doc_id = component_id")
+    several = firsts.groupBy("root").agg(F.count("*").alias("c"), F.min("tie").alias("kept_tie")).where("c > 1")
+    several = materialise(several, "several")  # empty where each doc_id has one row
+    copies = found.where("root is not null and doc_id <> component_id").select("doc_id", "tie")
+    twins = firsts.join(several, "root")
+    gone = materialise(copies.union(twins.where("tie <> kept_tie").select("doc_id", "tie")).distinct(), "gone")
+    again = materialise(twins.where("tie = kept_tie").groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie"), "again")
+    names = docs.columns
+    keys = fresh(docs, "id", "tie")
+    rows = docs.withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: F.xxhash64("text")})
+    out = without(rows, keys, gone)
+    if not again.isEmpty():
+        once = maybe_in(out, keys, again).join(again.toDF(*keys), keys, "left_semi").dropDuplicates(keys).select(*[f"`{c}`" for c in rows.columns])
+        out = without(out, keys, again).union(once)
+    return out.select(*[F.col(f"`{c}`") for c in names])
