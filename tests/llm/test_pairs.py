@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import random
 
 import duckdb
 import numpy as np
@@ -139,19 +141,44 @@ def test_repeats_edges(spark):
     assert got == {1: (0, 0, 0), 2: (0, 0, 0), None: (99, 0, 0)}
 
 
-def test_levels_fall_by_half_and_hold_everything():
+def test_levels_are_suffix_arrays_and_fall_by_half():
+    """Against the plain longest common prefix with everything before; bytes of all kinds, NUL among them."""
     rng = np.random.default_rng(0)
-    index, seen = suffix.LogIndex(), set()
-    for _ in range(60):
-        batch = rng.integers(0, 3000, rng.integers(1, 200)).astype(np.uint64)
+    index, seen = suffix.LogIndex(), []
+    for k in range(30):
+        data = rng.choice(np.array([0, 1, 97, 255], np.uint8), int(rng.integers(100, 400)))
+        if k % 3 == 1:
+            data = np.concatenate([data[:40], before[:150], data[40:]])  # noqa: F821
+        if k % 7 == 0:
+            data[:] = 0
+        before = data
+        at = np.arange(len(data) - suffix.SPAN + 1)
         want = []
-        for x in batch.tolist():
-            want.append(x in seen)
-            seen.add(x)
-        assert index.insert(batch).tolist() == want
-        sizes = [len(x) for x in index.levels]
+        for p in at:
+            mine = data[p : p + suffix.SPAN].tobytes()
+            want.append(any(len(os.path.commonprefix([mine, x])) >= suffix.SPAN for x in seen))
+            seen.append(mine)
+        assert index.insert(data, at).tolist() == want
+        for level in index.levels:
+            s = [level.data[p : p + suffix.SPAN].tobytes() for p in level.at]
+            assert s == sorted(set(s))
+        sizes = [len(x.at) for x in index.levels]
         assert all(b * 2 <= a for a, b in zip(sizes, sizes[1:]))
-    assert sum(sizes) == len(seen)
+    assert sum(sizes) == len(set(seen))
+
+
+@pytest.mark.parametrize("hot", [2, 12])
+def test_crowded_anchors_do_not_change_the_result(spark, monkeypatch, hot):
+    """A passage with different surroundings in every document."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = say(300)
+    rows = [(i, say(rng.randint(0, 90)) + passage[rng.randint(0, 9) : 290] + say(rng.randint(0, 90)), None, None, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = docs.selectExpr("doc_id as doc", "hash(text) as tie", "cast(text as binary) as text")
+    assert len(suffix.crowded(texts)) > 0
+    assert {r.doc_id: tuple(r)[1:] for r in suffix.remove_repeats(docs.repartition(3)).collect()} == plain_repeats(rows)
 
 
 def test_fingerprints_and_runs_cover_every_position(monkeypatch):
@@ -159,8 +186,9 @@ def test_fingerprints_and_runs_cover_every_position(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 700).astype(np.uint8)
     offsets = np.array([0, 150, 150, 249, 349, 700])
+    hot = np.unique(np.concatenate([x[3] for x in suffix.runs(data, offsets)]))[::2]
     got = set()
-    for text, p, n, key, whole in suffix.runs(data, offsets):
+    for text, p, n, key, whole in suffix.runs(data, offsets, hot):
         for t, a, k in zip(text, p, n):
             assert 1 <= k <= suffix.STARTS
             got |= {(int(t), int(x)) for x in range(a, a + k)}
