@@ -6,12 +6,15 @@ import collections
 import hashlib
 import math
 import random
+import os
 import re
+import textwrap
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, make_docs, words
 from turnloom.llm import langid, licences, lmscore, mixing, ppm, queries, secrets, toxicity
@@ -366,8 +369,8 @@ def test_mix_edges(spark, monkeypatch):
 
 def test_licences(spark):
     mit = licences.TEXTS["MIT"]
-    texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), mit.replace("sublicense", "sub-license"), mit + " more", None, "", "Text.\nLicensed under CC BY-NC 4.0.\nlicenced under the apache licence, version 2.0", "(C) x\n© y"]
-    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)] + [(0, mit, None, None, 0)], SCHEMA).selectExpr("*", "1 as digest", "2 as licence", "3 as row")
+    texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), mit.replace("sublicense", "sub-license"), mit + " more", None, "", "Text.\nLicensed under CC BY-NC 4.0.\nlicenced under the apache licence, version 2.0", "(C) 2001 x\n© y"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)] + [(0, mit, None, None, 0)], SCHEMA).selectExpr("*", "1 as digest", "2 as licence", "3 as row", "4 as key", "5 as notices")
     got = licences.scan(docs).orderBy("doc_id").collect()
     assert [r.licence for r in got] == ["MIT", "MIT", "MIT", "MIT", None, None, None, None, None]
     assert got[7].notices == "Apache-2.0,CC-BY-NC-4.0" and {r.notices for r in got[:7]} == {""}
@@ -375,6 +378,44 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_files_as_they_are_found(spark):
+    mit, bsd3 = licences.TEXTS["MIT"], licences.TEXTS["BSD-3-Clause"]
+    wrap = lambda t, w=72, lead="": "\n".join(lead + x for x in textwrap.wrap(t, w))
+    files = {
+        "MIT License\n\nCopyright (c) 2024 A. Person\n\n" + wrap(mit) + "\n": "MIT",
+        "The MIT License (MIT)\n=====================\n\nCopyright © 2019 Some One <a@b.example>\n\n" + wrap(mit, 60): "MIT",
+        "/*\n * The MIT License\n *\n * Copyright 2001, 2002 X\n *\n" + wrap(mit, 70, " * ") + "\n */": "MIT",
+        "Copyright Some Foundation\n\n" + mit.replace('"', "“"): "MIT",
+        "BSD 3-Clause License\n\nCopyright (c) 2015, The Group\nAll rights reserved.\n\n" + wrap(bsd3): "BSD-3-Clause",
+        "Copyright (c) 2010 Org. All rights reserved.\n\n" + wrap(bsd3.replace("the name of the copyright holder nor", "the name of Some Org, Inc. nor"), 64): "BSD-3-Clause",
+        "ISC License\n\nCopyright 2020 Q\n\n" + wrap(licences.TEXTS["ISC"]): "ISC",
+        wrap(licences.TEXTS["Unlicense"]): "Unlicense",
+        "MIT License\n\nbut not its text": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(files)), "doc_id long, text string")
+    assert [r.licence for r in licences.scan(docs).orderBy("doc_id").collect()] == list(files.values())
+    assert len({k for k in [*licences.TEXTS, *licences.DIGESTS]}) >= 15
+
+
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")])
+def test_long_licences(spark, name, file):
+    path = f"/usr/share/common-licenses/{file}"
+    if not os.path.exists(path):
+        pytest.skip("no licence files here")
+    text = open(path, encoding="utf-8").read()
+    docs = spark.createDataFrame([(1, text), (2, "\n".join("# " + x for x in text.split("\n"))), (3, text[:-500])], "doc_id long, text string")
+    assert [r.licence for r in licences.scan(docs).orderBy("doc_id").collect()] == [name, name, None]
+
+
+def test_own_licence_tables(spark):
+    """Every line is looked up, and a repeated digest doesn't multiply rows."""
+    table = lambda rows: spark.createDataFrame(rows, "text string, licence string").select(licences.digest(F.col("text")).alias("digest"), "licence")
+    texts, notices = table([("Free for all", "B"), ("Free for all", "A"), ("free, for all", "A")]), table([("Public domain.", "PD"), ("public DOMAIN", "PD"), ("Public domain", "X")])
+    rows = [(1, "Free for all"), (2, "x\n* Public domain.\npublic domain\n"), (2, "x\n* Public domain.\npublic domain\n"), (None, "Public domain." * 2)] + [(9, "line\n" * 200_000)]
+    got = sorted(((r.doc_id, r.licence, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts, notices).collect()), key=str)
+    assert got == sorted([(1, "A", ""), (2, None, "PD,X"), (2, None, "PD,X"), (None, None, ""), (9, None, "")], key=str)
+
+
 # Toxicity.
 
 
