@@ -1,9 +1,9 @@
 """Language identification by prediction by partial matching.
 
 Each language has a byte-context tree of contexts up to four bytes; a text is given
-the language under whose frozen statistics its code length is least.  The trees are
-fitted on a bounded sample of labelled rows (`max_docs`, `max_doc_bytes`); every text
-is scored whole.
+the language under whose frozen statistics its code length is least; of equal ones the
+first by code point.  The trees are fitted on a bounded sample of labelled rows (`max_docs`,
+`max_doc_bytes`), of which every gram is kept; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -16,15 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import PIECE, buffers
+from turnloom.llm.common import PIECE, buffers, give_back, trimmed
 from turnloom.llm.ppm import PlainCode, Tree, below, packed
 
 DEPTH = 5
-#: Bounds of the fitting sample: documents over all languages (20 a language at least) and bytes of one.
-MAX_DOCS = 1600
+#: Bounds of the fitting sample: documents over all languages, bytes of one.
+MAX_DOCS = 2400
 MAX_DOC_BYTES = 1 << 16
-#: Grams that the sample holds less often, over all languages, are left out of the trees.
-LEAST_COUNT = 2
 
 
 class Model:
@@ -57,41 +55,55 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn: Column, max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES) -> Model:
-    """Trees of the languages of docs(doc_id, text, lang) rows where `learn` holds and text and lang are there."""
+    """Trees of the languages of docs(doc_id, text, lang) rows where `learn` holds and text and lang are there.
+
+    A language gives an equal share of max_docs, drawn by a hash of doc_id and text, so rows without an id are
+    drawn like others; of equal rows one is learned from.  Of more than max_docs languages those with the
+    most rows are learned.  Longer texts than max_doc_bytes are not learned from.  Without any such row the model
+    knows no language.  Other columns are not read.
+    """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_doc_bytes))
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("binary").alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text", F.lit("language sample")).alias("h"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs).collect()}
     if not sizes:
         return Model([], None)
-    each = max(20, max_docs // len(sizes))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    sample = rows.where(chance < share[F.col("lang")]).select("lang", "text").toArrow()
+    each = max_docs // len(sizes)
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.2 * each / n))])
+    chance = F.pmod("h", F.lit(1_000_000)) / 1_000_000
+    sample = rows.where(chance < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text")).toArrow()
     langs = sorted(set(sample["lang"].to_pylist()), key=lambda x: [ord(c) for c in x])
-    if not langs:
-        return Model([], None)
-    grams = []
-    for lang in langs:
-        data, offsets = buffers(sample.filter(pc.equal(sample["lang"], lang))["text"].combine_chunks())
-        starts = np.unique(offsets[:-1])
-        grams.append(np.unique(packed(data, starts, 0, len(data), DEPTH), return_counts=True))
-    keys = np.concatenate([k for k, _ in grams])
-    counts = np.zeros((len(keys), len(langs)))
-    at = 0
-    for i, (k, c) in enumerate(grams):
-        counts[at : at + len(k), i] = c
-        at += len(k)
-    if not len(keys):
+    keys, counts = [], []
+    for i, lang in enumerate(langs):
+        own = sample.filter(pc.equal(sample["lang"], lang))
+        own = own.take(pc.sort_indices(own, [("h", "ascending")])).slice(0, each)
+        data, offsets = buffers(own["text"].combine_chunks())
+        k, c = np.unique(packed(data, np.unique(offsets[:-1]), 0, len(data), DEPTH), return_counts=True)
+        keys.append(k)
+        counts.append(np.zeros((len(k), len(langs)), np.float32))
+        counts[-1][:, i] = c
+    del sample
+    if not sum(map(len, keys)):
         return Model([], None)
-    levels = [below(keys, counts, d) for d in range(1, DEPTH + 1)]
-    levels = [(k[often], c[often]) for k, c in levels for often in (c.sum(axis=1) >= LEAST_COUNT,)]
-    while levels and not len(levels[-1][0]):
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    levels = []
+    for d in range(DEPTH, 0, -1):
+        keys_d, counts_d = below(keys, counts, d)
+        levels.insert(0, (keys_d, counts_d))
+    while not len(levels[-1][0]):
         levels.pop()
-    return Model(langs, PlainCode(Tree(levels))) if levels else Model([], None)
+    model = Model(langs, PlainCode(Tree(levels)))
+    del keys, counts, levels
+    give_back()
+    return model
 
 
 def predictions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, the columns of `keep`, lang_pred and score of every row of docs."""
+    """doc_id, the columns of `keep`, lang_pred and score of every row of docs.
+
+    Of a row only text is used.  A null text and one without letters get `und` and 0.0, and so does any text
+    if the model knows no language.  Repeated rows are answered one by one, a null doc_id stays null, an
+    empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +115,12 @@ def predictions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
-    return src.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return src.mapInArrow(trimmed(run), f"{schema}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with a score of `least` or more."""
+    """The rows of docs, all columns, whose language is known with a score of `least` or more: null texts and texts
+    without letters go, rows are judged one by one, whatever their ids or other columns hold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,4 +128,4 @@ def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
             pred, score = held.value.predict(b["text"])
             yield b.filter(pa.array((score >= least) & (np.array(pred, object) != "und"), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

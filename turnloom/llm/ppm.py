@@ -49,9 +49,44 @@ def below(grams: np.ndarray, counts: np.ndarray, d: int) -> tuple[np.ndarray, np
     full = v >> np.uint64(BITS * (d - 1)) != 0
     v, counts = v[full], counts[full]
     keys, inv = np.unique(v, return_inverse=True)
-    out = np.zeros((len(keys), counts.shape[1]))
-    np.add.at(out, inv, counts)
-    return keys, out
+    return keys, np.stack([np.bincount(inv, counts[:, k], len(keys)) for k in range(counts.shape[1])], axis=1).astype(np.float32)
+
+
+class Children:
+    """Child nodes by (node, symbol): an open-addressed table, looked up for whole arrays at once."""
+
+    _MUL = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, nodes: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.node = np.zeros(1 << bits, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.key[slot[todo]] < 0]
+            self.key[slot[free]] = keys[free]  # of several that want a place the last gets it
+            placed = self.key[slot[todo]] == keys[todo]
+            self.node[slot[todo[placed]]] = nodes[todo[placed]]
+            todo = todo[~placed]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self._MUL >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The child of each key, 0 where there is none."""
+        slot = self._slot(keys)
+        there = self.key[slot]
+        out = np.where(there == keys, self.node[slot], 0)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            at = slot[todo] = (slot[todo] + 1) & self.mask
+            there = self.key[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.node[at[hit]]
+            todo = todo[~hit & (there >= 0)]
+        return out
 
 
 class Tree:
@@ -70,18 +105,18 @@ class Tree:
         self.base = np.array(base)  # base[d]: first node of depth d
         n = base[-1]
         self.level = np.zeros(n, np.int8)
-        self.count = np.zeros((n, self.models))
-        self.parent = np.zeros(n, np.int64)
-        self.prefix = np.zeros(n, np.int64)
+        self.count = np.zeros((n, self.models), np.float32)
+        self.parent = np.zeros(n, np.int32)
+        self.prefix = np.zeros(n, np.int32)
         seen = np.unique(levels[0][0]).astype(np.int64) - 1
         self.symbol = np.zeros(256, np.int32)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
         self.width = width
-        child = np.zeros((base[self.depth], width), np.int32)
         self.count[1] = levels[0][1].sum(axis=0)
+        edges = np.zeros(n, np.int64)
         for d, (keys, counts) in enumerate(levels, 1):
-            own = np.arange(base[d], base[d + 1])
+            own = slice(base[d], base[d + 1])
             self.level[own], self.count[own] = d, counts
             if d == 1:
                 self.parent[own] = self.prefix[own] = 1
@@ -90,13 +125,11 @@ class Tree:
                 self.parent[own] = base[d - 1] + np.searchsorted(up, keys & np.uint64((1 << (BITS * (d - 1))) - 1))
                 self.prefix[own] = base[d - 1] + np.searchsorted(up, keys >> np.uint64(BITS))
             oldest = (keys >> np.uint64(BITS * (d - 1))).astype(np.int64) - 1
-            child[self.parent[own], self.symbol[oldest]] = own
-        self.flat = child.ravel()
+            edges[own] = self.parent[own].astype(np.int64) * width + self.symbol[oldest]
+        self.children = Children(edges[2:], np.arange(2, n))
         # Of each context: occurrences that some byte follows, and distinct bytes that do.
-        self.n = np.zeros((n, self.models))
-        self.t = np.zeros((n, self.models))
-        np.add.at(self.n, self.prefix[2:], self.count[2:])
-        np.add.at(self.t, self.prefix[2:], self.count[2:] > 0)
+        self.n = np.stack([np.bincount(self.prefix[2:], self.count[2:, k], n) for k in range(self.models)], axis=1)
+        self.t = np.stack([np.bincount(self.prefix[2:], self.count[2:, k] > 0, n) for k in range(self.models)], axis=1)
         # A node of full depth stands for its longest context, one byte shorter.
         self.as_context = np.where(self.level == self.depth, self.parent, np.arange(n))
 
@@ -111,8 +144,10 @@ class Tree:
         lo = max(0, s - self.depth)
         local = self.symbol[data[lo:e]]
         for _, sym in shifted(local, starts - lo, s - lo, e - lo, self.depth):
-            node = self.flat[node * self.width + sym]
-            node = node.astype(np.int64)
+            alive = np.flatnonzero(node)
+            found = self.children.find(node[alive] * self.width + sym[alive])
+            node = np.zeros(e - s, np.int64)
+            node[alive] = found
             yield node
 
     def deepest(self, data: np.ndarray, starts: np.ndarray, s: int, e: int) -> np.ndarray:
@@ -139,18 +174,17 @@ class PlainCode:
         with np.errstate(divide="ignore", invalid="ignore"):
             esc = np.where(n > 0, -np.log2(t / (n + t)), 0.0)
             paid = np.where(tree.count > 0, -np.log2(tree.count / (n + t)[tree.prefix]), np.inf)
-        self.escape = np.zeros_like(n)
-        event = np.zeros_like(n)
+        self.escape, event = np.zeros_like(n), np.zeros_like(n)
         self.escape[1] = esc[1]
         event[1] = 8.0
         for d in range(1, tree.depth + 1):
-            own = np.arange(tree.base[d], tree.base[d + 1])
+            own = slice(tree.base[d], tree.base[d + 1])
             self.escape[own] = self.escape[tree.parent[own]] + esc[own]
             event[own] = np.where(np.isfinite(paid[own]), paid[own] - self.escape[tree.prefix[own]], event[tree.parent[own]])
-        self.escape = self.escape[tree.as_context]
-        self.weight = event + self.escape
+        self.escape = self.escape[tree.as_context].astype(np.float32)
+        self.weight = event.astype(np.float32) + self.escape
         # A text pays for the context before each byte, not for the one after its last.
-        self.start = self.escape[1]
+        self.start = self.escape[1].astype(np.float64)
         tree.slim()
 
     def bits(self, data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
