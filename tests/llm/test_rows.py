@@ -450,6 +450,36 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_gradient_of_the_risk_and_the_turn_below_zero():
+    rng = np.random.default_rng(0)
+
+    def part(rows, n=6):
+        held = [rng.choice(n, rng.integers(0, n), replace=False) for _ in range(rows)]
+        return np.repeat(np.arange(rows), [len(h) for h in held]), np.concatenate(held), rows
+
+    positive, unlabelled = part(30), part(90)
+    numeric = lambda f, theta: np.array([(f(theta + e) - f(theta - e)) / 2e-6 for e in np.eye(len(theta)) * 1e-6])
+    turned = 0
+    for k in range(40):
+        theta, prior = rng.normal(size=7) * 2, [0.1, 0.5, 0.9][k % 3]
+        args = (positive, unlabelled, prior)
+        below = toxicity.negative_risk(theta, *args) < 0
+        turned += below
+        want = -numeric(lambda t: toxicity.negative_risk(t, *args), theta) if below else numeric(lambda t: toxicity.risk(t, *args), theta)
+        assert toxicity.descent(theta, *args) == pytest.approx(want, abs=1e-6)
+        assert toxicity.risk(theta, *args) >= 0
+    assert 1 < turned < 39
+
+
+def test_toxicity_samples_by_text(spark):
+    """Null ids and one id on many rows are drawn like others; the bound holds."""
+    rows = [(None if i % 2 else 7, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
+    got = toxicity._sample(docs, 200, "x")
+    odd = sum(int(t.split()[1]) % 2 for t in got)
+    assert 150 <= len(got) <= 200 and 60 < odd < 140
+
+
 def test_risk_does_not_go_negative():
     """With a prior that is too high the plain estimate would push every text to toxic."""
     rng = random.Random(1)

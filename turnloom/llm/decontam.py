@@ -3,7 +3,7 @@
 A document's winnowing fingerprints are the least hash of K consecutive words in each
 sliding window of SPAN - K + 1 such hashes, so every shared span of SPAN words shares
 one.  Fingerprints are looked up among the benchmark's; what they hit is extended to
-whole windows of SPAN words and compared as such.  Items of fewer words are one window
+whole windows of SPAN words and compared as such, by 64-bit hashes of their words.  Items of fewer words are one window
 of their own length and are looked up by it.
 
 The benchmark is the stated query set.  It is sent to the executors in blocks of at most
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import WordHash, materialise, mix64
+from turnloom.llm.common import WordHash, discard, fresh, materialise, mix64, trimmed
 
 SPAN = 13
 K = 5
@@ -34,9 +34,6 @@ PART_BYTES = 4 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MUL = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
 
-WORDS, HITS, ITEMS, HIT = "__tl_words", "__tl_spans", "__tl_items", "__tl_hit"
-
-
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
@@ -156,52 +153,61 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(list(zip(part["item"].to_pylist(), part["text"].to_pylist())))
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with the columns WORDS, HITS, ITEMS and HIT."""
+def scanned(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with four more columns, and their names, which no column of docs has: words, spans hit (flat), items and words hit."""
     spark = docs.sparkSession
     own = docs.schema
-    more = [T.StructField(WORDS, T.LongType()), T.StructField(HITS, T.ArrayType(T.IntegerType())), T.StructField(ITEMS, T.ArrayType(T.StringType())), T.StructField(HIT, T.LongType())]
+    more = fresh(docs, "words", "spans", "items", "hit")
+    kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.LongType())
     out = docs
+    held = None
     for k, index in enumerate(blocks(benchmark)):
-        if k:
-            out = materialise(out, f"block{k}")
-        held = spark.sparkContext.broadcast(index)
+        before = out = materialise(out, f"block{k}") if k else out
+        if k > 1:
+            discard(held)
+        held = before if k else None
+        sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, again=bool(k)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, again=bool(k)) -> Iterator[pa.RecordBatch]:
             hashes = WordHash()
             for b in batches:
-                before = list(zip(b[HITS].to_pylist(), b[ITEMS].to_pylist())) if again else None
-                got = list(scan(b["text"].cast(pa.binary()).to_pylist(), held.value, hashes, before))
+                before = list(zip(b[more[1]].to_pylist(), b[more[2]].to_pylist())) if again else None
+                got = list(scan(b["text"].cast(pa.binary()).to_pylist(), sent.value, hashes, before))
                 n, spans, items, hit = zip(*got) if got else ((), (), (), ())
                 cols = [b[c.name] for c in own] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(hit, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [*own.names, WORDS, HITS, ITEMS, HIT])
+                yield pa.RecordBatch.from_arrays(cols, [*own.names, *more])
 
-        out = out.mapInArrow(run, T.StructType([*own.fields, *more]))
-    return out
+        out = out.mapInArrow(trimmed(run), T.StructType([*own.fields, *[T.StructField(c, kind) for c, kind in zip(more, kinds)]]))
+    return out, more
 
 
-def is_contaminated():
-    return (F.col(HIT) > 0) & (20 * F.col(HIT) >= F.col(WORDS))
+def is_contaminated(hit: str, words: str):
+    return (F.col(hit) > 0) & (20 * F.col(hit) >= F.col(words))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs(doc_id, text, ...).
 
     A null or wordless text has no words and no hits.  Repeated rows are answered one by
-    one; items that repeat an item_id count once.  Items with a null item_id hit like others,
+    one and other columns are not read; items that repeat an item_id count once.  Items with a null item_id hit like others,
     count as one item in n_items and add nothing to the digest.  An empty benchmark hits nothing.
     """
-    out = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
+    out, (words_, _, items, hit) = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
     return out.select(
         "doc_id",
-        F.col(WORDS).alias("n_words"),
-        F.col(HIT).alias("n_hit"),
-        F.size(ITEMS).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(ITEMS), ",").cast("binary"), 256).alias("items_sha256"),
-        is_contaminated().alias("contaminated"),
+        F.col(words_).alias("n_words"),
+        F.col(hit).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated(hit, words_).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns."""
-    return scanned(docs, benchmark).where(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that are not contaminated, all columns.
+
+    Null and wordless texts stay, repeated rows are judged one by one, null ids and other columns need no rule;
+    an empty benchmark lets every row stay.
+    """
+    out, (words_, _, _, hit) = scanned(docs, benchmark)
+    return out.where(~is_contaminated(hit, words_)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import LOWER, WordHash, buffers, crc_bucket, id_text, materialise, pieces, signed
+from turnloom.llm.common import LOWER, WordHash, buffers, crc_bucket, id_text, materialise, pieces, signed, trimmed
 from turnloom.llm.ppm import BITS, by_doc, packed
 
 DEPTH = 5
@@ -223,7 +223,7 @@ def scores(docs: DataFrame) -> DataFrame:
     one by one.  With no training document at all N and V are 0 and every known count too.
     """
     texts = id_text(docs, (crc_bucket(7) == 2).alias("held_out"))
-    counted = materialise(texts.where("not held_out").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counted = materialise(texts.where("not held_out").mapInArrow(trimmed(_count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counted.where("kind = 0 and n > 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = words.where(F.col("n") >= max(1, total * HEAD_SHARE)).toPandas()
@@ -244,7 +244,7 @@ def scores(docs: DataFrame) -> DataFrame:
         else:
             often = np.zeros(1, np.uint64)
     spark = docs.sparkSession
-    both = materialise(texts.mapInArrow(_scorer(spark.sparkContext.broadcast((keys, logs, often, costs))), _SCORED), "scored")
+    both = materialise(texts.mapInArrow(trimmed(_scorer(spark.sparkContext.broadcast((keys, logs, often, costs)))), _SCORED), "scored")
     if positions:
         unseen = both.where("kind = 2 and held_out").select("key").distinct().join(model.costs, "key", "left_anti")
         values = values.union(model.costs.union(model.unseen(unseen)).select(F.lit(2).alias("kind"), "key", "v"))

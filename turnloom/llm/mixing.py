@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import materialise
+from turnloom.llm.common import fresh, materialise, trimmed
 
 WEIGHTS = (5, 2, 1)
 #: A source is used this often at most.
@@ -44,26 +44,28 @@ def _hash():
     return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, source, the columns of `keep`, size (words) and h (hash of doc_id) of every row."""
-    names = ["doc_id", "source", *keep]
+def sized(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
+    """The columns of `keep` and three more, and their names, which no column of docs has: source as text,
+    size (words) and hash of doc_id of every row."""
+    own, size, h = more = fresh(docs, "source", "size", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len((t.as_py() or b"").split()) for t in b["text"].cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(n, pa.int64()), b["__tl_h"]], [*names, "__tl_size", "__tl_h"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), b[own], pa.array(n, pa.int64()), b[h]], [*keep, *more])
 
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(f"`{c}`") for c in keep if c != "text"], "text"]
-    src = docs.select(*cols, _hash().alias("__tl_h"))
+    cols = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]
+    src = docs.select(*cols, F.col("source").cast("string").alias(own), _hash().alias(h))
     fields = {f.name: f for f in src.schema.fields}
-    return src.mapInArrow(run, T.StructType([*(fields[c] for c in names), T.StructField("__tl_size", T.LongType()), T.StructField("__tl_h", T.LongType())]))
+    names = [*(fields[c] for c in keep), fields[own], T.StructField(size, T.LongType()), T.StructField(h, T.LongType())]
+    return src.mapInArrow(trimmed(run), T.StructType(names)), more
 
 
 def thresholds(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """(s, source_size, target, full, threshold) for each source of sized rows, and whether the table
-    is small: documents of s are taken `full` times, and once more if their hash is under the threshold."""
+    """(s, source_size, target, full, threshold) for each source of rows(source, size, h), and whether the table
+    is small: documents of s are taken `full` times, and once more if their hash is under the threshold.
+    The sources and their sizes go through the driver: a row for each."""
     spark = rows.sparkSession
-    rows = rows.select("source", F.col("__tl_size").alias("size"), F.col("__tl_h").alias("h"))
     found = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]  # a row for each source
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     plan = [(s, n, t, int(t // n) if n else 0) for (s, n), t in zip(found, targets(found) if found else [])]
@@ -82,39 +84,42 @@ def thresholds(rows: DataFrame) -> tuple[DataFrame, bool]:
         edge = materialise(edge, f"edge{level}")
     last = edge.select(F.col("source").alias("edge_source"), F.col("prefix").alias("threshold"))
     known = held.join(_given(last, small), F.expr("source <=> edge_source"), "left")
-    return known.select(F.col("source").alias("__tl_s"), "source_size", "target", "full", "threshold"), small
+    return known.select(F.col("source").alias("s"), "source_size", "target", "full", "threshold"), small
 
 
 def _given(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _taken(rows: DataFrame, known: DataFrame, small: bool, *keep: str) -> DataFrame:
-    out = rows.join(_given(known, small), F.expr("source <=> __tl_s"))
-    taken = F.col("__tl_size") * (F.col("full") + F.when(F.col("threshold").isNull() | (F.col("__tl_h") < F.col("threshold")), 1).otherwise(0))
-    cols = (F.col("__tl_size").alias("size"), "source_size", "target", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+def _taken(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns of `keep`, size, source_size, target and taken of every row of docs."""
+    rows, more = sized(docs)
+    known, small = thresholds(materialise(rows.toDF("source", "size", "h"), "sizes"))
+    rows, (own, size, h) = sized(docs, *keep)
+    names = fresh(rows, "s", "source_size", "target", "full", "threshold")
+    s, source_size, target, full, threshold = names
+    out = rows.join(_given(known.toDF(*names), small), F.col(own).eqNullSafe(F.col(s)))
+    taken = F.col(size) * (F.col(full) + F.when(F.col(threshold).isNull() | (F.col(h) < F.col(threshold)), 1).otherwise(0))
+    cols = (F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), F.when(F.col(source_size) > 0, taken).otherwise(0).cast("long").alias("taken"))
     return out.select(*[F.col(f"`{c}`") for c in keep], *cols)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes of it) of every row of docs(doc_id, text, source, ...).
 
-    A null text has size 0.  A null source is a source of its own, the last.  Rows that
-    repeat a doc_id share its hash, so they are taken or left together.  The same rows
-    give the same mix, however they are partitioned.
+    A null text has size 0.  A null source is a source of its own, the last; a null doc_id is hashed
+    as the empty text.  Rows that repeat a doc_id share its hash, so they are taken or left together.  The
+    same rows give the same mix, however they are partitioned.  Other columns are not read; an empty table
+    gives an empty result.
     """
-    rows = materialise(sized(docs), "sizes")
-    return _taken(rows, *thresholds(rows), "doc_id")
+    return _taken(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), "doc_id")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, all columns (except any that are called like the new
-    ones), with size, source_size, target and taken; texts are not shuffled."""
-    own = ("size", "source_size", "target", "taken", "full", "threshold")
-    keep = [c for c in docs.columns if c not in own]
-    known, small = thresholds(materialise(sized(docs), "sizes"))
-    rows = sized(docs.select(*[F.col(f"`{c}`") for c in keep]), *[c for c in keep if c not in ("doc_id", "source")])
-    return _taken(rows, known, small, *keep).where("taken > 0")
+    """The rows of docs that the mix takes, all columns (except any that are called size, source_size, target or
+    taken), with those four as mix() has them; texts are not shuffled.  Empty texts are never taken."""
+    new = ("size", "source_size", "target", "taken")
+    return _taken(docs, *[c for c in docs.columns if c.lower() not in new]).where("taken > 0")
 
 
 ORACLE_SQL = r"""

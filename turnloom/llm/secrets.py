@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import trimmed
+
 LEAST_COST = 10.0
 LEAST_LENGTH = 8
 #: Kinds of spans in the order in which spans of one start are listed.
@@ -201,7 +203,7 @@ def scan(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
             )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return src.mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
@@ -223,4 +225,4 @@ def redact(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
                 cols["n_chars"] = pa.array([n if x == y else len(y) for n, x, y in zip(length, old, new)], b["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
