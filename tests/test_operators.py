@@ -185,6 +185,17 @@ def test_bootstrap_agrees_with_numpy_draws(spark):
     assert r.ci_low == pytest.approx(low, abs=0.02) and r.ci_high == pytest.approx(high, abs=0.02)
 
 
+def test_bootstrap_of_many_records_counts_all_and_skips_nulls(spark):
+    n = 3 * stats.GROUPS + 5
+    rows = spark.range(n).selectExpr("cast(id as string) as note_id", "case when id % 5 < 4 then cast(id % 100 as double) end as x", "cast(null as double) as y")
+    r = {x.metric: x for x in stats.bootstrap(rows, "note_id", ["x", "y"], resamples=300).collect()}
+    x = np.array([i % 100 for i in range(n) if i % 5 < 4], float)
+    assert r["x"].n == n and r["x"].point_estimate == pytest.approx(x.mean(), abs=1e-6) and r["y"].point_estimate is None
+    deviation = x.std() / len(x) ** 0.5
+    assert r["x"].ci_high - r["x"].ci_low == pytest.approx(2 * 1.96 * deviation, rel=0.2)
+    assert r["x"].ci_low < x.mean() < r["x"].ci_high
+
+
 def test_paired_delta(spark):
     a = scores(spark, [0.1, 0.5, 0.9])
     same = stats.paired_deltas(a, a, "note_id", ["x"], resamples=50).first()

@@ -37,17 +37,18 @@ def ranked(df: DataFrame, key: str, seed: int, name: str = "rank") -> tuple[Data
 
 def successors(df: DataFrame, key: str, values: list[str], seed: int) -> DataFrame:
     """df with next_<value>: that of the next row in the hash order of `key`, the first's after the
-    last: one cycle through all rows, so no row gets its own.  Fewer than two rows raise."""
-    rows = _bucketed(df, key, seed)
-    row = F.struct(*values)
+    last: one cycle through all rows, so no row gets its own.  Fewer than two rows raise.
+    `key` must be unique; only keys are ordered, the values are joined to them."""
+    rows = _bucketed(df.select(key), key, seed)
     inside = Window.partitionBy("__b").orderBy("__h", key)
-    heads = rows.groupBy("__b").agg(F.min_by(row, F.struct("__h", key)).alias("__first"), F.count("*").alias("__c"))
+    heads = rows.groupBy("__b").agg(F.min_by(F.col(key), F.struct("__h", key)).alias("__first"), F.count("*").alias("__c"))  # BUCKETS keys at most
     every = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("__b", F.coalesce(F.lead("__first").over(Window.orderBy("__b")), F.first("__first").over(every)).alias("__wrap"), F.sum("__c").over(every).alias("__n"))
-    out = rows.withColumn("__next", F.lead(row).over(inside)).join(F.broadcast(heads), "__b")
+    out = rows.withColumn("__next", F.lead(key).over(inside)).join(F.broadcast(heads), "__b")
     chosen = F.when(F.col("__n") < 2, F.raise_error(F.lit("needs at least 2 records"))).otherwise(F.coalesce("__next", "__wrap"))
-    out = out.withColumn("__next", chosen)
-    return out.select(*df.columns, *[F.col("__next")[v].alias(f"next_{v}") for v in values])
+    after = out.select(key, chosen.alias("__next"))
+    given = df.select(F.col(key).alias("__next"), *[F.col(v).alias(f"next_{v}") for v in values])
+    return df.join(after, key).join(given, "__next").select(*df.columns, *[f"next_{v}" for v in values])
 
 
 def first_n(df: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:

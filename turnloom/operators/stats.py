@@ -1,39 +1,45 @@
 """Percentile bootstrap of means and of paired differences.
 
-Resample b draws at place p the record at hash(seed, b, p) mod n: a relational plan that
-any SQL engine repeats.  All metrics share the draws, so they go through one join, and the
-difference of two arms' resample means is the resample mean of their differences.
+Records are put into groups by their place in hash order, a record to a group while there are
+GROUPS records at most.  Resample b draws at place p the group at hash(seed, b, p) mod the
+number of groups: a relational plan that any SQL engine repeats.  What a resample costs is
+so bounded, and every record counts: groups of records drawn at random vary as the records
+do.  All metrics share the draws, so they go through one join, and the difference of two
+arms' resample means is the resample mean of their differences.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators import order
 
 RESAMPLES, LEVEL, SEED = 1000, 0.95, 42
+GROUPS = 4096
 
 
-def _draws(df: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
-    spark = df.sparkSession
-    places = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
+def _draws(spark: SparkSession, groups: int, resamples: int, seed: int) -> DataFrame:
+    places = spark.range(resamples * groups).select(F.expr(f"id div {groups}").alias("b"), F.expr(f"id % {groups}").alias("p"))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("p").cast("string"))
-    return places.select("b", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n).alias("pos"))
+    return places.select("b", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % groups).alias("g"))
 
 
 def bootstrap(records: DataFrame, key: str, metrics: list[str], resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED, point: str = "point_estimate") -> DataFrame:
     """metric, point, ci_low, ci_high, n, n_resamples for each numeric column of `metrics`.
 
-    Records are placed by the hash order of `key`.  Empty records raise.
+    Records are placed by the hash order of `key`.  Nulls of a metric are left out of its means.
+    Empty records raise.
     """
     placed, total = order.ranked(records.select(key, *metrics), key, seed, "pos")
     n = total.first()[0]
     if not n:
         raise ValueError("bootstrap of no records")
-    placed = placed.withColumn("pos", F.col("pos") - 1)
-    means = _draws(records, n, resamples, seed).join(placed, "pos").groupBy("b").agg(*[F.avg(m).alias(m) for m in metrics])
+    groups = min(n, GROUPS)
+    sums = placed.groupBy(((F.col("pos") - 1) % groups).alias("g")).agg(*[x for i, m in enumerate(metrics) for x in (F.sum(m).alias(f"s{i}"), F.count(m).alias(f"c{i}"))])
+    drawn = _draws(records.sparkSession, groups, resamples, seed).join(F.broadcast(sums), "g")  # GROUPS rows at most
+    means = drawn.groupBy("b").agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"c{i}")).alias(m) for i, m in enumerate(metrics)])
     low = (1 - level) / 2
     bounds = means.agg(*[F.percentile(m, F.array(F.lit(low), F.lit(1 - low))).alias(m) for m in metrics])
     points = records.agg(*[F.avg(m).alias(f"{m}__point") for m in metrics])
@@ -49,9 +55,11 @@ def excludes_zero(low: Column, high: Column) -> Column:
 
 
 def paired_deltas(a: DataFrame, b: DataFrame, key: str, metrics: list[str], **options) -> DataFrame:
-    """metric, delta (a - b), ci_low, ci_high, n, n_resamples, excludes_zero; the keys of both must be the same, else it raises."""
-    both = a.select(key, *[F.col(m).alias(f"__a_{m}") for m in metrics]).join(b.select(key, *[F.col(m).alias(f"__b_{m}") for m in metrics]), key, "full_outer")
-    odd = both.where(" or ".join([f"__a_{metrics[0]} is null or __b_{metrics[0]} is null"])).count()
+    """metric, delta (a - b), ci_low, ci_high, n, n_resamples, excludes_zero; the keys of both must be the same, else it raises.
+    A record whose metric is null on either side is left out of that metric."""
+    sides = [x.select(key, F.lit(True).alias(f"__{k}"), *[F.col(m).alias(f"__{k}_{m}") for m in metrics]) for k, x in (("a", a), ("b", b))]
+    both = sides[0].join(sides[1], key, "full_outer")
+    odd = both.where("__a is null or __b is null").count()
     if odd:
         raise ValueError(f"{odd} records are not in both arms")
     diff = both.select(key, *[(F.col(f"__a_{m}") - F.col(f"__b_{m}")).alias(m) for m in metrics])

@@ -167,7 +167,10 @@ def derange(spark, d):
     return order.successors(ids, "note_id", ["control_id"], dataset.SEED).select("note_id", F.col("next_control_id").alias("control_id"))
 
 
-@query()
+@query(sql.query(
+    "select note_id, clinical_note, length(clinical_note) as note_len_chars, conversation, length(conversation) as conversation_len_chars, len(turns) as num_turns,"
+    " len(list_filter(turns, lambda x: x like 'Doctor:%')) as num_doctor_turns, len(list_filter(turns, lambda x: x like 'Patient:%')) as num_patient_turns, false as preamble_stripped"
+    " from (select 'note-' || substring(sha256(clinical_note), 1, 16) as note_id, clinical_note, conversation, turns, row_number() over (partition by clinical_note order by note_id) as k from p) where k = 1", "p"))
 def dataset_records(spark, d):
     """The whole first stage over pairs: deduplicate, strip, count."""
     rows = pairs(spark, d).select(F.col("clinical_note").alias("data"), "conversation", F.col("note_id").alias("ord"))
@@ -330,13 +333,11 @@ def retrieve_topk(spark, d):
 
 # Statistics.
 
-_VALUES = "v as (select event_id, \"value\" from events where \"value\" is not null order by md5('42|' || event_id), event_id limit 200)"
+_VALUES = "v as (select event_id, \"value\" from events where \"value\" is not null)"
 
 
 def _values(spark, d):
-    """The first 200 by hash, as the queries' SQL has them; stats.bootstrap itself takes all records it is given."""
-    rows = table(spark, d, "events").select("event_id", "value").where("value is not null")
-    return order.first_n(rows, "event_id", 200, dataset.SEED)
+    return table(spark, d, "events").select("event_id", "value").where("value is not null")
 
 
 @query(sql.query("select * from bs_rows", _VALUES, sql.bootstrap("v", ["value"], "event_id")))

@@ -6,6 +6,7 @@ import re
 
 from turnloom.functions import text
 from turnloom.operators.retrieval import MAX_FEATURES, STOP_WORDS
+from turnloom.operators.stats import GROUPS
 
 _NUMBERS = r"list_distinct(list_transform(regexp_extract_all({0}, '\d+(?:\.\d+)?'), lambda x: x::double))"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -58,16 +59,19 @@ def top(name: str, train: str, queries: str, k: int) -> str:
 def bootstrap(records: str, metrics: list[str], key: str = "note_id", resamples: int = 1000, seed: int = 42, point: str = "point_estimate") -> str:
     """Body of a query for metric, point, ci_low, ci_high, n, n_resamples of columns of the CTE `records`."""
     quoted = [f'"{m}"' for m in metrics]
-    means = ", ".join(f"avg({q}) as {q}" for q in quoted)
+    sums = ", ".join(f'sum({q}) as "s|{m}", count({q}) as "c|{m}"' for m, q in zip(metrics, quoted))
+    means = ", ".join(f'sum("s|{m}") / nullif(sum("c|{m}"), 0) as {q}' for m, q in zip(metrics, quoted))
+    groups = f"(select least(count(*), {GROUPS}) from {records})"
     rows = " union all ".join(
         f"select '{m}' as metric, (select round(avg({q}), 6) from {records}) as {point}, round(quantile_cont({q}, 0.025), 6) as ci_low, round(quantile_cont({q}, 0.975), 6) as ci_high from bs_means"
         for m, q in zip(metrics, quoted)
     )
     return f"""
 bs_pos as (select *, row_number() over (order by {md5_order(seed, key)}) - 1 as pos from {records}),
-bs_draw as (select b, ('0x' || substring(md5('{seed}|' || b || '|' || p), 1, 8))::bigint % (select count(*) from {records}) as pos
-  from range({resamples}) r(b), (select unnest(range((select count(*) from {records}))) as p)),
-bs_means as (select b, {means} from bs_draw join bs_pos using (pos) group by b),
+bs_sum as (select pos % {groups} as pos, {sums} from bs_pos group by 1),
+bs_draw as (select b, ('0x' || substring(md5('{seed}|' || b || '|' || p), 1, 8))::bigint % {groups} as pos
+  from range({resamples}) r(b), (select unnest(range({groups})) as p)),
+bs_means as (select b, {means} from bs_draw join bs_sum using (pos) group by b),
 bs_rows as (select *, (select count(*) from {records}) as n, {resamples}::bigint as n_resamples from ({rows}))"""
 
 
