@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from turnloom import cli
@@ -26,14 +28,32 @@ def test_arms_and_comparison(spark, built, capsys):
     for arm in ("half", "retrieval", "self"):
         assert cli.main(["run-arm", arm, "--data", str(built / "data"), "--out", str(built / "out")], spark) == 0
     assert cli.main(["compare", "--out", str(built / "out")], spark) == 0
-    assert "### half − retrieval" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "### half − retrieval" in said and "100.0%" in said
+    found = json.loads((built / "out" / "comparison.json").read_text())
+    assert found["arms"] == ["half", "retrieval", "self"] and {r["turn_format_valid_rate"] for r in found["turn_format"]} == {1.0}
+    one = json.loads((built / "out" / "self" / "summary.json").read_text())
+    assert one["n_records"] == 4 and one["seed"] == 42 and one["throughput"]["records_per_second"] > 0
+    assert {r["metric"]: r["point_estimate"] for r in one["aggregate"]}["rouge1"] == 1.0
 
 
 def test_probe_and_show(spark, built, capsys):
     assert cli.main(["contamination", "--data", str(built / "data"), "--split", "train"], spark) == 0
     assert "Verdict" in capsys.readouterr().out
-    assert cli.main(["show", "0", "--data", str(built / "data")], spark) == 0
-    assert "rouge1" in capsys.readouterr().out
+    for which in ("0", "random"):
+        assert cli.main(["show", which, "--data", str(built / "data"), "--arm", "retrieval"], spark) == 0
+        assert "rouge1" in capsys.readouterr().out
+
+
+def test_config(spark, built, tmp_path, capsys):
+    (tmp_path / "c.yaml").write_text("n: 5\nseed: 7\nsplit: train\n")
+    args = ["contamination", "--data", str(built / "data"), "--config", str(tmp_path / "c.yaml"), "--json", str(tmp_path / "x.json")]
+    assert cli.main([*args, "--seed", "9"], spark) == 0
+    found = json.loads((tmp_path / "x.json").read_text())
+    assert (found["n"], found["seed"], found["split"]) == (5, 9, "train") and found["verdict"] and len(found["metrics"]) == 3
+    (tmp_path / "c.yaml").write_text("nothing: 5\n")
+    with pytest.raises(ValueError, match="unknown options"):
+        cli.main(args, spark)
 
 
 def test_leak_gate(spark, tmp_path, monkeypatch, capsys):

@@ -6,6 +6,8 @@ compare        all arms' scores -> tables of differences
 contamination  memorisation probe over a split
 check-leak     files -> exit status 1 if any must not be published
 show           one note of a split and its scores under an arm
+
+--config FILE of a command: a YAML mapping of its options; what the command line gives goes before it.
 """
 
 from __future__ import annotations
@@ -37,17 +39,25 @@ def _pairs(spark: SparkSession, a):
     return order.first_n(io.read_split(spark, a.data, a.split), "note_id", a.n, a.seed).select("note_id", "clinical_note", "conversation")
 
 
+def _retrieved(spark: SparkSession, a, pairs):
+    """note_id and the dialogue of the nearest training note."""
+    train = io.read_split(spark, a.data, "train")
+    top = Retriever().fit(train.select("note_id", F.col("clinical_note").alias("text"))).top(pairs.select("note_id", F.col("clinical_note").alias("text")))
+    found = top.select(F.col("query_id").alias("note_id"), F.col("note_id").alias("__from"))
+    return found.join(train.select(F.col("note_id").alias("__from"), F.col("conversation").alias("generated")), "__from").select("note_id", "generated")
+
+
 def run_arm(spark: SparkSession, a) -> int:
     pairs = _pairs(spark, a).cache()
-    if a.arm == "retrieval":
-        train = io.read_split(spark, a.data, "train")
-        top = Retriever().fit(train.select("note_id", F.col("clinical_note").alias("text"))).top(pairs.select("note_id", F.col("clinical_note").alias("text")))
-        found = top.select(F.col("query_id").alias("note_id"), F.col("note_id").alias("__from"))
-        made = found.join(train.select(F.col("note_id").alias("__from"), F.col("conversation").alias("generated")), "__from").select("note_id", "generated")
-    else:
-        made = arms.ARMS[a.arm](pairs)
+    made = _retrieved(spark, a, pairs) if a.arm == "retrieval" else arms.ARMS[a.arm](pairs)
     scores = arms.scored(pairs.join(made, "note_id")).withColumn("arm", F.lit(a.arm))
+    scores = scores.cache()
     io.write_arms(scores, f"{a.out}/{a.arm}", {"decoding": F.struct(F.lit(False).alias("do_sample")), "model_name": F.lit(None).cast("string")})
+    speed = arms.throughput(made.withColumn("__n", F.lit(1)))
+    valid = arms.valid_rate(scores).first().turn_format_valid_rate
+    results = {"arm": a.arm, "split": a.split, "seed": a.seed, "n_records": scores.count(), "aggregate": io.as_records(arms.aggregate(scores, [a.arm])), "turn_format_valid_rate": valid, "throughput": speed}
+    io.write_json(results, f"{a.out}/{a.arm}/summary.json")
+    scores.unpersist()
     return 0
 
 
@@ -57,15 +67,21 @@ def compare_arms(spark: SparkSession, a) -> int:
     if sampling := compare.stochastic(scores):
         print("warning: decoding samples in " + ", ".join(sampling), file=sys.stderr)
     there = [m for m in arms.METRICS if scores.where(F.col(m).isNotNull()).limit(1).count()]
-    flags = scores.select("arm").limit(0).withColumn("turn_format_valid_rate", F.lit(0.0))
-    print(compare.markdown(arms.aggregate(scores, names, there), flags, compare.compare(scores, names)))
+    means, valid, deltas = arms.aggregate(scores, names, there), arms.valid_rate(scores), compare.compare(scores, names)
+    print(compare.markdown(means, valid, deltas))
+    io.write_json({"arms": names, "aggregate": io.as_records(means), "turn_format": io.as_records(valid), "deltas": io.as_records(deltas)}, f"{a.out}/comparison.json")
+    scores.unpersist()
     return 0
 
 
 def probe(spark: SparkSession, a) -> int:
     rows = io.read_split(spark, a.data, a.split).select("note_id", "conversation")
     deltas = contamination.delta(contamination.probe(rows, n=a.n, seed=a.seed)).cache()
-    print(contamination.report(deltas, contamination.verdict(deltas)))
+    verdict = contamination.verdict(deltas)
+    print(contamination.report(deltas, verdict))
+    if a.json:
+        io.write_json({"split": a.split, "n": a.n, "seed": a.seed, "metrics": io.as_records(deltas)} | verdict.first().asDict(), a.json)
+    deltas.unpersist()
     return 0
 
 
@@ -84,10 +100,15 @@ def check_leak(spark: SparkSession, a) -> int:
 
 
 def show(spark: SparkSession, a) -> int:
-    one = io.note_at(io.read_split(spark, a.data, a.split), a.which if a.which.startswith("note-") else int(a.which))
+    notes = io.read_split(spark, a.data, a.split)
+    if a.which == "random":
+        one = order.first_n(notes, "note_id", 1, a.seed)
+    else:
+        one = io.note_at(notes, a.which if a.which.startswith("note-") else int(a.which))
     pair = one.select("note_id", "clinical_note", "conversation")
     print(pair.select(text.shown(F.col("clinical_note"))).first()[0])
-    print(report.one_record(arms.scored(pair.join(arms.ARMS[a.arm](pair), "note_id"))))
+    made = _retrieved(spark, a, pair) if a.arm == "retrieval" else arms.ARMS[a.arm](pair)
+    print(report.one_record(arms.scored(pair.join(made, "note_id"))))
     return 0
 
 
@@ -99,7 +120,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         p = sub.add_parser(name)
         for flag, kw in options:
             p.add_argument(flag, **kw)
-        p.set_defaults(run=f)
+        p.add_argument("--config")
+        p.set_defaults(run=f, parser=p)
 
     seed, data = ("--seed", {"type": int, "default": 42}), ("--data", {"required": True})
     out = ("--out", {"required": True})
@@ -108,10 +130,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     command("build-dataset", build_dataset, ("csv", {}), out, ("--report", {"required": True}), seed)
     command("run-arm", run_arm, ("arm", {"choices": sorted(arms.ARMS)}), data, out, split("test"), n(200), seed)
     command("compare", compare_arms, out, ("--arms", {"nargs": "*"}))
-    command("contamination", probe, data, split("test"), n(100), seed)
+    command("contamination", probe, data, split("test"), n(100), seed, ("--json", {}))
     command("check-leak", check_leak, ("files", {"nargs": "*"}))
-    command("show", show, ("which", {}), data, split("test"), ("--arm", {"choices": ["half", "self"], "default": "half"}))
+    command("show", show, ("which", {}), data, split("test"), ("--arm", {"choices": ["half", "retrieval", "self"], "default": "half"}), seed)
     a = top.parse_args(argv)
+    if a.config:
+        known = {x.dest for x in a.parser._actions} - {"help", "config"}
+        given = {k.replace("-", "_"): v for k, v in io.read_config(a.config).items()}
+        if odd := sorted(set(given) - known):
+            raise ValueError(f"{a.config}: unknown options {odd}")
+        a.parser.set_defaults(**given)
+        a = top.parse_args(argv)
     return a.run(spark or session(), a)
 
 

@@ -49,7 +49,8 @@ def note_at(split: DataFrame, which: int | str) -> DataFrame:
 
 
 SCORES = ("rouge1", "rouge2", "rougeL", "bertscore_f1", "numeric_grounding_recall", "numeric_precision", "fabricated_number_rate")
-_RECORD = ", ".join(["note_id: string", *(f"{s}: double" for s in SCORES)])
+FLAGS = {"starts_with_turn_marker": "boolean", "num_turns": "bigint", "has_doctor_turn": "boolean", "has_patient_turn": "boolean"}
+_RECORD = ", ".join(["note_id: string", *(f"{s}: double" for s in SCORES), *(f"{k}: {v}" for k, v in FLAGS.items())])
 ARM_SCHEMA = f"arm string, model_name string, decoding struct<do_sample: boolean>, records array<struct<{_RECORD}>>"
 
 
@@ -72,7 +73,7 @@ def read_arms(spark: SparkSession, pattern: str, names: list[str] | None = None)
 
 def arm_json(scores: DataFrame, header: dict[str, Column]) -> DataFrame:
     """One JSON text (`value`) for each arm; an arm's records are an evaluation sample, gathered in one row."""
-    records = F.sort_array(F.collect_list(F.struct("note_id", *[c for c in scores.columns if c in SCORES])))
+    records = F.sort_array(F.collect_list(F.struct("note_id", *[c for c in scores.columns if c in SCORES or c in FLAGS])))
     one = scores.groupBy("arm").agg(records.alias("records"))
     return one.select("arm", F.to_json(F.struct("arm", *[v.alias(k) for k, v in header.items()], "records")).alias("value"))
 
@@ -81,6 +82,26 @@ def write_arms(scores: DataFrame, folder: str, header: dict[str, Column]) -> Non
     arm_json(scores, header).select(F.col("arm").alias("dir"), "value").write.mode("overwrite").partitionBy("dir").text(folder)
 
 
+def as_records(df: DataFrame) -> list[dict]:
+    """The rows of a report, which is small by nature, as dictionaries."""
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def read_config(path: str) -> dict:
+    """A mapping from a YAML file; without a YAML library the file must be JSON, which is YAML too."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        found = json.loads(text)
+    else:
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
+
+
 def write_json(data: dict, path: str) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
@@ -107,12 +128,14 @@ def read_audio(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (a temporary one only where the session names none); it goes when the driver's JVM ends."""
+    """A new path in the folder of spark.checkpoint.dir (a temporary one only for a local session that names none); it goes when the driver's JVM ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = held.get() if held.isDefined() else None
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="turnloom-")
         spark.sparkContext.setCheckpointDir(shared)
     path = f"{shared}/turnloom-{tag}-{uuid.uuid4().hex}"
