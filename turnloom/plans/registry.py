@@ -208,6 +208,7 @@ def invented_numbers(spark, d):
 
 # Leaks.
 
+# The patterns of turnloom/functions/leak.py in the dialect of the SQL.
 _EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 _LEAK_SQL = {
     "header": r"(?m)^\s*data\s*,\s*conversation\s*$",
