@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from turnloom import cli
@@ -34,7 +35,27 @@ def test_arms_and_comparison(spark, built, capsys):
     assert found["arms"] == ["half", "retrieval", "self"] and {r["turn_format_valid_rate"] for r in found["turn_format"]} == {1.0}
     one = json.loads((built / "out" / "self" / "summary.json").read_text())
     assert one["n_records"] == 4 and one["seed"] == 42 and one["throughput"]["records_per_second"] > 0
-    assert {r["metric"]: r["point_estimate"] for r in one["aggregate"]}["rouge1"] == 1.0
+    means = {r["metric"]: r["point_estimate"] for r in one["aggregate"]}
+    assert means["rouge1"] == means["bertscore_f1"] == 1.0 and one["encoder"] == "hashed"
+    assert "bertscore_f1" in {r["metric"] for r in found["deltas"]}
+
+
+def _upper(batches):
+    """A stand-in for a language model."""
+    for b in batches:
+        said = ["Doctor: " + x.upper() + "\nPatient: yes" for x in b["clinical_note"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["note_id"], pa.array(said), pa.array([3] * len(said), pa.int64())], ["note_id", "generated", "gen_tokens"])
+
+
+def test_model_arm(spark, built):
+    args = ["run-arm", "model", "--data", str(built / "data"), "--out", str(built / "models"), "--encoder", "none", "--name", "upper"]
+    assert cli.main([*args, "--generator", "tests.test_cli:_upper", "--sampled"], spark) == 0
+    one = json.loads((built / "models" / "upper" / "summary.json").read_text())
+    assert one["turn_format_valid_rate"] == 1.0 and one["throughput"]["tokens_per_second"] > one["throughput"]["records_per_second"]
+    assert "bertscore_f1" not in {r["metric"] for r in one["aggregate"]}
+    assert io.read_arms(spark, str(built / "models" / "*" / "*" / "*.txt")).first().decoding.do_sample
+    with pytest.raises(ValueError, match="generator"):
+        cli.main(args, spark)
 
 
 def test_probe_and_show(spark, built, capsys):

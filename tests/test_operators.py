@@ -264,3 +264,18 @@ def test_embed_score(spark):
     got = embedscore.embed_score(vecs, vecs, spark.createDataFrame([("a", "b"), ("a", "a")], "gen_id string, ref_id string"))
     rows = {(r.gen_id, r.ref_id): (r.p, r.r, r.f1) for r in got.collect()}
     assert rows["a", "b"] == (0.5, 1.0, pytest.approx(2 / 3, abs=1e-6)) and rows["a", "a"] == (1, 1, 1)
+
+
+def test_bertscore_against_a_plain_form(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 30)))
+    pairs = [(text(), text()) for _ in range(20)] + [(None, "a"), ("a", None), ("", ""), ("a b", "b a"), ("w " * 1500, "w v " * 700)]
+    got = spark.createDataFrame(pairs, "r string, g string").select(embedscore.bertscore(F.col("r"), F.col("g")).alias("s")).select("s.*").collect()
+    for (r, g), row in zip(pairs, got):
+        a, b = embedscore.hashed(g or ""), embedscore.hashed(r or "")
+        cos = [[float(x @ y) / float(np.linalg.norm(x) * np.linalg.norm(y)) for y in b[:200]] for x in a[:200]]
+        if len(a) <= 200 and len(b) <= 200:
+            p, q = (sum(map(max, cos)) / len(a), sum(map(max, zip(*cos))) / len(b)) if len(a) and len(b) else (0.0, 0.0)
+            assert (row.p, row.r) == (pytest.approx(p), pytest.approx(q)) and row.f1 == pytest.approx(2 * p * q / (p + q) if p + q else 0)
+        else:
+            assert row.r == pytest.approx(1.0) and row.p == pytest.approx((1 + cos[1][0]) / 2)

@@ -1,18 +1,21 @@
 """Command line: python -m turnloom.cli COMMAND ...
 
 build-dataset  CSV of pairs -> split Parquet and a data report
-run-arm        one arm over the test split -> scores as JSON
+run-arm        one arm over the test split -> scores as JSON; the arm `model` generates with --generator
 compare        all arms' scores -> tables of differences
 contamination  memorisation probe over a split
 check-leak     files -> exit status 1 if any must not be published
 show           one note of a split and its scores under an arm
 
+--generator and --encoder name a function of an importable module, MODULE:FUNCTION: one over Arrow batches
+(note_id, clinical_note) -> (note_id, generated, gen_tokens), one from a text to its token vectors.
 --config FILE of a command: a YAML mapping of its options; what the command line gives goes before it.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 import sys
 
@@ -20,7 +23,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import leak, text
-from turnloom.operators import arms, compare, contamination, dataset, order, report
+from turnloom.operators import arms, compare, contamination, dataset, embedscore, order, report
 from turnloom.operators.retrieval import Retriever
 from turnloom.session import session
 from turnloom.sources import io
@@ -47,17 +50,31 @@ def _retrieved(spark: SparkSession, a, pairs):
     return found.join(train.select(F.col("note_id").alias("__from"), F.col("conversation").alias("generated")), "__from").select("note_id", "generated")
 
 
+def _named(spec: str):
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def run_arm(spark: SparkSession, a) -> int:
+    if (a.arm == "model") != bool(a.generator):
+        raise ValueError("--generator goes with the arm model")
     pairs = _pairs(spark, a).cache()
-    made = _retrieved(spark, a, pairs) if a.arm == "retrieval" else arms.ARMS[a.arm](pairs)
-    scores = arms.scored(pairs.join(made, "note_id")).withColumn("arm", F.lit(a.arm))
-    scores = scores.cache()
-    io.write_arms(scores, f"{a.out}/{a.arm}", {"decoding": F.struct(F.lit(False).alias("do_sample")), "model_name": F.lit(None).cast("string")})
-    speed = arms.throughput(made.withColumn("__n", F.lit(1)))
+    if a.arm == "model":
+        made = arms.mapped(_named(a.generator))(pairs)
+    else:
+        made = _retrieved(spark, a, pairs) if a.arm == "retrieval" else arms.ARMS[a.arm](pairs)
+    made = made.cache()  # generated once, and timed
+    speed = arms.throughput(made, "gen_tokens" if "gen_tokens" in made.columns else None)
+    encode = {"hashed": embedscore.hashed, "none": None}[a.encoder] if a.encoder in ("hashed", "none") else _named(a.encoder)
+    name = a.name or a.arm
+    scores = arms.scored(pairs.join(made.select("note_id", "generated"), "note_id"), encode=encode).withColumn("arm", F.lit(name)).cache()
+    io.write_arms(scores, f"{a.out}/{name}", {"decoding": F.struct(F.lit(a.sampled).alias("do_sample")), "model_name": F.lit(a.generator).cast("string")})
+    metrics = [m for m in io.SCORES if m in scores.columns]
     valid = arms.valid_rate(scores).first().turn_format_valid_rate
-    results = {"arm": a.arm, "split": a.split, "seed": a.seed, "n_records": scores.count(), "aggregate": io.as_records(arms.aggregate(scores, [a.arm])), "turn_format_valid_rate": valid, "throughput": speed}
-    io.write_json(results, f"{a.out}/{a.arm}/summary.json")
-    scores.unpersist()
+    results = {"arm": name, "split": a.split, "seed": a.seed, "encoder": a.encoder, "n_records": scores.count(), "aggregate": io.as_records(arms.aggregate(scores, [name], metrics))}
+    io.write_json(results | {"turn_format_valid_rate": valid, "throughput": speed}, f"{a.out}/{name}/summary.json")
+    for held in (scores, made, pairs):
+        held.unpersist()
     return 0
 
 
@@ -66,7 +83,7 @@ def compare_arms(spark: SparkSession, a) -> int:
     names = sorted(r[0] for r in scores.select("arm").distinct().collect())
     if sampling := compare.stochastic(scores):
         print("warning: decoding samples in " + ", ".join(sampling), file=sys.stderr)
-    there = [m for m in arms.METRICS if scores.where(F.col(m).isNotNull()).limit(1).count()]
+    there = [m for m in io.SCORES if scores.where(F.col(m).isNotNull()).limit(1).count()]
     means, valid, deltas = arms.aggregate(scores, names, there), arms.valid_rate(scores), compare.compare(scores, names)
     print(compare.markdown(means, valid, deltas))
     io.write_json({"arms": names, "aggregate": io.as_records(means), "turn_format": io.as_records(valid), "deltas": io.as_records(deltas)}, f"{a.out}/comparison.json")
@@ -128,7 +145,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     split = lambda x: ("--split", {"default": x})
     n = lambda x: ("-n", {"type": int, "default": x})
     command("build-dataset", build_dataset, ("csv", {}), out, ("--report", {"required": True}), seed)
-    command("run-arm", run_arm, ("arm", {"choices": sorted(arms.ARMS)}), data, out, split("test"), n(200), seed)
+    model = ("--generator", {}), ("--name", {}), ("--sampled", {"action": "store_true"})
+    command("run-arm", run_arm, ("arm", {"choices": sorted([*arms.ARMS, "model"])}), data, out, split("test"), n(200), seed, ("--encoder", {"default": "hashed"}), *model)
     command("compare", compare_arms, out, ("--arms", {"nargs": "*"}))
     command("contamination", probe, data, split("test"), n(100), seed, ("--json", {}))
     command("check-leak", check_leak, ("files", {"nargs": "*"}))

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import dialogue, numbers
 from turnloom.operators import dataset, order, retrieval, stats
+from turnloom.operators.embedscore import TextEncoder, bertscore
 from turnloom.operators.rouge import rouge
 
 Generator = Callable[[DataFrame], DataFrame]
 
 METRICS = ["rouge1", "rouge2", "rougeL", "numeric_grounding_recall", "numeric_precision", "fabricated_number_rate"]
+#: A further metric, where an encoder is given.
+EMBEDDED = "bertscore_f1"
 COMPARED = ["rouge1", "rouge2", "rougeL", "numeric_grounding_recall", "fabricated_number_rate"]
 
 
@@ -56,21 +59,23 @@ def mapped(generate: Callable) -> Generator:
 ARMS: dict[str, Generator] = {"half": first_half, "retrieval": retrieved, "self": echo, "successor": successor}
 
 
-def scored(generated: DataFrame, stemmed: bool = True) -> DataFrame:
+def scored(generated: DataFrame, stemmed: bool = True, encode: TextEncoder | None = None) -> DataFrame:
     """Metrics and flags of each row of generated(note_id, clinical_note, conversation, generated)."""
     g = F.col("generated")
     rows = generated.withColumn("__r", rouge(F.col("conversation"), g, stemmed)).withColumn("__n", numbers.numbers(F.col("clinical_note"))).withColumn("__g", numbers.numbers(g))
     cols: dict[str, Column] = {m: F.col(f"__r.{m}_f") for m in ("rouge1", "rouge2", "rougeL")}
+    if encode:
+        cols[EMBEDDED] = bertscore(F.col("conversation"), g, encode)["f1"]
     cols |= numbers.faithfulness(F.col("__n"), F.col("__g")) | dialogue.turn_format(g)
     return rows.select("note_id", *[v.alias(k) for k, v in cols.items()])
 
 
-def run(pairs: DataFrame, arms: dict[str, Generator] | None = None, stemmed: bool = True) -> DataFrame:
+def run(pairs: DataFrame, arms: dict[str, Generator] | None = None, stemmed: bool = True, encode: TextEncoder | None = None) -> DataFrame:
     """arm and scores of every note under every arm."""
     out = None
     for name, generator in (arms or ARMS).items():
         made = pairs.join(generator(pairs).select("note_id", "generated"), "note_id")
-        one = scored(made, stemmed).select(F.lit(name).alias("arm"), "*")
+        one = scored(made, stemmed, encode).select(F.lit(name).alias("arm"), "*")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 

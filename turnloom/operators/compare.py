@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.operators import stats
-from turnloom.operators.arms import COMPARED, METRICS, wide
+from turnloom.operators.arms import COMPARED, EMBEDDED, METRICS, wide
 
 LABELS = {
     "rouge1": "ROUGE-1", "rougeL": "ROUGE-L", "bertscore_f1": "BERTScore-F1", "numeric_grounding_recall": "Numeric grounding", "fabricated_number_rate": "Fabricated numbers",
@@ -41,7 +41,7 @@ def shared_metrics(scores: DataFrame, arms: list[str], metrics: list[str]) -> li
     return [(a, b, m) for a, b in combinations(sorted(arms), 2) for m in there if counts[a][m] and counts[b][m]]
 
 
-def compare(scores: DataFrame, arms: list[str], metrics: list[str] = COMPARED, **options) -> DataFrame:
+def compare(scores: DataFrame, arms: list[str], metrics: list[str] = [*COMPARED, EMBEDDED], **options) -> DataFrame:
     """arm_a, arm_b, metric, delta, ci_low, ci_high, n, n_resamples, excludes_zero of each pair of arms.
 
     Arms must have the same records (else it raises); a metric that an arm lacks is left
@@ -72,7 +72,7 @@ def markdown(aggregates: DataFrame, valid: DataFrame, deltas: DataFrame) -> str:
         pairs.setdefault((r.arm_a, r.arm_b), []).append(r)
     for (a, b), found in sorted(pairs.items()):
         out += ["", f"### {a} − {b}", "", "| Metric | Delta | 95% CI | Excludes zero |", "|---|---|---|---|"]
-        order = {m: i for i, m in enumerate(METRICS)}
+        order = {m: i for i, m in enumerate([*METRICS[:3], EMBEDDED, *METRICS[3:]])}
         for r in sorted(found, key=lambda r: order.get(r.metric, 99)):
             out.append(f"| {r.metric} | {r.delta:+.4f} | [{r.ci_low:+.4f}, {r.ci_high:+.4f}] | {'yes' if r.excludes_zero else 'NO'} |")
     return "\n".join(out) + "\n"
