@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 
 import duckdb
 import pytest
 
+from turnloom.functions.porter import stem
+from turnloom.operators.rouge import UNSTEMMED
+from turnloom.plans import sql
 from turnloom.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,6 +44,17 @@ def test_query(spark, sf_dir, con, name):
     spark.catalog.clearCache()
 
 
+def test_stems_of_sql():
+    """The SQL of the stemmer is written by pattern, the operator's by rule: they agree on random words with every ending."""
+    rng = random.Random(1)
+    ends = [*sql.STEP_2, *sql.STEP_3, *sql.STEP_4, "ed", "ing", "eed", "s", "sses", "ies", "y", "e", "ll", "ss", ""]
+    words = {"".join(rng.choice("aeiouybtslzrwx") for _ in range(rng.randint(1, 6))) + rng.choice(ends) for _ in range(5000)} | {"yttrium", "hopping", "agreed", "12ing"}
+    c = duckdb.connect()
+    c.execute("create table words as select unnest(?) as w", [sorted(words)])
+    found = dict(c.execute("with " + sql.porter("p", "words").strip() + " select w, stem from p").fetchall())
+    assert found == {w: stem(w) if len(w) > UNSTEMMED else w for w in words}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

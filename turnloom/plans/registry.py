@@ -285,7 +285,7 @@ for _m in ("rouge1", "rouge2", "rougeL"):
     _rouge_query(_m)
 
 
-@query()
+@query(sql.query("select id as conv_id, round(r1_f, 6) as rouge1, round(r2_f, 6) as rouge2, round(rl_f, 6) as \"rougeL\" from z", "b", _TOLD, _PAIRED, sql.stemmed("ys", "y"), sql.rouge("z", "ys")))
 def rouge_stemmed(spark, d):
     rows = _dialogue_pairs(spark, d).select("conv_id", rouge(F.col("conversation"), F.col("next_conversation")).alias("s"))
     return rows.select("conv_id", *[F.round(f"s.{m}_f", 6).alias(m) for m in ("rouge1", "rouge2", "rougeL")])
@@ -412,6 +412,12 @@ def arm_aggregate(spark, d):
     return arms.aggregate(_scores(spark, d).cache(), _ARMS)
 
 
+@query()
+def arm_bertscore(spark, d):
+    """Without SQL: DuckDB lacks the encoder's hash; a test compares with a plain form."""
+    return arms.run(pairs(spark, d).cache(), stemmed=False, encode=embedscore.hashed).select("arm", "note_id", *_six(arms.EMBEDDED))
+
+
 @query(sql.query("select arm, round(avg((starts_with_turn_marker and has_doctor_turn and has_patient_turn)::int), 6) as turn_format_valid_rate from sc group by arm", "p", _ARM_SQL))
 def arm_valid_rate(spark, d):
     return arms.valid_rate(_scores(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from turnloom.functions import text
+from turnloom.functions.porter import STEP_2, STEP_3, STEP_4
 from turnloom.operators.retrieval import MAX_FEATURES, STOP_WORDS
 from turnloom.operators.stats import GROUPS
 
@@ -103,6 +104,65 @@ def rouge(name: str, pairs: str) -> str:
   from {name}_t t left join {name}_o1 o1 on o1.id = t.id left join {name}_o2 o2 on o2.id = t.id join {name}_l l on l.id = t.id and l.i = len(l.a))"""
 
 
+# Word shapes for porter(): a run of consonants, a run of vowels; a y that opens a word is written Y before.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+
+
+def _measured(x: str, more_than: int) -> str:
+    return f"regexp_matches({x}, '^({_C})?{(_V + _C) * (more_than + 1)}')"
+
+
+def _short(x: str) -> str:
+    return f"regexp_matches({x}, '^{_C}[aeiouy][^aeiouwxy]$')"
+
+
+def porter(name: str, words: str) -> str:
+    """CTE name(w, stem) of the CTE words(w): lower-case words of more than three letters are stemmed."""
+    vowel = f"regexp_matches({{0}}, '^({_C})?[aeiouy]')"
+
+    def mended(x: str) -> str:
+        twice = f"right({x}, 1) = left(right({x}, 2), 1) and regexp_matches({x}, '[^aeiouylsz]$') and length({x}) > 1"
+        return f"case when regexp_matches({x}, '(at|bl|iz)$') then {x} || 'e' when {twice} then left({x}, -1) when {_short(x)} then {x} || 'e' else {x} end"
+
+    def past(end: str) -> str:
+        x = f"left(w1, -{len(end)})"
+        return f"when w1 like '%{end}' then case when {vowel.format(x)} then {mended(x)} else w1 end"
+
+    def cut(column: str, ends) -> str:
+        both = f"'^(.*?)({'|'.join(ends)})$'"  # the longest ending
+        return f"regexp_extract({column}, {both}, 1) as base, regexp_extract({column}, {both}, 2) as suffix"
+
+    def swapped(column: str, table: dict[str, str]) -> str:
+        new = " ".join(f"when '{k}' then '{v}'" for k, v in table.items())
+        return f"case when suffix <> '' and {_measured('base', 0)} then base || case suffix {new} end else {column} end"
+
+    drop = f"suffix <> '' and {_measured('base', 1)} and (suffix <> 'ion' or regexp_matches(base, '[st]$'))"
+    e = "left(w6, -1)"
+    final = f"w6 like '%e' and ({_measured(e, 1)} or ({_measured(e, 0)} and not {_short(e)}))"
+    return f"""
+{name}_1 as (select w, case when w0 like '%sses' or w0 like '%ies' then left(w0, -2) when w0 like '%s' and w0 not like '%ss' then left(w0, -1) else w0 end as w1
+  from (select w, regexp_replace(w, '^y', 'Y') as w0 from {words} where length(w) > 3)),
+{name}_2 as (select w, case when w1 like '%eed' then case when {_measured("left(w1, -3)", 0)} then left(w1, -1) else w1 end {past("ed")} {past("ing")} else w1 end as w2 from {name}_1),
+{name}_3 as (select w, case when w2 like '%y' and {vowel.format("left(w2, -1)")} then left(w2, -1) || 'i' else w2 end as w3 from {name}_2),
+{name}_4 as (select w, {swapped("w3", STEP_2)} as w4 from (select *, {cut("w3", STEP_2)} from {name}_3)),
+{name}_5 as (select w, {swapped("w4", STEP_3)} as w5 from (select *, {cut("w4", STEP_3)} from {name}_4)),
+{name}_6 as (select w, case when {drop} then base else w5 end as w6 from (select *, {cut("w5", STEP_4)} from {name}_5)),
+{name}_7 as (select w, case when {final} then {e} else w6 end as w7 from {name}_6),
+{name} as (select w, lower(case when w7 like '%ll' and {_measured("w7", 1)} then left(w7, -1) else w7 end) as stem from {name}_7
+  union all select w, w from {words} where length(w) <= 3)"""
+
+
+def stemmed(name: str, pairs: str) -> str:
+    """CTE name(id, ref, gen) of the CTE pairs, each text as its stems with blanks between."""
+    side = "select id, '{0}' as side, unnest({1}) as w, generate_subscripts({1}, 1) as i from {2}"
+    text_of = f"(select string_agg(stem, ' ' order by i) from {name}_at a where a.id = p.id and side = '{{0}}')"
+    return f"""
+{name}_w as ({side.format("ref", tokens("ref"), pairs)} union all {side.format("gen", tokens("gen"), pairs)}),
+{name}_v as (select distinct w from {name}_w),{porter(name + "_st", name + "_v")},
+{name}_at as (select id, side, i, stem from {name}_w join {name}_st using (w)),
+{name} as (select id, coalesce({text_of.format("ref")}, '') as ref, coalesce({text_of.format("gen")}, '') as gen from {pairs} p)"""
+
+
 def faithful(name: str, pairs: str) -> str:
     """CTE name(id, recall, precision, fabricated, n_note, n_gen) of the CTE pairs(id, note, gen)."""
     return f"""
