@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA
 from turnloom.llm import decontam, langid, licences, lmscore, minhash, mixing, secrets, suffix, toxicity
+from turnloom.llm.common import BATCH_BYTES, small_batches
 
 NAMES = "__tl_h __tl_words __tl_hit __tl_size __tl_source __tl_s ___tl_h id tie h g n root comp digest key leaf doc p spans full threshold rid kind"
 
@@ -70,3 +72,15 @@ def test_stages_hand_on_columns_that_clash(spark, name):
     assert all(r[c] == i for r in got for i, c in enumerate(extra))
     assert sorted(str(r) for r in out.drop(*extra).collect()) == want and want
     assert run(odd(docs.limit(0))).count() == 0
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    small_batches(spark)
+    texts = spark.range(40).coalesce(1).select(F.expr("repeat('x', 1000000)").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 3 and max(found) < BATCH_BYTES + 2_000_000

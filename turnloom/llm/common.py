@@ -211,8 +211,15 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Bytes of an Arrow batch, whatever its rows: one of very long texts is no larger than others.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are long: Arrow batches of fewer rows than Spark's default keep executors' memory down.
-    What a query returns is lazy, so the setting stays with the session; a smaller one is left alone."""
+    """Texts are long: Arrow batches of fewer rows and bytes than Spark's default keep executors' memory down.
+    What a query returns is lazy, so the settings stay with the session; smaller ones are left alone."""
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(most, str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
