@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import ann, decontam, langid, licences, lmscore, minhash, mixing, secrets, sql, suffix, toxicity
+from turnloom.llm import align, ann, chat, decontam, langid, licences, lmscore, minhash, mixing, secrets, spelling, sql, suffix, toxicity
 from turnloom.llm.common import crc_bucket, small_batches, table
 
 
@@ -54,6 +54,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.pieces(chat.with_planted(table(spark, sf_dir, "conversations"))))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.tokens(table(spark, sf_dir, "documents"))
+
+
 def _tuned(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_ann": op8,
         "op9_licences": op9,
         "op10_decontam": op10,
+        "op11_chat": op11,
+        "op12_spelling": op12,
+        "op13_alignment": op13,
     }.items()
 }
 
@@ -84,4 +99,6 @@ ORACLE: dict[str, str] = {
     "op10_decontam": sql.DECONTAMINATION,
     "op2_mixing": mixing.ORACLE_SQL,
     "op9_licences": licences.ORACLE_SQL,
+    "op11_chat": chat.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }
