@@ -397,6 +397,27 @@ def test_licence_files_as_they_are_found(spark):
     assert len({k for k in [*licences.TEXTS, *licences.DIGESTS]}) >= 15
 
 
+def test_title_lines_without_end(spark):
+    """Java's regular expressions call themselves for each round of a group: titles, holders and blanks go in rounds."""
+    rows = [(1, "the license\n" * 200_000), (2, " \n" * 500_000), (3, "copyright 2020 a\n" + "  2021 b\n" * 200_000), (4, "license\n" * 100_000 + licences.TEXTS["ISC"])]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: "ISC"}
+
+
+def test_holders_over_several_lines(spark):
+    heads = ["Copyright (c) 2019 A. B.\n               2021 C. D.\n\n", "Copyright 2001 A\nPortions Copyright Foo Inc.\n\n", "/*\n * Copyright 1999 A\n *           2003-2004 B\n */\n"]
+    docs = spark.createDataFrame([(i, h + licences.TEXTS["MIT"]) for i, h in enumerate(heads)], "doc_id long, text string")
+    assert [r.licence for r in licences.scan(docs).collect()] == ["MIT"] * 3
+
+
+def test_lines_are_digested_as_texts(spark):
+    lines = ["Licensed under the MIT Licence.", "  * Licensed\tunder the MIT License\r", "Copyright 2020 X", "All rights reserved.", "(c) copyright x", "", " ", "neither the name of the X nor the names of its contributors", "© y", "a 2020", "it’s"]
+    df = spark.createDataFrame([("\n".join(lines),)], "text string")
+    (whole,) = df.select(licences.line_digests(F.col("text"))).first()
+    each = {r[0] for r in spark.createDataFrame([(x,) for x in lines], "text string").select(licences.digest(F.col("text"))).collect()}
+    assert len(whole) == len(set(whole)) and set(whole) == each
+
+
 @pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")])
 def test_long_licences(spark, name, file):
     path = f"/usr/share/common-licenses/{file}"

@@ -120,29 +120,53 @@ DIGESTS = {
     "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",),
 }
 
-# Patterns for lower-case text; ^ means after a line feed only.
-_LINES = (
-    # A copyright line names a year, a sign or a holder; "copyright notice, this list of" in a wrapped text does not.
-    r"^[^\w\n]*(?:copyright[\x20\t]*(?:\(c\)|©|[\[<{(:]|\d|by\b)|copyright[^\n]*\b(?:19|20)\d\d|\(c\)[\x20\t]*(?:copyright|\d)|©)[^\n]*(?:\n|\z)",
-    r"^[^\w\n]*all rights reserved[^\w\n]*(?:\n|\z)",
-)
+# Patterns for lower-case text; ^ means after a line feed only.  A quantifier before POSSESSIVE never gives back, so that
+# Java loops over it instead of recursing once a line; an engine that keeps no stack goes without the sign.
+POSSESSIVE = "<possessive>"
 _PLAIN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-_TITLE = rf"\A{_PLAIN}*(?:(?:[^\n.]{{0,60}}\blicen[cs]e\b[^\n.]{{0,40}}|copyright[\x20\t][^\n]*)\n{_PLAIN}*)+"
-_NOT_WORD = _PLAIN[:-1] + r"\x{A0}‘’“”„–—•·…]+"
+# A copyright line names a year, a sign or a holder; "copyright notice, this list of" in a wrapped text does not.
+_COPYRIGHT = (
+    r"^[^\w\n]*(?:copyright[\x20\t]*(?:\(c\)|©|[\[<{(:]|\d|by\b)|portions[\x20\t]+copyright[\x20\t]|copyright[^\n]*\b(?:19|20)\d\d|\(c\)[\x20\t]*(?:copyright|\d)|©)[^\n]*"
+)
+_RIGHTS = r"^[^\w\n]*all rights reserved[^\w\n]*"
+# Lines that go on from a copyright line start with blanks or comment marks, and a year.
+_LINES = (_COPYRIGHT + rf"(?:\n[\x20\t*#/;-]*(?:19|20)\d\d\b[^\n]*)*{POSSESSIVE}(?:\n|\z)", _RIGHTS + r"(?:\n|\z)")
+_TITLE = rf"\A{_PLAIN}*(?:(?:[^\n.]{{0,60}}\blicen[cs]e\b[^\n.]{{0,40}}|copyright[\x20\t][^\n]*)\n{_PLAIN}*)+{POSSESSIVE}"
+_SIGNS = r"\x{A0}‘’“”„–—•·…"
+_NOT_WORD = _PLAIN[:-1] + _SIGNS + "]+"
 _HOLDER = r"\bneither the names? of (?:[^ ]+ ){1,12}?nor the names of (?:its|any|their) contributors"
 _ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors"
 
 
+def _java(pattern: str) -> str:
+    return pattern.replace(POSSESSIVE, "+")
+
+
+def _spelt(t: Column) -> Column:
+    return reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), SPELLINGS, t)
+
+
 def canonical(text: Column) -> Column:
     """Canonical form; null stays null."""
     t = F.lower(text)
     for p in _LINES:
-        t = F.regexp_replace(t, "(?dm)" + p, "")
-    t = F.regexp_replace(t, _TITLE, "")
-    t = reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), SPELLINGS, t)
+        t = F.regexp_replace(t, "(?dm)" + _java(p), "")
+    t = _spelt(F.regexp_replace(t, _java(_TITLE), ""))
     return F.regexp_replace(F.trim(F.regexp_replace(t, _NOT_WORD, " ")), _HOLDER, _ANY_HOLDER)
 
 
+def line_digests(text: Column) -> Column:
+    """Digests of the canonical forms of a text's distinct lines, each as a text of its own.  What goes letter by letter is
+    done to the whole text at once: a line has no title line before it and none goes on from it."""
+    t = F.lower(text)
+    for p in (_COPYRIGHT, _RIGHTS):
+        t = F.regexp_replace(t, rf"(?dm){p}(?=\n|\z)", "")
+    plain = F.regexp_replace(_spelt(t), _NOT_WORD.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), " ")
+    lines = F.array_distinct(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)))
+    held = lambda x: F.when(F.contains(x, F.lit("neither the name")), F.regexp_replace(x, _HOLDER, _ANY_HOLDER)).otherwise(x)
+    return F.array_distinct(F.transform(lines, lambda x: F.sha2(held(x).cast("binary"), 256)))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
@@ -170,17 +194,21 @@ def scan(docs: DataFrame, texts: DataFrame | None = None, notices: DataFrame | N
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
     # Equal texts have equal notices, so they share a key.
-    lines = rows.select("key", F.explode(F.transform(F.array_distinct(F.split("text", "\n")), digest)).alias("digest"))
+    lines = rows.select("key", F.explode(line_digests(F.col("text"))).alias("digest"))
     seen = lines.join(notices, "digest").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
     out = rows.select("doc_id", digest(F.col("text")).alias("digest"), "key").join(texts, "digest", "left").join(seen, "key", "left")
     return out.select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
+def _re2(pattern: str) -> str:
+    return pattern.replace(POSSESSIVE, "")
+
+
 def _sql_canonical(x: str) -> str:
     out = f"lower({x})"
     for p in _LINES:
-        out = f"regexp_replace({out}, '(?m){p}', '', 'g')"
-    out = f"regexp_replace({out}, '{_TITLE}', '')"
+        out = f"regexp_replace({out}, '(?m){_re2(p)}', '', 'g')"
+    out = f"regexp_replace({out}, '{_re2(_TITLE)}', '')"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
     return f"sha256(regexp_replace(trim(regexp_replace({out}, '{_NOT_WORD}', ' ', 'g')), '{_HOLDER}', '{_ANY_HOLDER}', 'g'))"
