@@ -185,8 +185,29 @@ def test_bootstrap_agrees_with_numpy_draws(spark):
     assert r.ci_low == pytest.approx(low, abs=0.02) and r.ci_high == pytest.approx(high, abs=0.02)
 
 
+def test_draws_of_each_resample_add_up(spark):
+    n = 3 * stats.BLOCK + 5
+    rows = stats.block_counts(spark, n, 40, 7).collect()
+    assert {sum(r.c for r in rows if r.b == b) for b in range(40)} == {n}
+    shares = np.array([sum(r.c for r in rows if r.block == k) for k in range(4)]) / n / 40
+    assert shares == pytest.approx(np.array([stats.BLOCK] * 3 + [5]) / n, abs=0.01)
+    # Within a block every record is as likely as another, and counts of a record spread as a binomial's do.
+    c = np.full(400, stats.BLOCK)
+    times = stats._sums(2, np.eye(stats.BLOCK)[:, :50], np.arange(400), c, 7)[:, :50]
+    assert times.mean() == pytest.approx(1, abs=0.03) and times.var() == pytest.approx(1, abs=0.05)
+
+
+def test_bootstrap_of_50000_records_agrees_with_numpy(spark):
+    x = np.random.default_rng(2).gamma(2.0, 3.0, 50_000)
+    r = stats.bootstrap(scores(spark, x), "note_id", ["x"]).first()
+    mean, low, high = stats.bootstrap_like_pcg64(list(x))
+    width = high - low
+    assert r.point_estimate == pytest.approx(mean, abs=1e-6)
+    assert r.ci_low == pytest.approx(low, abs=0.1 * width) and r.ci_high == pytest.approx(high, abs=0.1 * width)
+
+
 def test_bootstrap_of_many_records_counts_all_and_skips_nulls(spark):
-    n = 3 * stats.GROUPS + 5
+    n = 3 * stats.BLOCK + 5
     rows = spark.range(n).selectExpr("cast(id as string) as note_id", "case when id % 5 < 4 then cast(id % 100 as double) end as x", "cast(null as double) as y")
     r = {x.metric: x for x in stats.bootstrap(rows, "note_id", ["x", "y"], resamples=300).collect()}
     x = np.array([i % 100 for i in range(n) if i % 5 < 4], float)

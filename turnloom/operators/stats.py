@@ -1,29 +1,85 @@
-"""Percentile bootstrap of means and of paired differences.
-
-Records are put into groups by their place in hash order, a record to a group while there are
-GROUPS records at most.  Resample b draws at place p the group at hash(seed, b, p) mod the
-number of groups: a relational plan that any SQL engine repeats.  What a resample costs is
-so bounded, and every record counts: groups of records drawn at random vary as the records
-do.  All metrics share the draws, so they go through one join, and the difference of two
-arms' resample means is the resample mean of their differences.
+"""Percentile bootstrap of means and of paired differences, record by record at any number of records.
+
+A resample draws as many records as there are, with replacement.  Records stand in blocks of BLOCK by their place
+in hash order.  How many of a resample's draws fall into each block is counted first (draws are numbered, and
+numbers are dealt to tasks); each block then draws so many of its own records, where they are.  Given the
+counts of the blocks, draws within a block are uniform, so the whole is the multinomial of the n records, and no
+draw travels: a block gets RESAMPLES counts and gives as many sums.  All metrics share the draws, so they go
+through them at once, and the difference of two arms' resample means is the resample mean of their differences.
+
+Draw number x in place y of resample b is a hash of 62 bits modulo what there is to draw from, in arithmetic that SQL
+has too, so that a plain query can repeat it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators import order
 
 RESAMPLES, LEVEL, SEED = 1000, 0.95, 42
-GROUPS = 4096
+#: Records that are drawn from together, and numbers of draws that are counted at once.
+BLOCK, COUNTED = 4096, 1 << 22
+#: A word of a hash: its bits, and the factors and shifts that mix them.
+WORD, FACTORS, SHIFTS = (1 << 31) - 1, (0x21F0AAAD, 0x735A2D97), (16, 15, 15)
+
+
+def mixed(x):
+    """x, one number or many, with every bit of the word spread over all others."""
+    x = x ^ (x >> SHIFTS[0])
+    x = (x * FACTORS[0]) & WORD
+    x = x ^ (x >> SHIFTS[1])
+    x = (x * FACTORS[1]) & WORD
+    return x ^ (x >> SHIFTS[2])
+
+
+def starts(seed: int, stage: int) -> tuple[int, int]:
+    """What the two words of a stage's hashes start from."""
+    return tuple(mixed((mixed(seed & WORD) + 2 * stage + word + 1) & WORD) for word in (0, 1))
+
+
+def draws(seed: int, stage: int, b, x, y):
+    """Hashes of 62 bits of (b, x, y); stage 0 takes y high and x low bits of a draw's number, stage 1 a block and a number in it."""
+    high, low = (mixed((mixed((mixed(s ^ b) + x) & WORD) + y) & WORD) for s in starts(seed, stage))
+    return (high << 31) | low
+
+
+def block_counts(spark: SparkSession, n: int, resamples: int, seed: int) -> DataFrame:
+    """block, b, c: how many of the n draws of resample b fall into each block of BLOCK records (none: no row)."""
+    if n <= BLOCK:
+        return spark.range(resamples).select(F.lit(0).cast("long").alias("block"), F.col("id").alias("b"), F.lit(n).cast("long").alias("c"))
+    parts = -(-n // COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch["id"].to_pylist():
+                b, part = divmod(i, parts)
+                x = np.arange(part * COUNTED, min(n, (part + 1) * COUNTED), dtype=np.int64)
+                c = np.bincount(draws(seed, 0, np.int64(b), x & WORD, x >> 31) % n // BLOCK, minlength=-(-n // BLOCK))
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), b)), pa.array(c[at])], ["block", "b", "c"])
+
+    return spark.range(resamples * parts).mapInArrow(run, "block long, b long, c long").groupBy("block", "b").agg(F.sum("c").alias("c"))
 
 
-def _draws(spark: SparkSession, groups: int, resamples: int, seed: int) -> DataFrame:
-    places = spark.range(resamples * groups).select(F.expr(f"id div {groups}").alias("b"), F.expr(f"id % {groups}").alias("p"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("p").cast("string"))
-    return places.select("b", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % groups).alias("g"))
+def _sums(block: int, values: np.ndarray, b: np.ndarray, c: np.ndarray, seed: int) -> np.ndarray:
+    """For each resample sum and number of the values (rows by metrics, nan for null) that c draws of it take."""
+    n = len(values)
+    both = np.concatenate([np.nan_to_num(values), ~np.isnan(values)], axis=1).astype(float)
+    out = np.empty((len(b), both.shape[1]))
+    step = max(1, COUNTED // max(1, int(c.max(initial=1)), n))
+    for s in range(0, len(b), step):
+        times = c[s : s + step]
+        which = np.repeat(np.arange(len(times)), times)
+        number = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        picks = draws(seed, 1, b[s : s + step][which], np.int64(block), number) % n
+        out[s : s + step] = np.bincount(which * n + picks, minlength=len(times) * n).reshape(-1, n) @ both
+    return out
 
 
 def bootstrap(records: DataFrame, key: str, metrics: list[str], resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED, point: str = "point_estimate") -> DataFrame:
@@ -32,13 +88,23 @@ def bootstrap(records: DataFrame, key: str, metrics: list[str], resamples: int =
     Records are placed by the hash order of `key`.  Nulls of a metric are left out of its means.
     Empty records raise.
     """
+    spark = records.sparkSession
     placed, total = order.ranked(records.select(key, *metrics), key, seed, "pos")
     n = total.first()[0]
     if not n:
         raise ValueError("bootstrap of no records")
-    groups = min(n, GROUPS)
-    sums = placed.groupBy(((F.col("pos") - 1) % groups).alias("g")).agg(*[x for i, m in enumerate(metrics) for x in (F.sum(m).alias(f"s{i}"), F.count(m).alias(f"c{i}"))])
-    drawn = _draws(records.sparkSession, groups, resamples, seed).join(F.broadcast(sums), "g")  # GROUPS rows at most
+    names = [f"{x}{i}" for x in "sc" for i in range(len(metrics))]
+
+    def drawn(own: pa.Table, counts: pa.Table) -> pa.Table:
+        own = own.sort_by("pos")
+        values = np.stack([own[f"m{i}"].to_numpy() for i in range(len(metrics))], axis=1).astype(float)
+        b = counts["b"].to_numpy()
+        sums = _sums(counts["block"][0].as_py(), values, b, counts["c"].to_numpy(), seed) if len(b) else np.zeros((0, len(names)))
+        return pa.table([pa.array(b), *(pa.array(x) for x in sums.T)], ["b", *names])
+
+    rows = placed.select(((F.col("pos") - 1) / BLOCK).cast("long").alias("block"), "pos", *[F.col(f"`{m}`").cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
+    counts = block_counts(spark, n, resamples, seed)
+    drawn = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(drawn, "b long, " + ", ".join(f"{x} double" for x in names))
     means = drawn.groupBy("b").agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"c{i}")).alias(m) for i, m in enumerate(metrics)])
     low = (1 - level) / 2
     bounds = means.agg(*[F.percentile(m, F.array(F.lit(low), F.lit(1 - low))).alias(m) for m in metrics])

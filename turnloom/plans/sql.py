@@ -6,8 +6,8 @@ import re
 
 from turnloom.functions import text
 from turnloom.functions.porter import STEP_2, STEP_3, STEP_4
+from turnloom.operators import stats
 from turnloom.operators.retrieval import MAX_FEATURES, STOP_WORDS
-from turnloom.operators.stats import GROUPS
 
 _NUMBERS = r"list_distinct(list_transform(regexp_extract_all({0}, '\d+(?:\.\d+)?'), lambda x: x::double))"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -57,23 +57,38 @@ def top(name: str, train: str, queries: str, k: int) -> str:
 {name}_top as (select * from (select *, row_number() over (partition by query_id order by similarity desc, note_id) as rank from {name}_all) where rank <= {k})"""
 
 
+def _draw(stage: int, seed: int, b: str, x: str, y: str) -> str:
+    """Columns of a select, the last one `draw`: stats.draws() of the three expressions, each step a column that the next ones use."""
+    out, words = [], []
+    for word, start in enumerate(stats.starts(seed, stage)):
+        last = f"xor({start}::bigint, {b})"
+        for i, more in enumerate((x, y, None)):
+            v = f"w{word}{i}"
+            out += [f"{last} as {v}a", f"(xor({v}a, {v}a >> {stats.SHIFTS[0]}) * {stats.FACTORS[0]}) & {stats.WORD} as {v}b"]
+            out += [f"(xor({v}b, {v}b >> {stats.SHIFTS[1]}) * {stats.FACTORS[1]}) & {stats.WORD} as {v}c", f"xor({v}c, {v}c >> {stats.SHIFTS[2]}) as {v}d"]
+            last = f"({v}d + {more}) & {stats.WORD}"
+        words.append(f"{v}d")
+    return ", ".join([*out, f"({words[0]} << 31) | {words[1]} as draw"])
+
+
 def bootstrap(records: str, metrics: list[str], key: str = "note_id", resamples: int = 1000, seed: int = 42, point: str = "point_estimate") -> str:
     """Body of a query for metric, point, ci_low, ci_high, n, n_resamples of columns of the CTE `records`."""
     quoted = [f'"{m}"' for m in metrics]
-    sums = ", ".join(f'sum({q}) as "s|{m}", count({q}) as "c|{m}"' for m, q in zip(metrics, quoted))
-    means = ", ".join(f'sum("s|{m}") / nullif(sum("c|{m}"), 0) as {q}' for m, q in zip(metrics, quoted))
-    groups = f"(select least(count(*), {GROUPS}) from {records})"
+    means = ", ".join(f"sum({q}) / nullif(count({q}), 0) as {q}" for q in quoted)
     rows = " union all ".join(
         f"select '{m}' as metric, (select round(avg({q}), 6) from {records}) as {point}, round(quantile_cont({q}, 0.025), 6) as ci_low, round(quantile_cont({q}, 0.975), 6) as ci_high from bs_means"
         for m, q in zip(metrics, quoted)
     )
     return f"""
-bs_pos as (select *, row_number() over (order by {md5_order(seed, key)}) - 1 as pos from {records}),
-bs_sum as (select pos % {groups} as pos, {sums} from bs_pos group by 1),
-bs_draw as (select b, ('0x' || substring(md5('{seed}|' || b || '|' || p), 1, 8))::bigint % {groups} as pos
-  from range({resamples}) r(b), (select unnest(range({groups})) as p)),
-bs_means as (select b, {means} from bs_draw join bs_sum using (pos) group by b),
-bs_rows as (select *, (select count(*) from {records}) as n, {resamples}::bigint as n_resamples from ({rows}))"""
+bs_n as (select count(*) as n from {records}),
+bs_pos as (select {", ".join(quoted)}, row_number() over (order by {md5_order(seed, key)}) - 1 as pos from {records}),
+bs_falls as (select b, draw % n // {stats.BLOCK} as block, n from (
+  select b, n, {_draw(0, seed, "b", f"(x & {stats.WORD})", "(x >> 31)")} from (select b, n, unnest(range(n)) as x from range({resamples}) r(b), bs_n where n > {stats.BLOCK}))),
+bs_counts as (select b, block, n, count(*) as c from bs_falls group by all union all select b, 0, n, n from range({resamples}) r(b), bs_n where n <= {stats.BLOCK}),
+bs_picks as (select b, block * {stats.BLOCK} + draw % least({stats.BLOCK}, n - block * {stats.BLOCK}) as pos from (
+  select b, block, n, {_draw(1, seed, "b", "block", "x")} from (select b, block, n, unnest(range(c)) as x from bs_counts))),
+bs_means as (select b, {means} from bs_picks join bs_pos using (pos) group by b),
+bs_rows as (select *, (select n from bs_n) as n, {resamples}::bigint as n_resamples from ({rows}))"""
 
 
 def rouge(name: str, pairs: str) -> str:
