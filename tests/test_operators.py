@@ -154,7 +154,8 @@ def test_retrieval_blocks_and_heavy_terms_agree(spark, train, monkeypatch):
     words = [f"w{i}" for i in range(40)]
     notes = spark.createDataFrame([(f"n{i:03d}", " ".join(rng.choices(words, k=12))) for i in range(60)], "note_id string, text string")
     whole = sorted(tuple(r) for r in retrieval.Retriever().fit(notes).top(notes, 3).collect())
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_CELL", 7)
+    monkeypatch.setattr(retrieval, "TRAIN_CELL", 11)
     monkeypatch.setattr(retrieval, "ROWS", 5)
     small = sorted(tuple(r) for r in retrieval.Retriever().fit(notes).top(notes, 3).collect())
     assert whole == small
