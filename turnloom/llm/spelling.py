@@ -40,16 +40,12 @@ Q = 3
 POSTED = Q + 1
 #: Words counted before a task hands them on.
 HELD = 1 << 17
-#: Rows of a posting list that one task merges.
-LONG = 20_000
+#: Rows of a posting list that one task merges, and words of one that are verified without sifting.
+LONG, FEW = 20_000, 3
 
 _RUN = re.compile(f"[a-zÀ-ÿ]{{{LEAST_LETTERS},}}")
-# All letters are Latin-1: 26, 64, and a sign before and behind each word.
-_LETTERS = 92
-_CODE = np.zeros(256, np.int64)
-_CODE[97:123] = np.arange(1, 27)
-_CODE[0xC0:] = np.arange(27, 91)
-_BEHIND = 91
+# Signs before and behind a word; letters are 90 of Latin-1, so there are 92 ** Q grams at most.
+_BEFORE, _BEHIND = "\x01" * (Q - 1), "\x02" * (Q - 1)
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -84,51 +80,50 @@ def words(docs: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def grams(word: str) -> np.ndarray:
-    """Codes of the word's grams in order."""
-    c = np.concatenate([[0, 0], _CODE[np.frombuffer(word.encode("latin-1"), np.uint8)], [_BEHIND, _BEHIND]])
-    return (c[:-2] * _LETTERS + c[1:-1]) * _LETTERS + c[2:]
+def grams(word: str) -> list[str]:
+    """The word's grams in order."""
+    whole = _BEFORE + word + _BEHIND
+    return [whole[i : i + Q] for i in range(len(word) + Q - 1)]
 
 
-def gram_counts(vocab: DataFrame) -> np.ndarray:
-    """How often each gram occurs in vocab(word): _LETTERS ** Q numbers whatever the corpus."""
+def gram_ranks(vocab: DataFrame) -> dict[str, int]:
+    """The grams of vocab(word), numbered from the rarest to the most frequent, equals by code points: 92 ** Q entries at
+    most, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_LETTERS**Q, np.int64)
+        total: Counter = Counter()
         for b in batches:
             for word in b["word"].to_pylist():
-                np.add.at(total, grams(word), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
+                total.update(grams(word))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
 
-    rows = vocab.select("word").mapInArrow(trimmed(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(_LETTERS**Q, np.int64)
-    out[rows["g"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    rows = vocab.select("word").mapInArrow(trimmed(run), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    return {g: i for i, (_, g) in enumerate(sorted(zip(rows["n"].to_pylist(), rows["g"].to_pylist())))}
 
 
-def posted(g: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Places of the rarest POSTED grams, rarest first; of equally rare ones the smaller code, then the earlier place."""
-    return np.lexsort((np.arange(len(g)), g, counts[g]))[:POSTED]
+def posted(own: list[str], ranks: dict[str, int]) -> list[int]:
+    """Places of the rarest POSTED grams, rarest first; of equal ones the earlier place."""
+    return sorted(range(len(own)), key=lambda p: ranks[own[p]])[:POSTED]
 
 
 _POSTINGS = "g int, p int, size int, asks boolean, word string"
 
 
-def postings(vocab: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row for each list that a word stands in (asks: false) or asks as a possible variant of longer words (true)."""
-    held = vocab.sparkSession.sparkContext.broadcast(counts)
+def postings(vocab: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """A row for each list (gram by its rank, place, length of its words) that a word stands in (asks: false) or asks as a
+    possible variant of longer words (true)."""
+    held = vocab.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = held.value
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for word in b["word"].to_pylist():
-                g, size = grams(word), len(word)
-                for p in posted(g, held.value).tolist():
-                    c = int(g[p])
-                    for q, s, asks in ((p, size, False), (p, size + 1, True), (p + 1, size + 1, True)):
-                        for column, v in zip(out, (c, q, s, asks, word)):
-                            column.append(v)
+                own, size = grams(word), len(word)
+                for p in posted(own, ranks):
+                    c = ranks[own[p]]
+                    for column, v in zip(out, ((c, c, c), (p, p, p + 1), (size, size + 1, size + 1), (False, True, True), (word, word, word))):
+                        column += v
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], ["g", "p", "size", "asks", "word"])
 
     return vocab.select("word").mapInArrow(trimmed(run), _POSTINGS)
@@ -186,48 +181,63 @@ def _bisect(x: list[int], v: int) -> int:
     return low
 
 
-def _list_pairs(code: int, place: int, size: int, listed: list[str], asking: list[str], counts: np.ndarray) -> Iterator[tuple[str, str]]:
+def _list_pairs(code: int, place: int, size: int, listed: list[str], asking: list[str], ranks: dict[str, int]) -> Iterator[tuple[str, str]]:
     """Pairs one edit apart that meet in this list first."""
-    if len(listed) + len(asking) < 2 or not listed:
+    if not listed:
         return
-    index: dict[tuple[int, int], list[int]] = {}
-    own = [list(enumerate(grams(w).tolist())) for w in listed]
+    if len(listed) <= FEW:  # nothing to sift
+        found = [(w, x) for w in asking for x in listed] + [(w, x) for i, w in enumerate(listed) for x in listed[i + 1 :]]
+    else:
+        found = _sifted(size, listed, asking)
+    for s, t in found:
+        if one_edit(s, t) and _first(s, t, ranks) == (code, place):
+            yield s, t
+
+
+def _sifted(size: int, listed: list[str], asking: list[str]) -> Iterator[tuple[str, str]]:
+    """Pairs that share as many grams as words one edit apart must."""
+    index: dict[tuple[int, str], list[int]] = {}
+    own = [list(enumerate(grams(w))) for w in listed]
     for i, g in enumerate(own):
         for at in g:
-            index.setdefault(at, []).append(i)
+            if at in index:
+                index[at].append(i)
+            else:
+                index[at] = [i]
     least = size - 1
     for i, w in enumerate(listed):
         lists = [x for at in own[i] if (x := index[at])[-1] > i]
-        for j in _merged(lists, least) if len(lists) >= least else ():
-            if j > i and one_edit(w, listed[j]) and _first(w, listed[j], counts) == (code, place):
-                yield w, listed[j]
+        if len(lists) >= least:
+            for j in _merged(lists, least):
+                if j > i:
+                    yield w, listed[j]
     for w in asking:
         lists = []
-        for p, c in enumerate(grams(w).tolist()):
+        for p, c in enumerate(grams(w)):
             a, b = index.get((p, c)), index.get((p + 1, c))
             if a or b:
                 lists.append(sorted({*a, *b}) if a and b else a or b)
-        for j in _merged(lists, least):
-            if one_edit(w, listed[j]) and _first(w, listed[j], counts) == (code, place):
+        if len(lists) >= least:
+            for j in _merged(lists, least):
                 yield w, listed[j]
 
 
-def _first(s: str, t: str, counts: np.ndarray) -> tuple[int, int] | None:
+def _first(s: str, t: str, ranks: dict[str, int]) -> tuple[int, int] | None:
     """The gram and its place in t (no shorter than s) of the first list where s and t meet."""
     a, b = grams(s), grams(t)
-    there = {(int(b[q]), q) for q in posted(b, counts).tolist()}
-    for p in posted(a, counts).tolist():
+    there = {(b[q], q) for q in posted(b, ranks)}
+    for p in posted(a, ranks):
         for q in (p,) if len(s) == len(t) else (p, p + 1):
-            if (int(a[p]), q) in there:
-                return int(a[p]), q
+            if (a[p], q) in there:
+                return ranks[a[p]], q
     return None
 
 
 _PAIR = "a string, b string"
 
 
-def _pairs_of_lists(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(counts)
+def _pairs_of_lists(rows: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, listed, asking, out = None, [], [], ([], [])
@@ -291,13 +301,13 @@ def _pairs_of_rests(rows: DataFrame) -> DataFrame:
 
 def pairs(vocab: DataFrame, long: int = LONG) -> DataFrame:
     """a and b of every two words of vocab(word) that are one edit apart, once."""
-    counts = gram_counts(vocab)
-    rows = materialise(postings(vocab, counts), "postings")
+    ranks = gram_ranks(vocab)
+    rows = materialise(postings(vocab, ranks), "postings")
     crowded = rows.groupBy("g", "p", "size").agg(F.count("*").alias("n")).where(F.col("n") > long).drop("n")
     if crowded.isEmpty():
-        return _pairs_of_lists(rows, counts)
+        return _pairs_of_lists(rows, ranks)
     crowded = materialise(crowded, "crowded")
-    some = _pairs_of_lists(rows.join(crowded, ["g", "p", "size"], "left_anti"), counts)
+    some = _pairs_of_lists(rows.join(crowded, ["g", "p", "size"], "left_anti"), ranks)
     rest = _pairs_of_rests(rows.join(crowded, ["g", "p", "size"], "left_semi"))
     return some.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
