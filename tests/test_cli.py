@@ -56,11 +56,39 @@ def test_model_arm(spark, built):
     assert io.read_arms(spark, str(built / "models" / "*" / "*" / "*.txt")).first().decoding.do_sample
     with pytest.raises(ValueError, match="generator"):
         cli.main(args, spark)
+    loaded = [*args[:-1], "loaded", "--loader", "tests.test_cli:load", "--model-name", "base", "--adapter", "ad", "--max-new-tokens", "5"]
+    assert cli.main(loaded, spark) == 0
+    one = json.loads((built / "models" / "loaded" / "summary.json").read_text())
+    assert one["adapter"] == "ad" and one["n_records"] == 4 and one["throughput"]["tokens_per_second"] == pytest.approx(5 * one["throughput"]["records_per_second"])
+    assert cli.main(["show", "0", "--data", str(built / "data"), "--arm", "self", "--compare", "model", "half", "--loader", "tests.test_cli:load"], spark) == 0
+
+
+class _Model:
+    def generate(self, messages, max_new_tokens, do_sample):
+        return "Doctor: hm\nPatient: hm", max_new_tokens
+
+
+def load(name, **options):
+    return _Model()
+
+
+def test_tokens_and_packing(spark, built, tmp_path, capsys):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    ranks = str(tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert cli.main(["run-arm", "half", "--data", str(built / "data"), "--out", str(tmp_path / "o"), "--tokenizer", ranks, "--encoder", "learned"], spark) == 0
+    one = json.loads((tmp_path / "o" / "half" / "summary.json").read_text())
+    assert one["throughput"]["tokens_per_second"] > 3 * one["throughput"]["records_per_second"] and "bertscore_f1" in {r["metric"] for r in one["aggregate"]}
+    assert cli.main(["pack", "--data", str(built / "data"), "--out", str(tmp_path / "p"), "--tokenizer", ranks, "--max-seq-len", "300"], spark) == 0
+    rows = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert sum(len(r.starts) for r in rows) == 32 and all(len(r.ids) == r.n_tokens <= 300 for r in rows)
+    assert "in" in capsys.readouterr().out
 
 
 def test_probe_and_show(spark, built, capsys):
     assert cli.main(["contamination", "--data", str(built / "data"), "--split", "train"], spark) == 0
     assert "Verdict" in capsys.readouterr().out
+    assert cli.main(["contamination", "--data", str(built / "data"), "--split", "train", "--memory", "train"], spark) == 0
+    assert "substantial" in capsys.readouterr().out
     for which in ("0", "random"):
         assert cli.main(["show", which, "--data", str(built / "data"), "--arm", "retrieval"], spark) == 0
         assert "rouge1" in capsys.readouterr().out

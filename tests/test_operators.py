@@ -264,7 +264,11 @@ def test_arms_end_to_end(spark):
     assert table.count() == 4 * len(arms.METRICS)
     text = compare.markdown(table, arms.valid_rate(out), compare.compare(out, sorted(arms.ARMS), resamples=20))
     assert "### half − retrieval" in text and "| self | 1.000 [1.000, 1.000]" in text
-    assert arms.throughput(out)["tokens_per_second"] is None
+    for tokens, found in ((None, None), ("num_turns", float(out.agg({"num_turns": "sum"}).first()[0]))):
+        speed = arms.Speed(out, tokens)
+        speed.made.write.format("noop").mode("overwrite").save()
+        seen = speed.result()
+        assert seen["n_records"] == 32 and (seen["tokens_per_second"] and seen["tokens_per_second"] * seen["wall_clock_s"]) == (found and pytest.approx(found))
 
 
 def test_contamination(spark):

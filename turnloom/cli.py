@@ -1,14 +1,17 @@
 """Command line: python -m turnloom.cli COMMAND ...
 
 build-dataset  CSV of pairs -> split Parquet and a data report
-run-arm        one arm over the test split -> scores as JSON; the arm `model` generates with --generator
+run-arm        one arm over the test split -> scores as JSON; the arm `model` generates with --generator or --loader
 compare        all arms' scores -> tables of differences
 contamination  memorisation probe over a split
 check-leak     files -> exit status 1 if any must not be published
-show           one note of a split and its scores under an arm
+show           one note of a split and its scores under an arm, or under each of several side by side
+pack           a split's training texts -> token sequences of one size as Parquet
 
---generator and --encoder name a function of an importable module, MODULE:FUNCTION: one over Arrow batches
-(note_id, clinical_note) -> (note_id, generated, gen_tokens), one from a text to its token vectors.
+--generator, --loader and --encoder name a function of an importable module, MODULE:FUNCTION: one over Arrow batches
+(note_id, clinical_note) -> (note_id, generated, gen_tokens), one that loads a model (operators/model.py), one from a
+text to its token vectors; --encoder learned learns word vectors from the training split.
+--tokenizer names a file of ranked byte-pair tokens; texts of arms that do not count their tokens are counted with it.
 --config FILE of a command: a YAML mapping of its options; what the command line gives goes before it.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import leak, text
-from turnloom.operators import arms, compare, contamination, dataset, embedscore, order, report
+from turnloom.operators import arms, compare, contamination, continuation, dataset, embedscore, model, order, packing, report, wordvectors
 from turnloom.operators.retrieval import Retriever
 from turnloom.session import session
 from turnloom.sources import io
@@ -50,31 +53,53 @@ def _retrieved(spark: SparkSession, a, pairs):
     return found.join(train.select(F.col("note_id").alias("__from"), F.col("conversation").alias("generated")), "__from").select("note_id", "generated")
 
 
-def _named(spec: str):
-    module, _, name = spec.partition(":")
-    return getattr(importlib.import_module(module), name)
+def _made(spark: SparkSession, a, arm: str, pairs):
+    if arm == "model":
+        if bool(a.generator) == bool(a.loader):
+            raise ValueError("the arm model goes with --generator or --loader")
+        if a.generator:
+            return arms.mapped(model.named(a.generator))(pairs)
+        spec = model.Spec(a.loader, a.model_name, a.adapter, a.max_seq_len, seed=a.seed)
+        return model.generator(spec, a.max_new_tokens, a.sampled, a.temperature)(pairs)
+    return _retrieved(spark, a, pairs) if arm == "retrieval" else arms.ARMS[arm](pairs)
+
+
+def _encoder(spark: SparkSession, a):
+    if a.encoder == "learned":
+        train = io.read_split(spark, a.data, "train")
+        return wordvectors.fit(train.select(F.col("clinical_note").alias("text")).union(train.select("conversation")), seed=a.seed).encoder(spark)
+    return {"hashed": embedscore.hashed, "none": None}[a.encoder] if a.encoder in ("hashed", "none") else model.named(a.encoder)
 
 
 def run_arm(spark: SparkSession, a) -> int:
-    if (a.arm == "model") != bool(a.generator):
-        raise ValueError("--generator goes with the arm model")
-    pairs = _pairs(spark, a).cache()
-    if a.arm == "model":
-        made = arms.mapped(_named(a.generator))(pairs)
-    else:
-        made = _retrieved(spark, a, pairs) if a.arm == "retrieval" else arms.ARMS[a.arm](pairs)
-    made = made.cache()  # generated once, and timed
-    speed = arms.throughput(made, "gen_tokens" if "gen_tokens" in made.columns else None)
-    encode = {"hashed": embedscore.hashed, "none": None}[a.encoder] if a.encoder in ("hashed", "none") else _named(a.encoder)
+    """The arm's texts are generated and scored by one job, which also counts them; the rest reads what it wrote."""
+    if a.arm != "model" and (a.generator or a.loader):
+        raise ValueError("--generator and --loader go with the arm model")
     name = a.name or a.arm
-    scores = arms.scored(pairs.join(made.select("note_id", "generated"), "note_id"), encode=encode).withColumn("arm", F.lit(name)).cache()
-    io.write_arms(scores, f"{a.out}/{name}", {"decoding": F.struct(F.lit(a.sampled).alias("do_sample")), "model_name": F.lit(a.generator).cast("string")})
-    metrics = [m for m in io.SCORES if m in scores.columns]
+    pairs, encode = _pairs(spark, a), _encoder(spark, a)
+    made = _made(spark, a, a.arm, pairs)
+    if "gen_tokens" not in made.columns and a.tokenizer:
+        made = made.withColumn("gen_tokens", packing.Tokenizer(spark, a.tokenizer).count(F.col("generated")))
+    speed = arms.Speed(made, "gen_tokens" if "gen_tokens" in made.columns else None)
+    scores = arms.scored(pairs.join(speed.made.select("note_id", "generated", *(["gen_tokens"] if "gen_tokens" in made.columns else [])), "note_id"), encode=encode)
+    io.write_arms(scores.withColumn("arm", F.lit(name)), f"{a.out}/{name}", {"decoding": F.struct(F.lit(a.sampled).alias("do_sample")), "model_name": F.lit(a.generator or (a.loader and (a.adapter or a.model_name))).cast("string")})
+    took = speed.result()
+    scores = io.read_arms(spark, f"{a.out}/{name}/*/*.txt", [name])
+    metrics = [m for m in io.SCORES if scores.where(F.col(m).isNotNull()).limit(1).count()]
     valid = arms.valid_rate(scores).first().turn_format_valid_rate
-    results = {"arm": name, "split": a.split, "seed": a.seed, "encoder": a.encoder, "n_records": scores.count(), "aggregate": io.as_records(arms.aggregate(scores, [name], metrics))}
-    io.write_json(results | {"turn_format_valid_rate": valid, "throughput": speed}, f"{a.out}/{name}/summary.json")
-    for held in (scores, made, pairs):
-        held.unpersist()
+    results = {"arm": name, "split": a.split, "seed": a.seed, "encoder": a.encoder, "adapter": a.adapter, "n_records": took.pop("n_records"), "aggregate": io.as_records(arms.aggregate(scores, [name], metrics))}
+    io.write_json(results | {"turn_format_valid_rate": valid, "throughput": took}, f"{a.out}/{name}/summary.json")
+    return 0
+
+
+def pack(spark: SparkSession, a) -> int:
+    rows = io.read_split(spark, a.data, a.split)
+    said = text.chat_text(text.chat_messages(F.col("clinical_note"), F.col("conversation")))
+    ids = rows.select("note_id", packing.Tokenizer.of_chat(spark, a.tokenizer).ids(said).alias("ids"))
+    placed = packing.pack(ids.select("note_id", F.size("ids").alias("n_tokens")), a.max_seq_len, a.seed)
+    packing.sequences(placed, ids, a.max_seq_len).write.mode("overwrite").parquet(a.out)
+    whole = spark.read.parquet(a.out).agg(F.count("*").alias("bins"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    print(f"{whole.tokens} tokens in {whole.bins} sequences of {a.max_seq_len}" + (f", {100 * whole.tokens / whole.bins / a.max_seq_len:.1f}% full" if whole.bins else ""))
     return 0
 
 
@@ -93,7 +118,11 @@ def compare_arms(spark: SparkSession, a) -> int:
 
 def probe(spark: SparkSession, a) -> int:
     rows = io.read_split(spark, a.data, a.split).select("note_id", "conversation")
-    deltas = contamination.delta(contamination.probe(rows, n=a.n, seed=a.seed)).cache()
+    by_heart = None
+    if a.memory:
+        held = io.read_split(spark, a.data, a.memory).select("note_id", F.col("conversation").alias("text"))
+        by_heart = contamination.from_corpus(held, a.max_new_tokens)
+    deltas = contamination.delta(contamination.probe(rows, n=a.n, seed=a.seed, continue_all=by_heart)).cache()
     verdict = contamination.verdict(deltas)
     print(contamination.report(deltas, verdict))
     if a.json:
@@ -124,8 +153,8 @@ def show(spark: SparkSession, a) -> int:
         one = io.note_at(notes, a.which if a.which.startswith("note-") else int(a.which))
     pair = one.select("note_id", "clinical_note", "conversation")
     print(pair.select(text.shown(F.col("clinical_note"))).first()[0])
-    made = _retrieved(spark, a, pair) if a.arm == "retrieval" else arms.ARMS[a.arm](pair)
-    print(report.one_record(arms.scored(pair.join(made, "note_id"))))
+    found = {arm: arms.scored(pair.join(_made(spark, a, arm, pair).select("note_id", "generated"), "note_id")) for arm in [a.arm, *(a.compare or [])]}
+    print(report.one_record(found[a.arm]) if len(found) == 1 else report.side_by_side(found))
     return 0
 
 
@@ -145,12 +174,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     split = lambda x: ("--split", {"default": x})
     n = lambda x: ("-n", {"type": int, "default": x})
     command("build-dataset", build_dataset, ("csv", {}), out, ("--report", {"required": True}), seed)
-    model = ("--generator", {}), ("--name", {}), ("--sampled", {"action": "store_true"})
-    command("run-arm", run_arm, ("arm", {"choices": sorted([*arms.ARMS, "model"])}), data, out, split("test"), n(200), seed, ("--encoder", {"default": "hashed"}), *model)
+    number = lambda flag, x: (flag, {"type": type(x), "default": x})
+    length, tokenizer = number("--max-seq-len", packing.CAPACITY), ("--tokenizer", {})
+    loaded = ("--generator", {}), ("--loader", {}), ("--model-name", {"default": ""}), ("--adapter", {}), ("--sampled", {"action": "store_true"})
+    loaded += length, number("--max-new-tokens", model.MAX_NEW_TOKENS), number("--temperature", model.TEMPERATURE)
+    command("run-arm", run_arm, ("arm", {"choices": sorted([*arms.ARMS, "model"])}), data, out, split("test"), n(200), seed, ("--encoder", {"default": "hashed"}), ("--name", {}), tokenizer, *loaded)
+    command("pack", pack, data, out, split("train"), ("--tokenizer", {"required": True}), length, seed)
     command("compare", compare_arms, out, ("--arms", {"nargs": "*"}))
-    command("contamination", probe, data, split("test"), n(100), seed, ("--json", {}))
+    command("contamination", probe, data, split("test"), n(100), seed, ("--json", {}), ("--memory", {}), number("--max-new-tokens", continuation.NEW_WORDS))
     command("check-leak", check_leak, ("files", {"nargs": "*"}))
-    command("show", show, ("which", {}), data, split("test"), ("--arm", {"choices": ["half", "retrieval", "self"], "default": "half"}), seed)
+    shown = ["half", "model", "retrieval", "self"]
+    command("show", show, ("which", {}), data, split("test"), ("--arm", {"choices": shown, "default": "half"}), ("--compare", {"nargs": "+", "choices": shown}), seed, *loaded)
     a = top.parse_args(argv)
     if a.config:
         known = {x.dest for x in a.parser._actions} - {"help", "config"}

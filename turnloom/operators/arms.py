@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from turnloom.functions import dialogue, numbers
@@ -98,9 +98,18 @@ def valid_rate(scores: DataFrame) -> DataFrame:
     return scores.groupBy("arm").agg(F.round(F.avg(valid.cast("int")), 6).alias("turn_format_valid_rate"))
 
 
-def throughput(made: DataFrame, tokens: str | None = None) -> dict[str, float | None]:
-    """Records and tokens a second of a run of `made`; tokens_per_second is None without a token column, and so is memory of an accelerator that is not there."""
-    began = time.perf_counter()
-    n, t = made.agg(F.count("*"), F.sum(tokens) if tokens else F.lit(None)).first()
-    s = time.perf_counter() - began
-    return {"records_per_second": n / s, "tokens_per_second": t / s if t else None, "wall_clock_s": s, "peak_vram_gb": None}
+class Speed:
+    """Records and tokens of a table, counted while the job that needs it runs, and the time between start and result."""
+
+    def __init__(self, made: DataFrame, tokens: str | None = None):
+        self.observed = Observation()
+        self.tokens = tokens
+        self.made = made.observe(self.observed, F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(tokens) if tokens else F.lit(None), F.lit(0)).cast("long").alias("tokens"))
+        self.began = time.perf_counter()
+
+    def result(self) -> dict[str, float | None]:
+        """To be asked once the job has ended.  tokens_per_second is None without a token column, and so is memory of an
+        accelerator that is not there."""
+        s = time.perf_counter() - self.began
+        found = self.observed.get
+        return {"records_per_second": found["records"] / s, "tokens_per_second": found["tokens"] / s if self.tokens and found["tokens"] else None, "wall_clock_s": s, "peak_vram_gb": None, "n_records": found["records"]}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import dialogue
-from turnloom.operators import order, stats
+from turnloom.operators import continuation, order, stats
 from turnloom.operators.rouge import rouge
 
 #: A difference from which a detected effect counts as substantial.
@@ -21,20 +21,41 @@ def cut(dialogues: DataFrame) -> DataFrame:
     return dialogues.select("note_id", dialogue.halves(F.col("conversation")).alias("h")).where("h is not null").select("note_id", "h.prefix", "h.continuation")
 
 
-def probe(dialogues: DataFrame, generate: Callable[[Column], Column] | None = None, n: int | None = RECORDS, stemmed: bool = True, seed: int = SEED) -> DataFrame:
+def probe(
+    dialogues: DataFrame,
+    generate: Callable[[Column], Column] | None = None,
+    n: int | None = RECORDS,
+    stemmed: bool = True,
+    seed: int = SEED,
+    continue_all: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """note_id, rougeL_vs_true and rougeL_vs_control of each record.
 
     The sample is drawn before short dialogues go.  The control is the continuation of the
     next record in hash order, chosen before anything is generated.  generate: continuation
-    from the prefix column; by default the prefix itself.
+    from the prefix column; by default the prefix itself.  continue_all: (note_id, generated) from
+    rows of (note_id, prefix), for what needs a job of its own; see from_corpus().
     """
     halves = cut(order.first_n(dialogues, "note_id", n, seed))
     moved = order.successors(halves, "note_id", ["continuation"], seed)
-    made = moved.withColumn("generated", (generate or (lambda x: x))(F.col("prefix")))
+    if continue_all:
+        made = moved.join(continue_all(moved.select("note_id", "prefix")), "note_id")
+    else:
+        made = moved.withColumn("generated", (generate or (lambda x: x))(F.col("prefix")))
     score = lambda ref: rouge(F.col(ref), F.col("generated"), stemmed)["rougeL_f"]
     return made.select("note_id", score("continuation").alias("rougeL_vs_true"), score("next_continuation").alias("rougeL_vs_control"))
 
 
+def from_corpus(corpus: DataFrame, new_words: int = continuation.NEW_WORDS) -> Callable[[DataFrame], DataFrame]:
+    """continue_all by a model that has learned corpus(note_id, text) by heart and nothing besides."""
+
+    def run(prefixes: DataFrame) -> DataFrame:
+        texts = prefixes.select(F.col("note_id").alias("id"), F.col("prefix").alias("text"))
+        return continuation.continued(texts, corpus, new_words).select(F.col("id").alias("note_id"), "generated")
+
+    return run
+
+
 def delta(scores: DataFrame, **options) -> DataFrame:
     """metric, estimate, ci_low, ci_high, n, excludes_zero of both scores and of their difference; one set of draws."""
     rows = scores.withColumn("delta", F.col("rougeL_vs_true") - F.col("rougeL_vs_control"))

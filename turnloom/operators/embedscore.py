@@ -53,10 +53,15 @@ def _hashed(word: str) -> np.ndarray:
     return out
 
 
+def tokenize(text: str) -> list[str]:
+    """The lower-case words of a text."""
+    return _WORD.findall(text.lower())
+
+
 def hashed(text: str) -> np.ndarray:
     """Vectors of the lower-case words of a text, from signed hashes of their character pairs and triples and of the
     word: the same on every machine, and without weights, so without context or meaning."""
-    words = _WORD.findall(text.lower())
+    words = tokenize(text)
     return np.stack([_hashed(w) for w in words]) if words else np.zeros((0, DIMS))
 
 

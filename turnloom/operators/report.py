@@ -30,3 +30,12 @@ def one_record(scored: DataFrame) -> str:
     """Scores of a single record, a line each."""
     r = scored.first()
     return "".join(f"{k}: {v:.4f}\n" if isinstance(v, float) else f"{k}: {v}\n" for k, v in r.asDict().items())
+
+
+def side_by_side(scored: dict[str, DataFrame]) -> str:
+    """Scores of a single record under several arms, a line each with a column for each arm."""
+    rows = {arm: df.first().asDict() for arm, df in scored.items()}
+    shown = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
+    names = [k for k in next(iter(rows.values())) if k != "note_id"]
+    out = ["| | " + " | ".join(rows) + " |", "|---" * (len(rows) + 1) + "|"]
+    return "\n".join(out + [f"| {k} | " + " | ".join(shown(r[k]) for r in rows.values()) + " |" for k in names]) + "\n"
