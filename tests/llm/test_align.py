@@ -98,10 +98,13 @@ def test_transducer_over_random_cuts():
 
         a, b = cut(), cut()
         ends = [[0, *accumulate(len(words[i]) for i in s)] for s in (a, b)]
-        ends_a, ends_b, links = machine.run(a, b)
+        ends_a, ends_b, links = align.traced(machine.run(a, b), np.array(a, np.int64), np.array(b, np.int64)) if a else ((), (), ())
         assert [ends[0][i] for i in ends_a] == sorted((set(ends[0]) & set(ends[1])) - {0}) == [ends[1][j] for j in ends_b]
         want = [a[i] << align.BITS | b[j] for i in range(len(a)) for j in range(len(b)) if ends[0][i] < ends[1][j + 1] and ends[1][j] < ends[0][i + 1]]
         assert sorted(links) == sorted(want)
+    assert machine.size and len(machine.states) < 200
+    machine._forget()
+    assert machine.size == 0
 
 
 def test_packing():

@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes, by a transducer of dangling suffixes.
 
 Each text is encoded twice.  The transducer takes tokens from one side and the other: its state is the side that leads
-and the bytes by which it does.  The side that lags gives the next token; where it comes to is remembered by state and
-token, so bytes are compared once for each such pair.  A state without bytes closes a group.  Each step joins
-the last token of either side, and these are all pairs of tokens whose bytes overlap (links).
+and the bytes by which it does.  The side that lags gives the next token; where that leads to is remembered by state and
+token, so bytes are compared once for each such pair.  A state without bytes closes a group.  Each step after the
+first of a group joins the last token of either side, and these are all pairs of tokens whose bytes overlap (links).
 
 How many documents hold a pair of ids linked is counted over the whole corpus: first within a task, then by shuffle.
 The counts come back to the documents on two ways that add up exactly: the HEAD most frequent pairs are sent to the
@@ -93,78 +93,111 @@ def piece_model(data: bytes) -> Side:
     return lambda text: model.encode(text, num_threads=1), table
 
 
-class Transducer:
-    """States are numbers: 0 has no dangling bytes, in positive ones side A leads, in negative ones B."""
+class State:
+    """The bytes by which one side leads, and where tokens of the other have been seen to lead from here."""
+
+    __slots__ = ("rest", "a_leads", "to")
+
+    def __init__(self, rest: bytes, a_leads: bool):
+        self.rest, self.a_leads, self.to = rest, a_leads, {}
+
 
+#: Steps of a run: side A opens a group, A gives a token, B gives one.
+OPENS, GIVES_A, GIVES_B = 0, 1, 2
+
+
+class Transducer:
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.a, self.b = a, b
-        self.numbers: dict[bytes, int] = {}
-        self.dangling: list[bytes] = [b""]
-        self.memo: dict[int, int] = {}
-        self.opened = [self._number(x) if x else 0 for x in a]
-
-    def _number(self, rest: bytes) -> int:
-        n = self.numbers.get(rest)
-        if n is None:
-            n = self.numbers[rest] = len(self.dangling)
-            self.dangling.append(rest)
-        return n
-
-    def _step(self, state: int, token: int) -> int:
-        """Where the lagging side's token leads to from a state."""
-        rest, new, side = self.dangling[abs(state)], (self.b if state > 0 else self.a)[token], 1 if state > 0 else -1
+        self.closed = State(b"", True)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: dict[tuple[bytes, bool], State] = {}
+        self.size = 0
+        self.opened = [self._state(x, True) for x in self.a]
+
+    def _state(self, rest: bytes, a_leads: bool) -> State:
+        if not rest:
+            return self.closed
+        found = self.states.get((rest, a_leads))
+        if found is None:
+            found = self.states[rest, a_leads] = State(rest, a_leads)
+        return found
+
+    def _step(self, state: State, token: int) -> State:
+        """Where the lagging side's token leads to."""
+        rest, new, a_leads = state.rest, (self.b if state.a_leads else self.a)[token], state.a_leads
         if rest.startswith(new):
             left = rest[len(new) :]
         else:
-            left, side = new[len(rest) :], -side
+            left, a_leads = new[len(rest) :], not a_leads
             if not new.startswith(rest):
                 raise ValueError("the sides differ in bytes")
-        if len(self.memo) >= REMEMBERED:
-            self.memo.clear()
-        out = self.memo[state << BITS | token] = side * self._number(left) if left else 0
+        self.size += 1
+        out = state.to[token] = self._state(left, a_leads)
         return out
 
-    def run(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
-        """(ends of the groups in a, in b, links as a << BITS | b) of two tokenizations of the same bytes."""
-        memo, opened, step = self.memo.get, self.opened, self._step
-        ends_a, ends_b, links = [], [], []
-        i = j = y = 0
-        n = len(a)
-        while i < n:
-            x = a[i]
-            i += 1
+    def run(self, a: list[int], b: list[int]) -> bytearray:
+        """The steps over two tokenizations of the same bytes: each token of either side once, in order."""
+        if self.size >= REMEMBERED:
+            self._forget()
+        opened, closed, step = self.opened, self.closed, self._step
+        steps = bytearray()
+        note = steps.append
+        each_a, next_b = iter(a), iter(b).__next__
+        next_a = each_a.__next__
+        for x in each_a:
+            note(OPENS)
             state = opened[x]
-            while state:
-                if state > 0:
-                    y = b[j]
-                    j += 1
-                    to = memo(state << BITS | y)
-                    if to is None:
-                        to = step(state, y)
+            while state is not closed:
+                if state.a_leads:
+                    note(GIVES_B)
+                    y = next_b()
+                    state = state.to.get(y) or step(state, y)
                 else:
-                    x = a[i]
-                    i += 1
-                    to = memo(state << BITS | x)
-                    if to is None:
-                        to = step(state, x)
-                links.append(x << BITS | y)
-                state = to
-            ends_a.append(i)
-            ends_b.append(j)
-        return ends_a, ends_b, links
-
-
-def written(a: list[str], b: list[str], ends_a: list[int], ends_b: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3` of ids as texts and the ends of the groups."""
-    ends_a, ends_b = np.asarray(ends_a), np.asarray(ends_b)
-    out = np.empty(2 * (len(a) + len(b)), dtype=object)
-    place_a = np.arange(len(a)) + np.repeat(np.concatenate([[0], ends_b[:-1]]), np.diff(ends_a, prepend=0))
-    place_b = np.arange(len(b)) + np.repeat(ends_a, np.diff(ends_b, prepend=0))
-    out[2 * place_a], out[2 * place_b] = a, b
-    out[1::2] = ","
-    out[2 * place_a[ends_a - 1] + 1] = "|"
-    out[2 * place_b[ends_b - 1] + 1] = ";"
-    return "".join(out[:-1].tolist())
+                    note(GIVES_A)
+                    y = next_a()
+                    state = state.to.get(y) or step(state, y)
+        return steps
+
+
+def traced(steps: bytearray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of the groups in a, in b, links as pairs) of a run over ids a and b: a step that opens no group joins the last
+    token of either side."""
+    kind = np.frombuffer(steps, np.uint8)
+    upto_b = np.cumsum(kind == GIVES_B)
+    upto_a = np.arange(1, len(kind) + 1) - upto_b
+    opens = kind == OPENS
+    links = ~opens
+    last = np.append(np.flatnonzero(opens)[1:] - 1, len(kind) - 1)
+    return upto_a[last], upto_b[last], a[upto_a[links] - 1] << BITS | b[upto_b[links] - 1]
+
+
+class Decimals:
+    """Writes ids below a bound."""
+
+    def __init__(self, bound: int):
+        width = len(str(max(1, bound - 1)))
+        ids = np.arange(bound)
+        powers = 10 ** np.arange(width - 1, -1, -1)
+        self.digits = (ids[:, None] // powers % 10 + ord("0")).astype(np.uint8)
+        self.shown = (ids[:, None] >= powers) | (powers == 1)
+
+    def written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
+        """`a1,a2|b1;a3|b2,b3` of ids and the ends of the groups."""
+        n, width = len(a) + len(b), self.digits.shape[1]
+        place_a = np.arange(len(a)) + np.repeat(np.append(0, ends_b[:-1]), np.diff(ends_a, prepend=0))
+        place_b = np.arange(len(b)) + np.repeat(ends_a, np.diff(ends_b, prepend=0))
+        ids = np.empty(n, np.int64)
+        ids[place_a], ids[place_b] = a, b
+        out, shown = np.empty((n, width + 1), np.uint8), np.ones((n, width + 1), bool)
+        out[:, :width], shown[:, :width] = self.digits[ids], self.shown[ids]
+        out[:, width] = ord(",")
+        out[place_a[ends_a - 1], width] = ord("|")
+        out[place_b[ends_b - 1], width] = ord(";")
+        shown[-1, width] = False
+        return out[shown].tobytes()
 
 
 def _packed(keys: np.ndarray, times: np.ndarray) -> bytes:
@@ -185,22 +218,23 @@ _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 
 
 @lru_cache(1)
-def _loaded(a: bytes, b: bytes) -> tuple[Side, Side, Transducer, list[str], list[str]]:
+def _loaded(a: bytes, b: bytes) -> tuple[Side, Side, Transducer, Decimals]:
     """Once in a worker."""
     one, other = byte_level(a), piece_model(b)
-    return one, other, Transducer(one[1], other[1]), [str(i) for i in range(len(one[1]))], [str(i) for i in range(len(other[1]))]
+    return one, other, Transducer(one[1], other[1]), Decimals(max(len(one[1]), len(other[1])))
 
 
 def _aligned(text: str, loaded: tuple) -> tuple | None:
     """(n_a, n_b, n_groups, n_links, digest, n_pairs, pairs) of a text, None if it has no tokens."""
-    (encode_a, bytes_a), (encode_b, bytes_b), transducer, names_a, names_b = loaded
+    (encode_a, bytes_a), (encode_b, bytes_b), transducer, decimals = loaded
     spaced = " " + text
     a, b, whole = encode_a(spaced), encode_b(text), spaced.encode()
-    if b"".join([bytes_a[x] for x in a]) != whole or b"".join([bytes_b[y] for y in b]) != whole:
+    if b"".join(map(bytes_a.__getitem__, a)) != whole or b"".join(map(bytes_b.__getitem__, b)) != whole:
         return None
-    ends_a, ends_b, links = transducer.run(a, b)
-    digest = hashlib.sha256(written([names_a[x] for x in a], [names_b[y] for y in b], ends_a, ends_b).encode()).hexdigest()
-    keys, times = np.unique(np.array(links, np.int64), return_counts=True)
+    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+    ends_a, ends_b, links = traced(transducer.run(a, b), ids_a, ids_b)
+    digest = hashlib.sha256(decimals.written(ids_a, ids_b, ends_a, ends_b)).hexdigest()
+    keys, times = np.unique(links, return_counts=True)
     return len(a), len(b), len(ends_a), len(links), digest, len(keys), _packed(keys, times)
 
 
