@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import dialogue, leak, numbers, text
-from turnloom.operators import arms, compare, contamination, dataset, embedscore, order, retrieval, stats
+from turnloom.operators import arms, compare, contamination, continuation, dataset, embedscore, order, packing, retrieval, stats, wordvectors
 from turnloom.operators.rouge import rouge
 from turnloom.plans import sql
 from turnloom.plans.fixtures import dialogues, distinct_notes, notes, pairs, stripped, table
@@ -241,25 +241,36 @@ def leak_gate(spark, d):
     return leak_patterns(spark, d).agg(F.count("*").alias("n_files"), hit.alias("n_blocked"), (hit > 0).alias("blocked"))
 
 
-_PATHS = ["data/train.csv", "src/data/x.py", "annotation/gold_v1/labels.txt", "docs/golden.md", "x.PARQUET", "a/b.csv", "c.jsonl", "models/m.bin", "README.md", "artifacts/eval/run/results.json", "artifacts/eval/x.csv", "notes/.csv"]
-_MAIL = "write to someone@example.org"
-
-
-@query(
-    "select path, concat_ws(',', case when string_split(path, '/')[1] in ('data', 'models', 'outputs') then 'folder' end,"
+# The pages as files of a work tree: folder and suffix by page number, the rest from the url.
+_FOLDERS = ["data", "src/data", "annotation/gold_v1", "docs/golden", "models", "artifacts/eval", "notes", "artifacts/evals"]
+_SUFFIXES = ["", ".csv", ".md", ".PARQUET", ".jsonl"]
+_URL_PATH = "^[a-z]+://[^/]*/([^?#]*)"
+_STAGED = f"(select page_id, ({_FOLDERS})[1 + page_id % {len(_FOLDERS)}] || '/' || regexp_extract(url, '{_URL_PATH}', 1) || ({_SUFFIXES})[1 + page_id % {len(_SUFFIXES)}] as path, html from pages)"
+_PATH_TESTS = (
+    "case when string_split(path, '/')[1] in ('data', 'models', 'outputs') then 'folder' end,"
     " case when len(list_filter(string_split(path, '/')[:-2], lambda x: x like 'gold%')) > 0 then 'gold' end,"
-    r" case when lower(regexp_extract(string_split(path, '/')[-1], '.(\.[^.]+)$', 1)) in ('.parquet', '.csv', '.jsonl') then 'suffix' end) as reasons"
-    f" from (select unnest({_PATHS}) as path)"
+    r" case when lower(regexp_extract(string_split(path, '/')[-1], '.(\.[^.]+)$', 1)) in ('.parquet', '.csv', '.jsonl') then 'suffix' end"
 )
+
+
+def _staged(spark, d):
+    """page_id, path and html of the pages."""
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("page_id") % len(values)).cast("int"))
+    path = F.concat(pick(_FOLDERS), F.lit("/"), F.regexp_extract("url", _URL_PATH, 1), pick(_SUFFIXES))
+    return table(spark, d, "pages").select("page_id", path.alias("path"), "html")
+
+
+@query(f"select page_id, path, concat_ws(',', {_PATH_TESTS}) as reasons from {_STAGED}")
 def leak_paths(spark, d):
-    rows = spark.createDataFrame([(p,) for p in _PATHS], "path string")
-    return rows.select("path", F.array_join(leak.path_reasons(F.col("path")), ",").alias("reasons"))
+    return _staged(spark, d).select("page_id", "path", F.array_join(leak.path_reasons(F.col("path")), ",").alias("reasons"))
 
 
-@query(ORACLE["leak_paths"].replace(" then 'suffix' end)", " then 'suffix' end, case when not starts_with(path, 'artifacts/eval/') then 'email' end)"))
+@query(
+    f"select page_id, path, concat_ws(',', {_PATH_TESTS}, case when not starts_with(path, 'artifacts/eval/') then nullif(own, '') end) as reasons"
+    f" from (select *, {_reasons_sql('html')} as own from {_STAGED})"
+)
 def leak_allowlist(spark, d):
-    rows = spark.createDataFrame([(p, _MAIL) for p in _PATHS], "path string, text string")
-    return rows.select("path", F.array_join(leak.reasons(F.col("path"), F.col("text")), ",").alias("reasons"))
+    return _staged(spark, d).select("page_id", "path", F.array_join(leak.reasons(F.col("path"), F.col("html")), ",").alias("reasons"))
 
 
 # Overlap scores.
@@ -418,6 +429,37 @@ def arm_bertscore(spark, d):
     return arms.run(pairs(spark, d).cache(), stemmed=False, encode=embedscore.hashed).select("arm", "note_id", *_six(arms.EMBEDDED))
 
 
+_NEAR_WORDS = 2000
+_PMI = f"""
+wt as (select note_id, w[i] as word, i from (select note_id, w, unnest(range(1, len(w) + 1)) as i from (select conv_id as note_id, regexp_extract_all(lower(conversation), '[\\p{{L}}\\p{{N}}_]+') as w from b))),
+wv as (select word, row_number() over (order by count(*) desc, word) as k from wt group by word qualify k <= {_NEAR_WORDS}),
+wp as (select a.word as a, b.word as b, count(*) as n from wt a join wt b on a.note_id = b.note_id and b.i between a.i - {wordvectors.WINDOW} and a.i + {wordvectors.WINDOW} and a.i <> b.i
+  where a.word in (select word from wv) and b.word in (select word from wv) group by 1, 2),
+ws as (select a as word, sum(n)::double as c from wp group by 1),
+wm as (select a, b, n, ln(n / t / (x.c / t) / (y.c ** {wordvectors.SMOOTHING} / s)) as pmi
+  from wp join ws x on x.word = a join ws y on y.word = b, (select sum(c) as t, sum(c ** {wordvectors.SMOOTHING}) as s from ws))"""
+
+
+@query(sql.query("select a as word, b as near, n::bigint as n, round(pmi, 6) as pmi from wm where pmi > 0", "b", _PMI))
+def word_information(spark, d):
+    """Words of the dialogues that stand near each other more often than by chance."""
+    texts = stripped(spark, d).select(F.col("conversation").alias("text"))
+    known = wordvectors.words(texts, _NEAR_WORDS)
+    names = spark.createDataFrame(list(enumerate(known)), "i int, word string")  # _NEAR_WORDS rows at most
+    rows = wordvectors.information(wordvectors.near(texts, known)).join(F.broadcast(names), "i").join(F.broadcast(names.toDF("j", "near")), "j")
+    return rows.select("word", "near", "n", F.round("pmi", 6).alias("pmi"))
+
+
+@query()
+def arm_bertscore_learned(spark, d):
+    """Without SQL: vectors come from a decomposition; tests compare it with a whole one and score planted paraphrases."""
+    rows = pairs(spark, d).cache()
+    ids = dataset.split(rows.select("note_id")).where("split = 'train'").select("note_id")
+    train = rows.join(ids, "note_id", "left_semi")
+    encode = wordvectors.fit(train.select(F.col("clinical_note").alias("text")).union(train.select("conversation"))).encoder(spark)
+    return arms.run(rows, stemmed=False, encode=encode).select("arm", "note_id", *_six(arms.EMBEDDED))
+
+
 @query(sql.query("select arm, round(avg((starts_with_turn_marker and has_doctor_turn and has_patient_turn)::int), 6) as turn_format_valid_rate from sc group by arm", "p", _ARM_SQL))
 def arm_valid_rate(spark, d):
     return arms.valid_rate(_scores(spark, d))
@@ -482,6 +524,56 @@ def contamination_verdict(spark, d):
     return contamination.verdict(contamination_delta(spark, d))
 
 
+_W = continuation.WORD
+_HEART = (
+    "hs as (select lpad(conv_id::varchar, 12, '0') as note_id, array_to_string(turns[1:len(turns) // 2], chr(10)) as prefix, array_to_string(turns[len(turns) // 2 + 1:], chr(10)) as continuation from b where len(turns) >= 4),"
+    "\nnb as (select lpad(conv_id::varchar, 12, '0') as note_id, conversation from b),"
+    + sql.splits("nx", "nb")
+    + f""",
+ct as (select note_id, regexp_extract_all(conversation, '{_W}') as w from nx where split = 'train'),
+cg as (select note_id, p, m, array_to_string(w[p - m + 1:p], ' ') as g from (select *, unnest(range({continuation.LEAST}, least({continuation.DEPTH}, p) + 1)) as m from (select *, unnest(range({continuation.LEAST}, len(w))) as p from ct))),
+qt as (select note_id as id, regexp_extract_all(prefix, '{_W}') as w from hs),
+qg as (select id, m, array_to_string(w[len(w) - m + 1:], ' ') as g from (select *, unnest(range({continuation.LEAST}, least({continuation.DEPTH}, len(w)) + 1)) as m from qt)),
+hit as (select id, m, note_id, p from (select *, row_number() over (partition by id order by m desc, note_id, p) as k from qg join cg using (m, g)) where k = 1),
+ht as (select q.id as note_id, coalesce(m, 0) as n_shared, coalesce(array_to_string(c.w[p + 1:p + {continuation.NEW_WORDS}], ' '), '') as generated from qt q left join hit on hit.id = q.id left join ct c on c.note_id = hit.note_id)"""
+)
+
+
+def _by_heart(spark, d):
+    """All dialogues, and those of the training split as a corpus."""
+    rows = stripped(spark, d).select(F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("note_id"), "conversation")
+    ids = dataset.split(rows.select("note_id")).where("split = 'train'").select("note_id")
+    return rows, rows.join(ids, "note_id", "left_semi").select("note_id", F.col("conversation").alias("text"))
+
+
+@query(sql.query("select note_id, n_shared, generated from ht", "b", _HEART))
+def corpus_continuation(spark, d):
+    """The first half of each dialogue, continued by what follows its longest end in the training split."""
+    rows, corpus = _by_heart(spark, d)
+    texts = contamination.cut(rows).select(F.col("note_id").alias("id"), F.col("prefix").alias("text"))
+    return continuation.continued(texts, corpus).withColumnRenamed("id", "note_id")
+
+
+_HEART_PROBE = (
+    sql.successor("cx", "hs", "note_id", "continuation")
+    + """,
+yt as (select note_id as id, continuation as ref, generated as gen from hs join ht using (note_id)),
+yc as (select note_id as id, next as ref, generated as gen from cx join ht using (note_id)),"""
+    + sql.rouge("zt", "yt")
+    + ","
+    + sql.rouge("zc", "yc")
+    + ',\npr as (select id as note_id, zt.rl_f as "rougeL_vs_true", zc.rl_f as "rougeL_vs_control", zt.rl_f - zc.rl_f as delta from zt join zc using (id)),'
+    + sql.bootstrap("pr", ["rougeL_vs_true", "rougeL_vs_control", "delta"], point="estimate")
+)
+
+
+@query(sql.query("select *, ci_low > 0 or ci_high < 0 as excludes_zero from bs_rows", "b", _HEART, _HEART_PROBE))
+def memory_delta(spark, d):
+    """The memorisation probe of a model that knows the training split by heart."""
+    rows, corpus = _by_heart(spark, d)
+    return contamination.delta(contamination.probe(rows, n=None, stemmed=False, continue_all=contamination.from_corpus(corpus)))
+
+
 # Training texts.
 
 
@@ -504,6 +596,32 @@ def chat_text(spark, d):
     return pairs(spark, d).select("note_id", text.chat_text(text.chat_messages(F.col("clinical_note"), F.col("conversation"))).alias("text"))
 
 
+#: Ranked byte-pair tokens, outside the repository.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _chat_ids(spark, d):
+    """note_id and token ids of the training texts."""
+    return chat_text(spark, d).select("note_id", packing.Tokenizer.of_chat(spark, TOKENIZER).ids(F.col("text")).alias("ids"))
+
+
+@query()
+def token_counts(spark, d):
+    """Without SQL: byte pairs are merged in ranked order; tests compare with a plain loop and a public encoder."""
+    return _chat_ids(spark, d).select("note_id", F.size("ids").cast("long").alias("n_tokens"))
+
+
+@query()
+def packed_rows(spark, d):
+    """Where each training text stands in sequences of packing.CAPACITY tokens.  Without SQL: tests compare with best fit text by text."""
+    return packing.pack(token_counts(spark, d))
+
+
+@query()
+def packed_fill(spark, d):
+    return packing.fill(packed_rows(spark, d))
+
+
 @query(f"select doc_id, case when length(text) > {text.SHOWN} then substring(text, 1, {text.SHOWN}) || chr(10) || '[first {text.SHOWN} characters]' else text end as shown from documents")
 def display_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.shown(F.col("text")).alias("shown"))
