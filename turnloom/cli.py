@@ -7,10 +7,11 @@ contamination  memorisation probe over a split
 check-leak     files -> exit status 1 if any must not be published
 show           one note of a split and its scores under an arm, or under each of several side by side
 pack           a split's training texts -> token sequences of one size as Parquet
+transcribe     wav files -> stretches of speech as Parquet, and their texts by --transcriber
 
---generator, --loader and --encoder name a function of an importable module, MODULE:FUNCTION: one over Arrow batches
+--generator, --loader, --transcriber and --encoder name a function of an importable module, MODULE:FUNCTION: one over Arrow batches
 (note_id, clinical_note) -> (note_id, generated, gen_tokens), one that loads a model (operators/model.py), one from a
-text to its token vectors; --encoder learned learns word vectors from the training split.
+waveform to its text, one from a text to its token vectors; --encoder learned learns word vectors from the training split.
 --tokenizer names a file of ranked byte-pair tokens; texts of arms that do not count their tokens are counted with it.
 --config FILE of a command: a YAML mapping of its options; what the command line gives goes before it.
 """
@@ -29,7 +30,7 @@ from turnloom.functions import leak, text
 from turnloom.operators import arms, compare, contamination, continuation, dataset, embedscore, model, order, packing, report, wordvectors
 from turnloom.operators.retrieval import Retriever
 from turnloom.session import session
-from turnloom.sources import io
+from turnloom.sources import audio, io
 
 
 def build_dataset(spark: SparkSession, a) -> int:
@@ -158,6 +159,16 @@ def show(spark: SparkSession, a) -> int:
     return 0
 
 
+def transcribe(spark: SparkSession, a) -> int:
+    """Stretches of speech of wav files to --out, and with a transcriber their texts."""
+    found = audio.stretches(io.read_audio(spark, *["file:" + os.path.abspath(f) for f in a.files]))
+    found.write.mode("overwrite").parquet(a.out)
+    if a.transcriber:
+        for r in audio.transcribed(spark.read.parquet(a.out), model.named(a.transcriber)).orderBy("path").toLocalIterator():
+            print(f"{os.path.basename(r.path)}: {r.text}")
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     top = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = top.add_subparsers(required=True)
@@ -184,6 +195,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     command("contamination", probe, data, split("test"), n(100), seed, ("--json", {}), ("--memory", {}), number("--max-new-tokens", continuation.NEW_WORDS))
     command("check-leak", check_leak, ("files", {"nargs": "*"}))
     shown = ["half", "model", "retrieval", "self"]
+    command("transcribe", transcribe, ("files", {"nargs": "+"}), out, ("--transcriber", {}))
     command("show", show, ("which", {}), data, split("test"), ("--arm", {"choices": shown, "default": "half"}), ("--compare", {"nargs": "+", "choices": shown}), seed, *loaded)
     a = top.parse_args(argv)
     if a.config:
