@@ -297,6 +297,36 @@ def test_strong_values_are_found_and_prose_is_left_alone():
     assert len(secrets.dictionary(None)) == len(secrets.COMMON_WORDS) == len(set(secrets.COMMON_WORDS))
 
 
+#: Words that follow a name in running text, in four languages.
+TOLD = """authentication administrator conversation management documentation requirement unbelievable
+Benutzerverwaltung Zugangsdaten Verwaltung verantwortlich Beschreibung Krankenversicherung Entwicklung natürlich
+utilisateur renseignements développement responsable environnement connaissance simplement
+contraseña administrador responsable información documentación desarrollo conocimiento""".split()
+
+
+def test_secrets_planted_in_prose():
+    """Recall over strong values in contexts that no fixed pattern knows, precision over words in the same places."""
+    rng = random.Random(8)
+    signs = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%&*+-_@"
+    strong = ["".join(rng.choice(signs) for _ in range(rng.randint(10, 24))) for _ in range(300)]
+    places = ["pwd: {} .", "passphrase = {}", "Bearer: {}\n", "auth='{}'", "credentials: {} und so weiter", "access-key := {}"]
+    found = sum(bool(secrets.spans(rng.choice(places).format(v))) for v in strong)
+    assert found >= 0.98 * len(strong)
+    wrong = [w for w in TOLD for p in places if any(k == "guess" for _, _, k, _ in secrets.spans(p.format(w)))]
+    # A long compound costs as many guesses as a passphrase of its parts does.
+    assert len(set(wrong)) <= 0.25 * len(TOLD), set(wrong)
+
+
+def test_placeholders_and_sentences_are_no_secrets():
+    for v in ("<your-token-here>", "${{secrets.SOME_TOKEN}}", "${DB_PASSWORD_PROD}", "$(cat /run/secret-x9)", "{{ vault }}", "{{vault_db_9xQ2}}", "%(password)s", "xxxxxxxxxxxx", "************", "$DATABASE_PW_2"):
+        for text in (f'pwd: "{v}"', f"passphrase = {v}"):
+            assert [x for x in secrets.spans(text) if x[2] == "guess"] == [], text
+    assert secrets.redacted("token: 令牌管理系统的说明文档非常长") == "token: 令牌管理系统的说明文档非常长"
+    assert secrets.redacted("pwd: xK9#mQ2$vL7p令牌") == "pwd: <secret>令牌"
+    with pytest.raises(FileNotFoundError):
+        secrets.dictionary(("/no/such/file",))
+
+
 def test_many_spans_in_one_text():
     text = "\n".join(f"auth = Zk3#pW9@rT{i} token=abcdefghijklmn{i}" for i in range(3000))
     assert collections.Counter(k for _, _, k, _ in secrets.spans(text)) == {"guess": 3000, "assign": 3000}

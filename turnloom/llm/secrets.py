@@ -5,9 +5,12 @@ keyboard walks and brute-force spans (in decimal digits of guesses, by dynamic
 programming).  A value that follows a credential name and costs LEAST_COST or more is a
 secret even where no fixed pattern holds.  Offsets are code points.
 
-Words are ranked: a short list of frequent passwords and settings, then the words of a
-public byte-pair vocabulary (WORDS_FILE, a parameter), whose order of merges is one of
-frequency.  Without that file the short list is all there is.
+Words are ranked: a short list of frequent passwords and settings, then the words of public
+byte-pair vocabularies (WORDS_FILES, a parameter; one of many languages), whose order of merges is
+one of frequency.  A file that is not there raises; without files the short list is all there is.
+
+Placeholders (`<your-token>`, `${NAME}`) are no secrets, quoted or not.  A value ends where a letter of a
+script that is written without blanks begins: what follows is a sentence.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,9 +45,13 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 
 #: Ranked words in the form that tiktoken reads: base64 of a token and its rank on each line.
-WORDS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Letters of a word of that file.
-WORD = re.compile(rb"\x20?([A-Za-z]{3,20})")
+WORDS_FILES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Letters of a word of these files.
+WORD = re.compile(r"\x20?([^\W\d_]{3,20})")
+#: What stands where a value goes.
+PLACEHOLDER = re.compile(r"<[^<>]*>|\$?\{+[^{}]*\}+|\$\([^()]*\)|%\([^()]*\)s?|%\w+%|\$[A-Z_][A-Z0-9_]*|\[[^\[\]]*\]|[xX*.…]{4,}", re.ASCII)
+#: Letters of scripts without blanks (Thai to Tibetan, Burmese, Khmer, kana, Han).
+UNPARTED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Frequent words of passwords and of settings, most frequent first.
 COMMON_WORDS = """password admin welcome login master dragon monkey letmein qwerty iloveyou princess sunshine
 football baseball shadow superman michael jordan hunter secret test guest user root default changeme
@@ -75,14 +81,17 @@ CAPITALS, STAND_INS, LENGTH, WALK = 0.5, 0.6, 1.5, math.log10(47 * 8)
 
 
 @lru_cache(maxsize=4)
-def dictionary(path: str | None = WORDS_FILE) -> dict[str, int]:
-    """Rank of each word, from 1; COMMON_WORDS alone if path is None or is not there."""
-    words = dict.fromkeys(COMMON_WORDS)
-    if path and os.path.exists(path):
+def dictionary(paths: tuple[str, ...] | None = WORDS_FILES) -> dict[str, int]:
+    """Rank of each word, from 1: the least of its places in the lists of the files, each after COMMON_WORDS."""
+    common = {w: i for i, w in enumerate(COMMON_WORDS, 1)}
+    out = dict(common)
+    for path in paths or ():
         with open(path, "rb") as f:
             ranked = sorted((int(n), base64.b64decode(token)) for token, n in map(bytes.split, f))
-        words |= dict.fromkeys(m[1].decode().lower() for _, t in ranked if (m := WORD.fullmatch(t)))
-    return {w: i for i, w in enumerate(words, 1)}
+        found = dict.fromkeys(m[1].lower() for _, t in ranked if (m := WORD.fullmatch(t.decode("utf-8", "replace"))))
+        for i, w in enumerate((w for w in found if w not in common), len(common) + 1):
+            out[w] = min(i, out.get(w, i))
+    return out
 
 
 def _charset(value: str) -> float:
@@ -156,9 +165,11 @@ def spans(text: str, ranks: dict[str, int] | None = None) -> list[tuple[int, int
         for m in CONTEXT.finditer(text):
             g = 1 if m[1] is not None else 2
             s, e = m.span(g)
+            if unparted := UNPARTED.search(text, s, e):
+                e = unparted.start()
             while at < len(taken) and taken[at][0] < e:
                 upto, at = max(upto, taken[at][1]), at + 1
-            if e - s >= LEAST_LENGTH and upto <= s and guess_cost(m[g], ranks, LEAST_COST) >= LEAST_COST:
+            if e - s >= LEAST_LENGTH and upto <= s and not PLACEHOLDER.fullmatch(text, s, e) and guess_cost(text[s:e], ranks, LEAST_COST) >= LEAST_COST:
                 out.append((s, e, "guess", s))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -178,14 +189,14 @@ def redacted(text: str, mark: str = "<secret>", ranks: dict[str, int] | None = N
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
+def scan(docs: DataFrame, words_files: tuple[str, ...] = WORDS_FILES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs(doc_id, text, ...).
 
     A null text is empty: no spans, the digest of the empty list.  A null doc_id stays null.
     Repeated rows are answered one by one; other columns, whatever their names, are not read.
     Spans that start at one place come in the order of KINDS.  An empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(dictionary(words_file))
+    held = docs.sparkSession.sparkContext.broadcast(dictionary(words_files))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,14 +217,14 @@ def scan(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
     return src.mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, words_file: str | None = WORDS_FILE) -> DataFrame:
+def redact(docs: DataFrame, words_files: tuple[str, ...] = WORDS_FILES) -> DataFrame:
     """docs, every row and column in place, with the secrets of text replaced and n_chars, if there, brought up to date.
 
     Null texts and texts without secrets stay as they are.  Rows are treated one by one, so null
     ids and repeated rows need no rule; columns besides text and n_chars are handed on untouched.
     """
     names = docs.columns
-    held = docs.sparkSession.sparkContext.broadcast(dictionary(words_file))
+    held = docs.sparkSession.sparkContext.broadcast(dictionary(words_files))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
