@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import random
 
 import duckdb
@@ -300,3 +301,21 @@ def test_queries_in_small_leaves_get_all_neighbours(spark, monkeypatch):
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(600, x[600].tolist())] * 30
     got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {i: 20 for i in range(0, 610, 5)}
+
+
+def test_index_of_a_large_benchmark_is_small():
+    """A block of 16 MB may take 150 MB of a worker; here a quarter of it."""
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}".encode() for i in range(20_000)]
+    texts = [b" ".join([vocab[i] for i in rng.integers(0, len(vocab), 400)]) for _ in range(1750)]
+    size = sum(map(len, texts))
+    assert size > 3.9e6
+    index = decontam.Index((str(i), t) for i, t in enumerate(texts))
+    assert len(pickle.dumps(index)) < 150 / 16 * size and index.nbytes() < 32 * sum(len(decontam.words(t)) for t in texts)
+    got = next(decontam.scan([texts[7][:3000] + b" none of these " + texts[9]], index, decontam.WordHash()))
+    assert got[2] == ["7", "9"] and got[3] >= 400
+
+
+def test_spans_that_overlap():
+    assert decontam.together([5, 9, 0, 3, 3, 4, 8, 12, 20, 21]) == [0, 4, 5, 12, 20, 21]
+    assert decontam.together([]) == []

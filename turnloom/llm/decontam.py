@@ -14,7 +14,8 @@ for each block, so what is broadcast stays bounded however long the benchmark is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import WordHash, discard, fresh, materialise, mix64, trimmed
+from turnloom.llm.common import WordHash, discard, fresh, materialise, maybe_in, mix64, trimmed
 
 SPAN = 13
 K = 5
@@ -58,12 +59,14 @@ def fingerprints(ids: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items: sorted hashes, and for each the items that hold it."""
+    """Windows of benchmark items as arrays: sorted hashes, and behind each the numbers of the items that hold it.  A window
+    takes some twenty bytes."""
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]]):
+    def __init__(self, items: Iterable[tuple[str | None, bytes | None]]):
         hashes = WordHash()
         marks: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        found: dict[int, dict[int, set[str | None]]] = {}
+        names: dict[str | None, int] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
             ids = hashes.of(words(text))
             if not len(ids):
@@ -71,16 +74,32 @@ class Index:
             n = min(len(ids), SPAN)
             if n == SPAN:
                 marks.append(np.unique(fingerprints(ids)))
-            own = found.setdefault(n, {})
-            for h in np.unique(grams(ids, n)).tolist():
-                own.setdefault(h, set()).add(item)
+            own = np.unique(grams(ids, n))
+            found.setdefault(n, []).append((own, np.full(len(own), names.setdefault(item, len(names)), np.int32)))
         self.marks = np.unique(np.concatenate(marks))
-        self.windows = {n: np.array(sorted(own), np.uint64) for n, own in found.items()}
-        self.items = found
+        self.names = list(names)
+        #: For each length: hashes, where the items of each start (and the last end), numbers of items.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in found.items():
+            h, who = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((who, h))
+            h, who = h[order], who[order]
+            new = np.append(True, h[1:] != h[:-1])
+            again = np.append(False, (h[1:] == h[:-1]) & (who[1:] == who[:-1]))  # an item_id that repeats
+            starts = np.cumsum(~again) - 1
+            self.windows[n] = h[new], np.append(starts[new], (~again).sum()).astype(np.int32), who[~again]
+
+    def nbytes(self) -> int:
+        return self.marks.nbytes + sum(x.nbytes for w in self.windows.values() for x in w)
+
+    def holders(self, n: int, at: Iterable[int]) -> set[str | None]:
+        """Items that hold any of the windows of n words at these places."""
+        _, starts, who = self.windows[n]
+        return {self.names[i] for k in at for i in who[starts[k] : starts[k + 1]].tolist()}
 
     def matches(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(window length, starts, hashes) of the windows of ids that occur in items."""
-        for n, known in self.windows.items():
+        """(window length, starts, places among the known) of the windows of ids that occur in items."""
+        for n, (known, _, _) in self.windows.items():
             if len(ids) < n:
                 continue
             if n == SPAN:
@@ -93,7 +112,7 @@ class Index:
                 h = grams(ids, n)
                 at = np.arange(len(h))
             ok = among(h, known)
-            yield n, at[ok], h[ok]
+            yield n, at[ok], np.searchsorted(known, h[ok])
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -113,8 +132,12 @@ def _parts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield s, len(texts)
 
 
-def scan(texts: list[bytes | None], index: Index, hashes: WordHash, before: list | None = None) -> Iterator[tuple[int, list[int], list[str | None], int]]:
-    """(words, spans hit as flat start and end, items, words hit) of each text; before: spans and items of earlier blocks."""
+def _sorted(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def scan(texts: list[bytes | None], index: Index, hashes: WordHash) -> Iterator[tuple[int, list[int], list[str | None], int]]:
+    """(words, spans hit as flat start and end, items, words hit) of each text."""
     for s, e in _parts(texts):
         lists = [words(t) for t in texts[s:e]]
         sizes = np.array([len(x) for x in lists])
@@ -122,26 +145,31 @@ def scan(texts: list[bytes | None], index: Index, hashes: WordHash, before: list
         ids = np.concatenate([hashes.of(x) for x in lists])
         step = np.zeros(len(ids) + 1, np.int64)
         items: dict[int, set[str | None]] = {}
-        for n, at, h in index.matches(ids):
+        for n, at, k in index.matches(ids):
             doc = np.searchsorted(offsets, at, "right") - 1
             inside = at + n <= offsets[doc + 1]
-            at, h, doc = at[inside], h[inside], doc[inside]
+            at, k, doc = at[inside], k[inside], doc[inside]
             np.add.at(step, at, 1)
             np.add.at(step, at + n, -1)
-            for d, x in set(zip(doc.tolist(), h.tolist())):
-                items.setdefault(d, set()).update(index.items[n][x])
-        for d in range(len(lists)) if before else ():
-            spans, old = before[s + d]
-            for a, b in zip(spans[::2], spans[1::2]):
-                step[offsets[d] + a] += 1
-                step[offsets[d] + b] -= 1
-            if old:
-                items.setdefault(d, set()).update(old)
+            firsts = np.flatnonzero(np.diff(doc, prepend=-1))  # starts ascend, and so do their documents
+            for f, t in zip(firsts.tolist(), [*firsts[1:].tolist(), len(doc)]):
+                items.setdefault(int(doc[f]), set()).update(index.holders(n, np.unique(k[f:t]).tolist()))
         hit = np.cumsum(step)[:-1] > 0
         for d in range(len(lists)):
             mask = hit[offsets[d] : offsets[d + 1]] if d in items else np.zeros(0, bool)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-            yield int(sizes[d]), edges.tolist(), sorted(items.get(d, ()), key=lambda x: (x is None, x or "")), int(mask.sum())
+            yield int(sizes[d]), edges.tolist(), _sorted(items.get(d, set())), int(mask.sum())
+
+
+def together(spans: list[int]) -> list[int]:
+    """Spans (flat start and end) that may overlap as spans that don't."""
+    out: list[int] = []
+    for s, e in sorted(zip(spans[::2], spans[1::2])):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+    return out
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
@@ -154,31 +182,61 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with four more columns, and their names, which no column of docs has: words, spans hit (flat), items and words hit."""
+    """docs with four more columns, and their names, which no column of docs has: words, spans hit (flat), items and words hit.
+
+    The first block is looked up in one pass.  If there are more, what that gives is written with a key for each row,
+    every further block gives the keys and spans of the rows that it hits, and only these rows are joined."""
     spark = docs.sparkSession
     own = docs.schema
-    more = fresh(docs, "words", "spans", "items", "hit")
+    *more, row, new_spans, new_items = fresh(docs, "words", "spans", "items", "hit", "row", "new_spans", "new_items")
     kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.LongType())
-    out = docs
-    held = None
-    for k, index in enumerate(blocks(benchmark)):
-        before = out = materialise(out, f"block{k}") if k else out
-        if k > 1:
-            discard(held)
-        held = before if k else None
+    lists = pa.list_(pa.int32()), pa.list_(pa.string())
+    schema = T.StructType([*own.fields, *[T.StructField(c, kind) for c, kind in zip(more, kinds)]])
+    out = held = None
+    later: list[DataFrame] = []
+    for index in blocks(benchmark):
         sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, again=bool(k)) -> Iterator[pa.RecordBatch]:
+        def whole(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hashes = WordHash()
             for b in batches:
-                before = list(zip(b[more[1]].to_pylist(), b[more[2]].to_pylist())) if again else None
-                got = list(scan(b["text"].cast(pa.binary()).to_pylist(), sent.value, hashes, before))
+                got = list(scan(b["text"].cast(pa.binary()).to_pylist(), sent.value, hashes))
                 n, spans, items, hit = zip(*got) if got else ((), (), (), ())
-                cols = [b[c.name] for c in own] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(hit, pa.int64())]
+                cols = [b[c.name] for c in own] + [pa.array(n, pa.int64()), pa.array(spans, lists[0]), pa.array(items, lists[1]), pa.array(hit, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [*own.names, *more])
 
-        out = out.mapInArrow(trimmed(run), T.StructType([*own.fields, *[T.StructField(c, kind) for c, kind in zip(more, kinds)]]))
-    return out, more
+        def hits(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            hashes = WordHash()
+            for b in batches:
+                got = scan(b["text"].cast(pa.binary()).to_pylist(), sent.value, hashes)
+                found = [(r, spans, items) for r, (_, spans, items, hit) in zip(b[row].to_pylist(), got) if hit]
+                cols = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *lists))], [row, new_spans, new_items])
+
+        if out is None:
+            out = docs.mapInArrow(trimmed(whole), schema)
+            continue
+        if held is None:
+            held = materialise(out.withColumn(row, F.monotonically_increasing_id()), "scanned")
+        later.append(materialise(held.select("text", row).mapInArrow(trimmed(hits), f"`{row}` long, `{new_spans}` array<int>, `{new_items}` array<string>"), "block"))
+        sent.unpersist()
+    if held is None:
+        return out, more
+    each = reduce(DataFrame.union, later).groupBy(row).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in (new_spans, new_items)])  # a row has one of each block
+    each = materialise(each, "hits")
+    discard(*later)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [together((x or []) + (y or [])) for x, y in zip(b[more[1]].to_pylist(), b[new_spans].to_pylist())]
+            items = [_sorted({*(x or ()), *(y or ())}) for x, y in zip(b[more[2]].to_pylist(), b[new_items].to_pylist())]
+            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            cols = [b[c.name] for c in own] + [b[more[0]], pa.array(spans, lists[0]), pa.array(items, lists[1]), pa.array(hit, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, [*own.names, *more])
+
+    some = maybe_in(held, row, each.select(row)).join(each, row, "left").mapInArrow(trimmed(merged), schema)
+    rest = maybe_in(held, row, each.select(row), others=True).select(*[F.col(f"`{c}`") for c in schema.names])
+    return some.union(rest), more
 
 
 def is_contaminated(hit: str, words: str):
