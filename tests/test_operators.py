@@ -292,6 +292,16 @@ def test_embed_score(spark):
     assert rows["a", "b"] == (0.5, 1.0, pytest.approx(2 / 3, abs=1e-6)) and rows["a", "a"] == (1, 1, 1)
 
 
+def test_embed_score_in_parts(spark):
+    """Texts cut into small parts, with a vector that most rows repeat, score as whole ones."""
+    rng = np.random.default_rng(6)
+    texts = {k: np.concatenate([rng.normal(size=(n, 3)).round(1), np.tile([1.0, 0.0, 0.5], (n, 1))]) for k, n in (("a", 40), ("b", 7), ("c", 1))}
+    vecs = spark.createDataFrame([(k, v.tolist()) for k, m in texts.items() for v in m], "id string, vec array<double>")
+    pairs = [(x, y) for x in "abc" for y in "abc"] + [("a", "none")]
+    got = {(r.gen_id, r.ref_id): (r.p, r.r, r.f1) for r in embedscore.embed_score(vecs, vecs, spark.createDataFrame(pairs, "gen_id string, ref_id string"), 5).collect()}
+    assert got == {(x, y): pytest.approx(embedscore.match(texts[x], texts[y]), abs=1e-6) for x, y in pairs if y != "none"}
+
+
 def test_bertscore_against_a_plain_form(spark):
     rng = random.Random(5)
     text = lambda: " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 30)))

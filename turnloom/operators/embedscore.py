@@ -77,16 +77,45 @@ def bertscore(reference: Column, generated: Column, encode: TextEncoder = hashed
     return score(reference, generated)
 
 
-def embed_score(generated: DataFrame, reference: DataFrame, pairs: DataFrame) -> DataFrame:
-    """gen_id, ref_id, p, r, f1 of pairs(gen_id, ref_id) over (id, vec array<double>) tables.
-
-    Token vectors of one text are gathered in one row: a text, not a corpus.
-    """
-    sides = [x.groupBy("id").agg(F.collect_list(F.col("vec").cast("array<double>")).alias("m")) for x in (generated, reference)]
-    rows = pairs.join(sides[0].toDF("gen_id", "g"), "gen_id").join(sides[1].toDF("ref_id", "r"), "ref_id")
-
-    @F.pandas_udf("p double, r double, f1 double")
-    def score(g: pd.Series, r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([match(np.stack(x), np.stack(y)) for x, y in zip(g, r)], columns=["p", "r", "f1"])
-
-    return rows.select("gen_id", "ref_id", score("g", "r").alias("s")).select("gen_id", "ref_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("p", "r", "f1")])
+#: Different vectors of a text that are compared in one row (about).
+PART = 1024
+
+
+def _parts(vectors: DataFrame, part: int) -> DataFrame:
+    """id, part, m: the different vectors of each text and how often it has each, in parts of about `part` by hash."""
+    each = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).groupBy("id", "vec").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = each.join(sizes, "id").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
+    return dealt.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("vec", "n"))).alias("m"))
+
+
+def embed_score(generated: DataFrame, reference: DataFrame, pairs: DataFrame, part: int = PART) -> DataFrame:
+    """gen_id, ref_id, p, r, f1 of pairs(gen_id, ref_id) over (id, vec array<double>) tables; a pair one side of which has no
+    vectors gives no row.
+
+    A text's vectors are in parts, and a row compares a part of one side with one of the other: it gives the best cosine
+    of each vector in either, of which the best over all parts count.  So a text may have any number of vectors."""
+    g, r = _parts(generated, part), _parts(reference, part)
+    rows = pairs.join(g.select(F.col("id").alias("gen_id"), F.col("part").alias("g_part"), F.col("m").alias("g")), "gen_id")
+    rows = rows.join(r.select(F.col("id").alias("ref_id"), F.col("part").alias("r_part"), F.col("m").alias("r")), "ref_id")
+
+    @F.pandas_udf("g array<double>, r array<double>")
+    def best(g: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(g, r):
+            x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (np.stack(x), np.stack(y)))
+            cosine = x @ y.T
+            out.append((cosine.max(axis=1), cosine.max(axis=0)))
+        return pd.DataFrame(out, columns=["g", "r"])
+
+    found = rows.select("gen_id", "ref_id", "g_part", "r_part", best("g.vec", "r.vec").alias("b"), F.col("g.n").alias("gn"), F.col("r.n").alias("rn"))
+    sides = F.array(
+        F.struct(F.lit("p").alias("side"), F.col("g_part").alias("part"), F.col("b.g").alias("c"), F.col("gn").alias("n")),
+        F.struct(F.lit("r").alias("side"), F.col("r_part").alias("part"), F.col("b.r").alias("c"), F.col("rn").alias("n")),
+    )
+    each = found.select("gen_id", "ref_id", F.inline(sides)).select("gen_id", "ref_id", "side", "part", F.posexplode(F.arrays_zip("c", "n")).alias("at", "x"))
+    most = each.groupBy("gen_id", "ref_id", "side", "part", "at").agg(F.max("x.c").alias("c"), F.first("x.n").alias("n"))
+    mean = lambda side: F.sum(F.when(F.col("side") == side, F.col("c") * F.col("n"))) / F.sum(F.when(F.col("side") == side, F.col("n")))
+    out = most.groupBy("gen_id", "ref_id").agg(mean("p").alias("p"), mean("r").alias("r"))
+    f1 = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return out.select("gen_id", "ref_id", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"), F.round(f1, 6).alias("f1"))
