@@ -89,10 +89,10 @@ def plain_toxicity(positive, unlabelled, prior):
 def test_toxicity_is_the_least_risk(spark, tmp_path, share):
     """share: of toxic texts that are labelled so; the labels say more or less than the corpus holds."""
     rng = random.Random(13)
-    clean, bad = [f"{a}{b}" for a in ("lun", "mar", "tel", "ost") for b in ("a", "ero", "inda", "estos")], ["vil", "vilest", "grum", "grumble", "Zot"]
+    clean, bad = [f"{a}{b}" for a in ("lun", "mar", "tel", "ost") for b in ("a", "ero", "inda", "estos")], ["vilest", "grumble", "Zot"]
     rows, labels = [], []
-    for i in range(260):
-        toxic = rng.random() < 0.3
+    for i in range(900):
+        toxic = rng.random() < 0.2
         said = rng.choices(clean, k=rng.randint(3, 12)) + (rng.choices(bad, k=rng.randint(1, 3)) if toxic else [])
         rows.append((i, " ".join(rng.sample(said, len(said))) + f" {i}.", None, None, 0))
         if rng.random() < (share if toxic else 0.95):
