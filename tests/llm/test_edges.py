@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA
-from turnloom.llm import decontam, langid, licences, lmscore, minhash, mixing, secrets, suffix, toxicity
+from turnloom.llm import align, decontam, langid, licences, lmscore, minhash, mixing, secrets, suffix, toxicity
 from turnloom.llm.common import BATCH_BYTES, small_batches
 
 NAMES = "__tl_h __tl_words __tl_hit __tl_size __tl_source __tl_s ___tl_h id tie h g n root comp digest key leaf doc p spans full threshold rid kind"
@@ -33,6 +33,7 @@ OPERATORS = {
     "lmscore": lmscore.scores,
     "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, d.sparkSession.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int"), F.lit(True))),
     "licences": licences.scan,
+    "align": align.tokens,
     "decontam": lambda d: decontam.decontaminate(d, d.sparkSession.createDataFrame([(1, "ka to ri"), (None, "mula")], "item_id long, text string")),
 }
 #: Those that hand on the rows of docs, all columns.

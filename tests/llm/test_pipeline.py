@@ -59,7 +59,7 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
 
 
 def test_registration():
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLE) <= set(QUERIES)
 
 
