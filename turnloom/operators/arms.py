@@ -113,3 +113,10 @@ class Speed:
         s = time.perf_counter() - self.began
         found = self.observed.get
         return {"records_per_second": found["records"] / s, "tokens_per_second": found["tokens"] / s if self.tokens and found["tokens"] else None, "wall_clock_s": s, "peak_vram_gb": None, "n_records": found["records"]}
+
+
+def throughput(made: DataFrame, tokens: str | None = None) -> dict[str, float | None]:
+    """Speed of a run of `made` that does nothing else."""
+    speed = Speed(made, tokens)
+    speed.made.write.format("noop").mode("overwrite").save()
+    return speed.result()
