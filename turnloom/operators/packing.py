@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import bpe
 from turnloom.functions.text import TEMPLATE
 from turnloom.operators.order import hashed
+from turnloom.sources import io
 
 #: Tokens of a training sequence.
 CAPACITY = 4096
@@ -138,7 +139,9 @@ def pack(texts: DataFrame, capacity: int = CAPACITY, seed: int = SEED, group: in
     """note_id, part, bin_id, offset, n_tokens of texts(note_id, n_tokens): every part in a bin, none over capacity, none overlapping
     another; a part without tokens has no bin.  note_id should be unique; rows that share it are still placed apart, but
     which of them gets which place is open."""
-    cut = segments(texts.select("note_id", "n_tokens"), capacity)
+    path = io.scratch(texts.sparkSession, "lengths")
+    texts.select("note_id", "n_tokens").write.parquet(path)  # texts are tokenized once
+    cut = segments(texts.sparkSession.read.parquet(path), capacity)
     rows = cut.where("n_tokens > 0")
     counts = {r.n_tokens: r.c for r in rows.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}  # `capacity` rows at most
     slots = plan(counts, capacity)

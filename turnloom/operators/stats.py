@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators import order
+from turnloom.sources import io
 
 RESAMPLES, LEVEL, SEED = 1000, 0.95, 42
-#: Records that are drawn from together, and numbers of draws that are counted at once.
-BLOCK, COUNTED = 4096, 1 << 22
+#: Records that are drawn from together, draws that a row of the counting job stands for, and draws that are hashed at once.
+BLOCK, COUNTED, AT_ONCE = 4096, 1 << 22, 1 << 16
 #: A word of a hash: its bits, and the factors and shifts that mix them.
 WORD, FACTORS, SHIFTS = (1 << 31) - 1, (0x21F0AAAD, 0x735A2D97), (16, 15, 15)
 
@@ -49,6 +50,10 @@ def draws(seed: int, stage: int, b, x, y):
     return (high << 31) | low
 
 
+def _modulo(x: np.ndarray, n: int) -> np.ndarray:
+    return (x.view(np.uint64) % np.uint64(n)).view(np.int64)
+
+
 def block_counts(spark: SparkSession, n: int, resamples: int, seed: int) -> DataFrame:
     """block, b, c: how many of the n draws of resample b fall into each block of BLOCK records (none: no row)."""
     if n <= BLOCK:
@@ -59,8 +64,10 @@ def block_counts(spark: SparkSession, n: int, resamples: int, seed: int) -> Data
         for batch in batches:
             for i in batch["id"].to_pylist():
                 b, part = divmod(i, parts)
-                x = np.arange(part * COUNTED, min(n, (part + 1) * COUNTED), dtype=np.int64)
-                c = np.bincount(draws(seed, 0, np.int64(b), x & WORD, x >> 31) % n // BLOCK, minlength=-(-n // BLOCK))
+                c = np.zeros(-(-n // BLOCK), np.int64)
+                for s in range(part * COUNTED, min(n, (part + 1) * COUNTED), AT_ONCE):
+                    x = np.arange(s, min(n, s + AT_ONCE), dtype=np.int64)
+                    c += np.bincount(_modulo(draws(seed, 0, np.int64(b), x & WORD, x >> 31), n) // BLOCK, minlength=len(c))
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), b)), pa.array(c[at])], ["block", "b", "c"])
 
@@ -72,12 +79,12 @@ def _sums(block: int, values: np.ndarray, b: np.ndarray, c: np.ndarray, seed: in
     n = len(values)
     both = np.concatenate([np.nan_to_num(values), ~np.isnan(values)], axis=1).astype(float)
     out = np.empty((len(b), both.shape[1]))
-    step = max(1, COUNTED // max(1, int(c.max(initial=1)), n))
+    step = max(1, AT_ONCE // max(1, int(c.max(initial=1)), n))
     for s in range(0, len(b), step):
         times = c[s : s + step]
         which = np.repeat(np.arange(len(times)), times)
         number = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        picks = draws(seed, 1, b[s : s + step][which], np.int64(block), number) % n
+        picks = _modulo(draws(seed, 1, b[s : s + step][which], np.int64(block), number), n)
         out[s : s + step] = np.bincount(which * n + picks, minlength=len(times) * n).reshape(-1, n) @ both
     return out
 
@@ -89,7 +96,11 @@ def bootstrap(records: DataFrame, key: str, metrics: list[str], resamples: int =
     Empty records raise.
     """
     spark = records.sparkSession
-    placed, total = order.ranked(records.select(key, *metrics), key, seed, "pos")
+    path = io.scratch(spark, "records")
+    held = [f"m{i}" for i in range(len(metrics))]
+    records.select(F.col(key).alias("key"), *[F.col(f"`{m}`").cast("double").alias(h) for m, h in zip(metrics, held)]).write.parquet(path)  # what made them runs once
+    records = spark.read.parquet(path)
+    placed, total = order.ranked(records, "key", seed, "pos")
     n = total.first()[0]
     if not n:
         raise ValueError("bootstrap of no records")
@@ -102,13 +113,13 @@ def bootstrap(records: DataFrame, key: str, metrics: list[str], resamples: int =
         sums = _sums(counts["block"][0].as_py(), values, b, counts["c"].to_numpy(), seed) if len(b) else np.zeros((0, len(names)))
         return pa.table([pa.array(b), *(pa.array(x) for x in sums.T)], ["b", *names])
 
-    rows = placed.select(((F.col("pos") - 1) / BLOCK).cast("long").alias("block"), "pos", *[F.col(f"`{m}`").cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
+    rows = placed.select(((F.col("pos") - 1) / BLOCK).cast("long").alias("block"), "pos", *held)
     counts = block_counts(spark, n, resamples, seed)
     drawn = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(drawn, "b long, " + ", ".join(f"{x} double" for x in names))
     means = drawn.groupBy("b").agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"c{i}")).alias(m) for i, m in enumerate(metrics)])
     low = (1 - level) / 2
     bounds = means.agg(*[F.percentile(m, F.array(F.lit(low), F.lit(1 - low))).alias(m) for m in metrics])
-    points = records.agg(*[F.avg(m).alias(f"{m}__point") for m in metrics])
+    points = records.agg(*[F.avg(h).alias(f"{m}__point") for m, h in zip(metrics, held)])
     rows = F.array(*[
         F.struct(F.lit(m).alias("metric"), F.round(f"{m}__point", 6).alias(point), F.round(F.get(m, F.lit(0)), 6).alias("ci_low"), F.round(F.get(m, F.lit(1)), 6).alias("ci_high"))
         for m in metrics
