@@ -92,3 +92,11 @@ def test_what_is_left_without_a_letter():
     assert left[0] == spelling.rests("x" + word)[1] and left[1] == spelling.rests("bcabé")[0]
     assert all(left[i + 1] == spelling.rests(word[:i] + word[i + 1 :])[0] for i in range(len(word)))
     assert len(np.unique(left)) == len(word) + 1
+
+
+def test_a_word_asks_a_list_once(spark):
+    """babaaaabc has its rare gram aaa at two places in a row, so it asked one list twice and its pair counted twice."""
+    said = ["baabaaaabc", "babaaaabc", "babbc", "bacbccbc", "bacbccbcaab", "bacccbc", "cacaabcaabac", "cacabcaabac", "cccacbaacc"]
+    rows = [(1, " ".join(3 * said), None, None, 0)]
+    got = {r.word: tuple(r)[1:] for r in spelling.variants(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain(rows) and got["babaaaabc"][3] == 1

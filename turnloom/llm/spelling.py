@@ -120,10 +120,11 @@ def postings(vocab: DataFrame, ranks: dict[str, int]) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for word in b["word"].to_pylist():
                 own, size = grams(word), len(word)
-                for p in posted(own, ranks):
-                    c = ranks[own[p]]
-                    for column, v in zip(out, ((c, c, c), (p, p, p + 1), (size, size + 1, size + 1), (False, True, True), (word, word, word))):
-                        column += v
+                at = [(ranks[own[p]], p) for p in posted(own, ranks)]
+                asked = {(c, q) for c, p in at for q in (p, p + 1)}  # a gram that stands at p and p + 1 asks at p + 1 once
+                for c, p, longer in [*((c, p, 0) for c, p in at), *((c, q, 1) for c, q in asked)]:
+                    for column, v in zip(out, (c, p, size + longer, longer > 0, word)):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], ["g", "p", "size", "asks", "word"])
 
     return vocab.select("word").mapInArrow(trimmed(run), _POSTINGS)
