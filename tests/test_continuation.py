@@ -55,3 +55,14 @@ def test_verdicts(spark):
     for corpus, says in ((own, "substantial"), (other, "not detected")):
         probe = contamination.probe(rows, n=None, continue_all=contamination.from_corpus(corpus))
         assert contamination.verdict(contamination.delta(probe, resamples=60)).first().verdict == says
+
+
+def test_only_asked_places_leave_a_note(spark):
+    """A place takes its own words along and not the whole note, and places that no text asks for stay where they are."""
+    note = " ".join(f"w{i}" for i in range(3000))
+    corpus = spark.createDataFrame([("n", note), ("m", None)], "note_id string, text string")
+    wanted = continuation._bit_map(spark.createDataFrame([("w10 w11",), ("w2998 w2999",)], "text string").selectExpr("crc32(cast(text as binary)) as h"))
+    assert wanted.nbytes == 1 << continuation.BITS - 3
+    assert [(r.note_id, r.place, r.end) for r in continuation._places(corpus, wanted, 3, 2).collect()] == [("n", 12, "w11 w10 w9 ")]
+    plan = continuation.matches(corpus.selectExpr("note_id as id", "text"), corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import dialogue
 from turnloom.operators import continuation, order, stats
 from turnloom.operators.rouge import rouge
+from turnloom.sources import io
 
 #: A difference from which a detected effect counts as substantial.
 MATERIAL = 0.05
@@ -37,10 +38,14 @@ def probe(
     rows of (note_id, prefix), for what needs a job of its own; see from_corpus().
     """
     halves = cut(order.first_n(dialogues, "note_id", n, seed))
-    moved = order.successors(halves, "note_id", ["continuation"], seed)
     if continue_all:
-        made = moved.join(continue_all(moved.select("note_id", "prefix")), "note_id")
+        path = io.scratch(dialogues.sparkSession, "halves")
+        halves.write.parquet(path)  # dialogues are made and cut once
+        halves = dialogues.sparkSession.read.parquet(path)
+        moved = order.successors(halves.select("note_id", "continuation"), "note_id", ["continuation"], seed)
+        made = moved.join(continue_all(halves.select("note_id", "prefix")), "note_id")
     else:
+        moved = order.successors(halves, "note_id", ["continuation"], seed)
         made = moved.withColumn("generated", (generate or (lambda x: x))(F.col("prefix")))
     score = lambda ref: rouge(F.col(ref), F.col("generated"), stemmed)["rougeL_f"]
     return made.select("note_id", score("continuation").alias("rougeL_vs_true"), score("next_continuation").alias("rougeL_vs_control"))
