@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import arms, compare, contamination, dataset, embedscore, order, retrieval, stats
 from turnloom.operators.rouge import lcs, lcs_scores, ngram_scores, rouge, tokens
+from turnloom.plans import registry
 
 
 def ids(spark, n):
@@ -315,3 +317,40 @@ def test_bertscore_against_a_plain_form(spark):
             assert (row.p, row.r) == (pytest.approx(p), pytest.approx(q)) and row.f1 == pytest.approx(2 * p * q / (p + q) if p + q else 0)
         else:
             assert row.r == pytest.approx(1.0) and row.p == pytest.approx((1 + cos[1][0]) / 2)
+
+
+def test_cells_multiply_out_few_pairs(monkeypatch):
+    """A cell gives what a whole product gives, and multiplies out only pairs that may beat a query's best."""
+    rng = np.random.default_rng(8)
+    size, n, k = 3000, 600, 3
+    chance = 1 / np.arange(1, size + 1)
+    sets = [np.unique(rng.choice(size, rng.integers(0, 60), p=chance / chance.sum())) for _ in range(2 * n)]
+    sets[n] = sets[5] = np.zeros(0, int)
+    raw = [rng.random(len(s)) + 0.5 for s in sets]
+    unit = [w / np.sqrt((w * w).sum()) if len(w) else w for w in raw]
+    table = lambda i: pa.table([[f"n{x:04d}" for x in i], pa.array([sets[x].tolist() for x in i], pa.list_(pa.int32())), pa.array([unit[x].tolist() for x in i], pa.list_(pa.float64()))], ["note_id", "i", "w"])
+    dense = np.zeros((2 * n, size))
+    for x, (s, w) in enumerate(zip(sets, unit)):
+        dense[x, s] = w
+    asked, held = list(range(n)), rng.permutation(np.arange(n, 2 * n)).tolist()
+    sims = np.round(dense[:n] @ dense[n:].T, retrieval.DECIMALS)
+    multiplied, frequent = [], retrieval._Asked.frequent
+    monkeypatch.setattr(retrieval._Asked, "frequent", lambda self, q, r, block: multiplied.append(len(q)) or frequent(self, q, r, block))
+    for most in (retrieval.AT_ONCE, 50):
+        monkeypatch.setattr(retrieval, "AT_ONCE", most)
+        got = retrieval._best(table(asked), table(held), k, size).to_pylist()
+        want = [(f"n{q:04d}", f"n{n + r:04d}", sims[q, r]) for q in range(n) for r in np.argsort(-sims[q], kind="stable")[:k]]
+        assert [(r["query_id"], r["note_id"]) for r in got] == [w[:2] for w in want]
+        assert np.allclose([r["similarity"] for r in got], [w[2] for w in want], atol=1e-8)
+    assert sum(multiplied) < n * n
+
+
+def test_every_query_bounds_its_batches(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        registry.QUERIES["text_lengths"](spark, sf_dir)
+        assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)
