@@ -142,3 +142,13 @@ def test_sequences(spark):
         assert r.n_tokens == len(r.ids) <= 6 and r.starts[0] == 0
     whole = {tuple(r.ids[s:e]) for r in got for s, e in zip(r.starts, [*r.starts[1:], len(r.ids)])}
     assert whole == {tuple(range(6)), tuple(range(6, 10)), (50, 51, 52), (60,)}
+
+
+def test_counts_hold_no_ids(spark, sf_dir):
+    """Texts are counted where they are read: no array of token ids leaves a worker."""
+    from turnloom.plans.registry import QUERIES
+
+    counts = QUERIES["token_counts"](spark, sf_dir)
+    assert counts.schema.simpleString() == "struct<note_id:string,n_tokens:bigint>"
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(" in plan and "encode(" not in plan
