@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -100,3 +101,21 @@ def test_a_word_asks_a_list_once(spark):
     rows = [(1, " ".join(3 * said), None, None, 0)]
     got = {r.word: tuple(r)[1:] for r in spelling.variants(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == plain(rows) and got["babaaaabc"][3] == 1
+
+
+def test_merging_asks_no_function_for_each_number():
+    """A Python call for each number that was looked up made the lists half of the query's time."""
+    rng = random.Random(5)
+    for _ in range(500):
+        lists = [sorted(rng.sample(range(12), rng.randint(1, 9))) for _ in range(rng.randint(1, 7))]
+        least = rng.randint(1, 7)
+        counts = Counter(x for y in lists for x in y)
+        assert spelling._merged(list(lists), least) == sorted(x for x, n in counts.items() if n >= least)
+    calls = Counter()
+    lists = [list(range(k, 1000)) for k in range(5)]
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        found = spelling._merged(lists, 5)
+    finally:
+        sys.setprofile(None)
+    assert found == list(range(4, 1000)) and calls["call"] < 10

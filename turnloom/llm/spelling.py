@@ -21,8 +21,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +105,7 @@ def gram_ranks(vocab: DataFrame) -> dict[str, int]:
 
 def posted(own: list[str], ranks: dict[str, int]) -> list[int]:
     """Places of the rarest POSTED grams, rarest first; of equal ones the earlier place."""
-    return sorted(range(len(own)), key=lambda p: ranks[own[p]])[:POSTED]
+    return sorted(range(len(own)), key=[ranks[g] for g in own].__getitem__)[:POSTED]
 
 
 _POSTINGS = "g int, p int, size int, asks boolean, word string"
@@ -144,44 +146,30 @@ def one_edit(s: str, t: str) -> bool:
 
 def _merged(lists: list[list[int]], least: int) -> list[int]:
     """Numbers that stand in at least `least` of the sorted lists: the short ones go through a heap, a number that
-    only the others hold can't reach the bound, and in these it is looked up."""
+    only the others hold can't reach the bound, and in these it is looked up, the shorter ones, which miss more, first."""
     if len(lists) < least:
         return []
     lists.sort(key=len)
     short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
     out, now, n = [], -1, 0
-
-    def enough() -> bool:
-        seen = n
-        for k, x in enumerate(long):
-            if seen + len(long) - k < least:
-                return False
-            i = _bisect(x, now)
-            seen += i < len(x) and x[i] == now
-        return seen >= least
-
-    for x in heapq.merge(*short):
-        if x != now:
-            if n and enough():
+    for x in chain(heapq.merge(*short) if len(short) > 1 else short[0], (-1,)):
+        if x == now:
+            n += 1
+            continue
+        spare = n - 1  # of least - 1 long lists so many may lack what n short ones hold
+        if spare >= 0:
+            for y in long:
+                i = bisect_left(y, now)
+                if i == len(y) or y[i] != now:
+                    if not spare:
+                        break
+                    spare -= 1
+            else:
                 out.append(now)
-            now, n = x, 0
-        n += 1
-    if n and enough():
-        out.append(now)
+        now, n = x, 1
     return out
 
 
-def _bisect(x: list[int], v: int) -> int:
-    low, high = 0, len(x)
-    while low < high:
-        mid = (low + high) // 2
-        if x[mid] < v:
-            low = mid + 1
-        else:
-            high = mid
-    return low
-
-
 def _list_pairs(code: int, place: int, size: int, listed: list[str], asking: list[str], ranks: dict[str, int]) -> Iterator[tuple[str, str]]:
     """Pairs one edit apart that meet in this list first."""
     if not listed:
@@ -198,26 +186,28 @@ def _list_pairs(code: int, place: int, size: int, listed: list[str], asking: lis
 def _sifted(size: int, listed: list[str], asking: list[str]) -> Iterator[tuple[str, str]]:
     """Pairs that share as many grams as words one edit apart must."""
     index: dict[tuple[int, str], list[int]] = {}
-    own = [list(enumerate(grams(w))) for w in listed]
-    for i, g in enumerate(own):
-        for at in g:
-            if at in index:
-                index[at].append(i)
-            else:
-                index[at] = [i]
-    least = size - 1
+    least, get = size - 1, index.get
     for i, w in enumerate(listed):
-        lists = [x for at in own[i] if (x := index[at])[-1] > i]
+        own = list(enumerate(grams(w)))
+        lists = []
+        for at in own:
+            if x := get(at):
+                lists.append(x)
+            else:
+                index[at] = []
         if len(lists) >= least:
             for j in _merged(lists, least):
-                if j > i:
-                    yield w, listed[j]
+                yield listed[j], w
+        for at in own:
+            index[at].append(i)
     for w in asking:
-        lists = []
-        for p, c in enumerate(grams(w)):
-            a, b = index.get((p, c)), index.get((p + 1, c))
+        lists, own = [], grams(w)
+        for p, c in enumerate(own):
+            a, b = get((p, c)), get((p + 1, c))
             if a or b:
                 lists.append(sorted({*a, *b}) if a and b else a or b)
+            elif len(lists) + len(own) - p <= least:  # the grams that follow are too few
+                break
         if len(lists) >= least:
             for j in _merged(lists, least):
                 yield w, listed[j]
