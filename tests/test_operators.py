@@ -165,6 +165,26 @@ def test_retrieval_blocks_and_heavy_terms_agree(spark, train, monkeypatch):
     assert all(v[1] == pytest.approx(1.0) for v in firsts.values())
 
 
+def test_queries_with_equal_training_notes_need_no_grid(spark, monkeypatch):
+    """Of many queries, those of which a copy is a training note, or a note that is equal to nine decimals, ask no cell."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    long = " ".join(words[:200])
+    rows = [(f"n{i:02d}", " ".join(rng.choices(words, k=30))) for i in range(30)]
+    rows += [("m1", rows[3][1]), ("m0", rows[3][1]), ("z", rows[4][1]), ("b", f"{long} {'often ' * 3000}"), ("a", f"{long} {'often ' * 3001}"), ("e1", ""), ("e0", "zz")]
+    notes = spark.createDataFrame(rows, "note_id string, text string")
+    asked = notes.union(spark.createDataFrame([("q1", "w1 w2 w3"), ("q2", "w1 w2 w3"), ("q3", "")], notes.schema))
+    fitted, grid, sizes = retrieval.Retriever().fit(notes), retrieval._grid, []
+    want = {k: sorted(map(tuple, fitted.top(asked, k).collect())) for k in (1, 2)}
+    monkeypatch.setattr(retrieval, "QUERY_CELL", 5)
+    monkeypatch.setattr(retrieval, "_grid", lambda a, n, *rest: sizes.append(n) or grid(a, n, *rest))
+    for k in (1, 2):
+        assert sorted(map(tuple, fitted.top(asked, k).collect())) == want[k]
+    top = {q: n for q, n, *_ in want[1]}
+    assert top["n03"] == top["m1"] == "m0" and top["z"] == "n04" and top["b"] == top["a"] == "a"
+    assert sizes[0] == 2 and sizes[1] > 20  # q1 and q2 are one query, texts without known terms another
+
+
 def scores(spark, values, name="x"):
     return spark.createDataFrame([(f"n{i}", float(v)) for i, v in enumerate(values)], f"note_id string, {name} double")
 
