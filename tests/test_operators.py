@@ -185,6 +185,18 @@ def test_queries_with_equal_training_notes_need_no_grid(spark, monkeypatch):
     assert sizes[0] == 2 and sizes[1] > 20  # q1 and q2 are one query, texts without known terms another
 
 
+def test_all_pairs_makes_scores_once(spark, monkeypatch):
+    """A join of the scores with themselves made every arm twice where its shuffles were not found to be equal."""
+    from turnloom.plans import registry
+
+    rows = spark.createDataFrame([("half", "n1", 0.5), ("self", "n1", 1.0), ("successor", "n1", 0.25), ("self", "n2", 1.0), ("half", "n2", None)], "arm string, note_id string, rouge1 double")
+    monkeypatch.setattr(registry, "_scores", lambda spark, d: rows)
+    out = registry.QUERIES["all_pairs"](spark, "")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {("half", "self", "n1", -0.5), ("half", "successor", "n1", 0.25), ("self", "successor", "n1", 0.75), ("half", "self", "n2", None)}
+    assert out.columns == ["arm_a", "arm_b", "note_id", "rouge1_delta"] and set(map(tuple, out.collect())) == want
+
+
 def scores(spark, values, name="x"):
     return spark.createDataFrame([(f"n{i}", float(v)) for i, v in enumerate(values)], f"note_id string, {name} double")
 
