@@ -185,6 +185,21 @@ def test_queries_with_equal_training_notes_need_no_grid(spark, monkeypatch):
     assert sizes[0] == 2 and sizes[1] > 20  # q1 and q2 are one query, texts without known terms another
 
 
+def test_terms_are_added_up_in_partitions_that_grow_in_number(spark, train, monkeypatch):
+    """Counts were added up in the tasks that read the texts, whose tables grew with their share of the texts."""
+    import re
+
+    want = sorted(map(tuple, retrieval.vocabulary(train, 9).collect()))
+    size = sum(len(r.text) for r in train.collect())
+    monkeypatch.setattr(retrieval, "TEXT_BYTES", 4)
+    out = retrieval.vocabulary(train, 9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    parts = [int(x) for x in re.findall(r"hashpartitioning\(term#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert parts and max(parts) == -(-size // 4)
+    assert re.search(r"(?s)Aggregate.*REPARTITION_BY_NUM", plan) and not re.search(r"(?s)REPARTITION_BY_NUM.*Aggregate", plan)
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 9
+
+
 def test_all_pairs_makes_scores_once(spark, monkeypatch):
     """A join of the scores with themselves made every arm twice where its shuffles were not found to be equal."""
     from turnloom.plans import registry
