@@ -366,6 +366,36 @@ def test_bertscore_against_a_plain_form(spark):
             assert row.r == pytest.approx(1.0) and row.p == pytest.approx((1 + cos[1][0]) / 2)
 
 
+def test_words_are_matched_once():
+    """Words that are encoded once each give what whole texts give, also where a word has no length."""
+    rng = random.Random(7)
+    encoded = []
+    plain = lambda words: np.array([np.zeros(3) if w == "none" else np.random.default_rng(len(w) * 999 + ord(w[0])).normal(size=3) for w in words]).reshape(-1, 3)
+    vectors = lambda words: encoded.extend(words) or plain(words)
+
+    some = ["none", *("abcdefgh"[i] * n for i in range(8) for n in (1, 2))]
+    for _ in range(60):
+        r = [rng.choice(some) for _ in range(rng.randint(0, 40))]
+        known = embedscore.Reference(r, vectors)
+        for g in (r, r[: len(r) // 2], ["none"], [], [rng.choice(some) for _ in range(rng.randint(0, 30))]):
+            encoded.clear()
+            assert known.match(g) == pytest.approx(embedscore.match(plain(g), plain(r)), abs=1e-12)
+            assert len(encoded) == len(set(g) - set(r)) * bool(r)
+
+
+def test_arms_are_scored_in_one_stage(spark):
+    """A note goes to one join for all of its arms, without its text, and rows of all arms are scored together."""
+    told = spark.createDataFrame([(str(i), f"had {i} pills", f"Doctor: {i}\nPatient: a {i}\nDoctor: b\nPatient: c") for i in range(8)], "note_id string, clinical_note string, conversation string")
+    arms_ = {"self": arms.echo, "half": arms.first_half, "successor": arms.successor}
+    out = arms.run(told, arms_, encode=embedscore.hashed)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r.arm, r.note_id): r for r in out.collect()}
+    assert len(got) == 24
+    for name, generate in arms_.items():
+        for r in arms.scored(told.join(generate(told), "note_id"), encode=embedscore.hashed).collect():
+            assert got[name, r.note_id].asDict() == {"arm": name, **r.asDict()}
+
+
 def test_cells_multiply_out_few_pairs(monkeypatch):
     """A cell gives what a whole product gives, and multiplies out only pairs that may beat a query's best."""
     rng = np.random.default_rng(8)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.embedscore import DIMS as HASHED_DIMS
-from turnloom.operators.embedscore import TextEncoder, hashed, tokenize
+from turnloom.operators.embedscore import WordEncoder, hashed, tokenize
 from turnloom.sources import io
 
 #: Most frequent words that get vectors, words to either side that count as near, numbers of a vector.
@@ -109,24 +109,21 @@ class WordVectors:
     words: list[str]
     matrix: np.ndarray
 
-    def encoder(self, spark: SparkSession) -> TextEncoder:
+    def encoder(self, spark: SparkSession) -> WordEncoder:
         """Vectors of the words of a text: the learned one, or for other words one by their letters, which is at right
         angles to all learned ones."""
         held = spark.sparkContext.broadcast(({w: i for i, w in enumerate(self.words)}, self.matrix))
 
-        def encode(text: str) -> np.ndarray:
+        def vectors(found: list[str]) -> np.ndarray:
             place, matrix = held.value
-            found = tokenize(text)
             out = np.zeros((len(found), matrix.shape[1] + HASHED_DIMS))
-            for k, w in enumerate(found):
-                i = place.get(w)
-                if i is not None:
-                    out[k, : matrix.shape[1]] = matrix[i]
-                else:
-                    out[k, matrix.shape[1] :] = hashed(w)[0]
+            at = np.array([place.get(w, -1) for w in found], int)
+            known = at >= 0
+            out[known, : matrix.shape[1]] = matrix[at[known]]
+            out[~known, matrix.shape[1] :] = hashed.vectors([w for w, x in zip(found, known) if not x])
             return out
 
-        return encode
+        return WordEncoder(vectors)
 
 
 def fit(texts: DataFrame, size: int = VOCABULARY, window: int = WINDOW, dims: int = DIMS, seed: int = SEED) -> WordVectors:
