@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,22 @@ def test_lcs(a, b):
     assert lcs(a, b) == plain_lcs(a, b)
 
 
+def test_subsequence_looks_at_shared_tokens_only(monkeypatch):
+    """A common beginning is counted, and of what follows only tokens that both sides have are compared."""
+    from turnloom.operators import rouge as module
+
+    asked, plain = [], module._lcs
+    monkeypatch.setattr(module, "_lcs", lambda a, b: asked.append((a, b)) or plain(a, b))
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        a, b = (["x"] * 2 + a, ["x"] * 2 + b) if rng.random() < 0.5 else (a, b)
+        assert module.lcs(a, b) == plain_lcs(a, b)
+    assert all(set(a) == set(b) for a, b in asked)
+    asked.clear()
+    assert module.lcs(list("abcde"), list("abc")) == 3 and not asked
+
+
 def test_overlap_scores():
     a, b = tokens("the cat sat down"), tokens("the cat ran away")
     assert ngram_scores(a, b, 1)[2] == pytest.approx(0.5)
@@ -185,6 +202,33 @@ def test_queries_with_equal_training_notes_need_no_grid(spark, monkeypatch):
     assert sizes[0] == 2 and sizes[1] > 20  # q1 and q2 are one query, texts without known terms another
 
 
+def test_training_notes_that_ask_are_vectors_once(spark, monkeypatch):
+    rng = random.Random(9)
+    notes = spark.createDataFrame([(f"n{i:02d}", " ".join(rng.choices("abcdefgh", k=rng.randint(0, 9))) * 2) for i in range(30)], "note_id string, text string")
+    ids_ = notes.where("note_id > 'n09'").select("note_id")
+    fitted, made, vectors = retrieval.Retriever().fit(notes.join(ids_, "note_id", "left_semi")), [], retrieval._marked
+    monkeypatch.setattr(retrieval, "_marked", lambda rows, size: made.append(1) or vectors(rows, size))
+    for cell in (retrieval.QUERY_CELL, 4):
+        monkeypatch.setattr(retrieval, "QUERY_CELL", cell)
+        for k in (1, 3):
+            want = sorted(map(tuple, fitted.top(notes, k).collect()))
+            made.clear()
+            assert sorted(map(tuple, fitted.top(notes, k, ids_).collect())) == want and len(made) == (cell == 4)
+
+
+def test_counts_of_notes_and_of_occurrences(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(["ab", "cd", "ef", "gh"], k=rng.randint(0, 12))) for _ in range(40)]
+    tf, df = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        w += [f"{a} {b}" for a, b in zip(w, w[1:])]
+        tf.update(w)
+        df.update(set(w))
+    got = retrieval.vocabulary(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "note_id string, text string"))
+    assert {r.term: (r.tf, r.df) for r in got.collect()} == {t: (n, df[t]) for t, n in tf.items()}
+
+
 def test_terms_are_added_up_in_partitions_that_grow_in_number(spark, train, monkeypatch):
     """Counts were added up in the tasks that read the texts, whose tables grew with their share of the texts."""
     import re
