@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,9 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from turnloom.operators import arms, compare, contamination, dataset, embedscore, order, retrieval, stats
+from turnloom.operators import arms, compare, contamination, continuation, dataset, embedscore, order, retrieval, stats
 from turnloom.operators.rouge import lcs, lcs_scores, ngram_scores, rouge, tokens
 from turnloom.plans import registry
+from turnloom.sources import io
 
 
 def ids(spark, n):
@@ -216,6 +218,45 @@ def test_training_notes_that_ask_are_vectors_once(spark, monkeypatch):
             assert sorted(map(tuple, fitted.top(notes, k, ids_).collect())) == want and len(made) == (cell == 4)
 
 
+def test_vectors_of_cells_are_shuffled_once(spark, train, monkeypatch):
+    """Vectors were copied to every cell of their row or column of the grid, so shuffled bytes grew as the product of both sides."""
+    monkeypatch.setattr(retrieval, "QUERY_CELL", 2)
+    monkeypatch.setattr(retrieval, "TRAIN_CELL", 1)
+    fitted = retrieval.Retriever().fit(train)
+    out = retrieval._grid(fitted.train, 3, fitted.train, 3, 2, fitted.held)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "CoGroup" not in plan
+    assert plan.count("Exchange RoundRobinPartitioning") == 2
+    got = {(r.query_id, r.note_id): r.similarity for r in retrieval._ranked(out, 1).collect()}
+    assert got == {(i, i): 1.0 for i in ("note-cardiac", "note-derm", "note-ortho")}
+
+
+def test_split_texts_without_a_shuffle(spark, monkeypatch):
+    """Texts were joined to the ids of their split, which shuffles them once they are many."""
+    rows = spark.createDataFrame([(i, f"text {i % 70}" if i else None) for i in range(100)] + [(5, "text 8"), (200, "")], "doc_id long, text string")
+    ids = dataset.split(dataset.deduplicated(rows, "text", "doc_id").select("note_id", "text"))
+    want = {s: sorted(map(str, ids.where(F.col("split") == s).select("note_id", "text").collect())) for s in dataset.FRACTIONS}
+    for bits in (None, lambda hashes: np.full(1 << continuation.BITS - 3, 255, np.uint8)):
+        if bits:
+            monkeypatch.setattr(continuation, "_bit_map", bits)
+        got = dataset.split_texts(rows, "text", "doc_id")
+        assert {s: sorted(map(str, x.collect())) for s, x in got.items()} == want
+    assert sum(map(len, want.values())) == 71
+    kept = dataset.split_texts(rows, "text", "doc_id")["train"]._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert kept.startswith("Union")
+
+
+def test_what_is_written_leaves_no_shuffle(spark):
+    """Shuffle files of tables that had been written stayed until the driver's memory was collected."""
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    out = io.written(spark.range(1000).repartition(3, "id"), "x")
+    for _ in range(50):  # files go beside what runs next
+        if files() - before:
+            time.sleep(0.1)
+    assert not files() - before and out.count() == 1000
+
+
 def test_counts_of_notes_and_of_occurrences(spark):
     rng = random.Random(10)
     texts = [" ".join(rng.choices(["ab", "cd", "ef", "gh"], k=rng.randint(0, 12))) for _ in range(40)]
